@@ -7,6 +7,8 @@ shuffled once to its chunk and once, already combined, to its event.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +51,7 @@ def assemble(
         keyed = last_line_where(lines, {"first": ~joins}).withColumn("first", F.greatest("first", F.lit(1)))
     else:
         keyed = last_line_where(lines, before={"first": ~joins}).withColumn("first", F.col("first") + 1)
-    return _collect(keyed, max_lines, max_bytes, separator, skip_newline)
+    return collect_events(keyed, max_lines, max_bytes, separator, skip_newline)
 
 
 def _flush_starts(lines: DataFrame, joins: Column, match: str, flush_pattern: str) -> DataFrame:
@@ -87,7 +89,7 @@ def assemble_count(
         raise ValueError("count must be positive")
     first = F.expr(f"((line_no - 1) div {int(count)}) * {int(count)} + 1")
     keyed = with_chunk(lines).withColumn("first", first)
-    return _collect(keyed, max_lines or count, max_bytes, separator, skip_newline)
+    return collect_events(keyed, max_lines or count, max_bytes, separator, skip_newline)
 
 
 def assemble_while(
@@ -103,7 +105,7 @@ def assemble_while(
     lines = with_chunk(lines).withColumn("_member", _held(matches("line", pattern), negate))
     keyed = last_line_where(lines, {"_alone": ~F.col("_member")})
     keyed = keyed.withColumn("first", F.when(F.col("_member"), F.col("_alone") + 1).otherwise(F.col("line_no")))
-    return _collect(keyed, max_lines, max_bytes, separator, skip_newline)
+    return collect_events(keyed, max_lines, max_bytes, separator, skip_newline)
 
 
 def assemble_mode(lines: DataFrame, type: str = "pattern", **options) -> DataFrame:
@@ -123,10 +125,19 @@ def assemble_mode(lines: DataFrame, type: str = "pattern", **options) -> DataFra
     raise ValueError(f"unknown assembly type {type!r}")
 
 
-def _collect(
-    keyed: DataFrame, max_lines: int | None, max_bytes: int | None, separator: str, skip_newline: bool
+def collect_events(
+    keyed: DataFrame,
+    max_lines: int | None,
+    max_bytes: int | None,
+    separator: str,
+    skip_newline: bool,
+    aggregates: Sequence[Column] = (),
+    required: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per ``(path, first)``.
+    """One row per ``(path, first)``; lines without text only count.
+
+    ``aggregates`` are carried along; groups where a ``required`` one is not
+    true are left out.
 
     Only lines that can still be part of the stored text are collected: a
     position check bounds their number, a running size inside the chunk bounds
@@ -134,9 +145,10 @@ def _collect(
     the event is.
     """
     glue = "" if skip_newline else separator
-    size = F.octet_length("line")
+    size = F.coalesce(F.octet_length("line"), F.lit(0))
     line_bytes = F.col("bytes") if "bytes" in keyed.columns else size + 1
-    keep = F.lit(True)
+    # Without a glue an empty part adds nothing, so it need not be collected.
+    keep = F.col("line").isNotNull() if glue or (max_lines and max_lines > 0) else size > 0
     if max_lines and max_lines > 0:
         keep = keep & (F.col("line_no") - F.col("first") < max_lines)
     if max_bytes and max_bytes > 0:
@@ -148,7 +160,7 @@ def _collect(
             ),
         )
         keep = keep & (F.col("_upto") - size - F.col("_from") < max_bytes)
-    extra = []
+    extra = list(aggregates)
     if "offset" in keyed.columns:
         extra.append(F.min("offset").alias("offset"))
     if "end_offset" in keyed.columns:
@@ -161,6 +173,10 @@ def _collect(
         F.max("line_no").alias("line_to"),
         *extra,
     )
+    for name in required:
+        events = events.filter(name)
+    carried = [c for c in events.columns if c not in ("path", "first", "_kept", "_lines", "_size", "bytes", "line_to")]
+    carried = [c for c in carried if c not in required]
     texts = F.transform(F.array_sort("_kept"), lambda x: x["line"])
     lead = F.coalesce(F.array_position(F.transform("_texts", lambda x: x != ""), True), F.lit(0)).cast("int")
     events = (
@@ -203,7 +219,7 @@ def _collect(
         content.alias("content"),
         "bytes",
         flags.alias("flags"),
-        *[c for c in ("offset", "end_offset") if c in keyed.columns],
+        *carried,
     )
 
 
