@@ -29,8 +29,11 @@ def parse_object(text: Column | str) -> Column:
     c = _col(text)
     items = F.from_json(F.concat(F.lit("["), c, F.lit("]")), f"array<{OBJECT}>", _STRICT)
     member = F.from_json(F.concat(F.lit('{"v":'), c, F.lit("}")), OBJECT, _STRICT)
-    alone = (F.size(items) == 1) & (~c.contains("]") | member.isNotNull())
-    return F.when(alone, F.element_at(items, 1))
+    # A lambda argument is evaluated once, so the text is read once.
+    only = F.filter(
+        F.array(items), lambda a: (F.size(a) == 1) & (~c.contains("]") | member.isNotNull())
+    )
+    return F.get(F.get(only, F.lit(0)), F.lit(0))
 
 
 def first_object(text: Column | str) -> Column:

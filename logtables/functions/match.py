@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .regex import to_java
+from .regex import escape_braces, to_java
 
 _LITERAL = re.compile(r"(?:[^\\.+*?()|\[\]{}^$]|\\[^A-Za-z0-9])+")
 _DATE = re.compile(r"\^(?:[^\\.+*?()|\[\]{}^$]|\\[^A-Za-z0-9])*(?:(?:\(\\d\{\d+\}\)|\\d)(?:\{\d+\})?[-:/., T_]*)+(?:[^\\.+*?()|\[\]{}^$])*")
@@ -32,7 +32,7 @@ def _alternatives(text: str) -> list[str] | None:
 
 def describe(pattern: str, exact: bool = False) -> tuple[str, list[str]]:
     """Name the predicate for ``pattern`` and the literals it needs."""
-    body = pattern
+    body = escape_braces(pattern)
     if exact:
         if not (body.startswith("(") or "|" in body):
             body = "^" + body.removeprefix("^")

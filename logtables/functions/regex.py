@@ -11,6 +11,11 @@ _POSIX = {
 }
 
 
+def escape_braces(pattern: str) -> str:
+    """A ``{`` that opens no repetition stands for itself."""
+    return re.sub(r"(?<!\\)(?<!\\[pPx])\{(?!\d+(?:,\d*)?\})", r"\\{", pattern)
+
+
 def to_java(pattern: str) -> str:
     """Give ``pattern`` its RE2 meaning under Java.
 
@@ -19,6 +24,7 @@ def to_java(pattern: str) -> str:
     """
     if re.search(r"(?<!\\)\(\?(?:[=!>]|<[=!])", pattern):
         raise ValueError(f"look-around is not supported: {pattern}")
+    pattern = escape_braces(pattern)
     multiline = re.match(r"\(\?[a-z]*m", pattern) is not None
     out = ["(?d)"]
     i, in_class = 0, False
@@ -65,5 +71,4 @@ def to_java(pattern: str) -> str:
         else:
             out.append(c)
         i += 1
-    java = "".join(out)
-    return java
+    return "".join(out)

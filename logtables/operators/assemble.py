@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.match import matches
-from .ordered import UNIT, last_line_where, with_chunk
+from ..functions.once import once
+from .ordered import last_line_where, with_chunk
 
 MAX_LINES = 500
 MAX_BYTES = 10 * 1024 * 1024
@@ -145,105 +146,78 @@ def collect_events(
     the event is.
     """
     glue = "" if skip_newline else separator
-    size = F.coalesce(F.octet_length("line"), F.lit(0))
-    line_bytes = F.col("bytes") if "bytes" in keyed.columns else size + 1
+    size = "coalesce(octet_length(line), 0)"
+    line_bytes = "bytes" if "bytes" in keyed.columns else f"{size} + 1"
+    limited = bool(max_lines and max_lines > 0)
     # Without a glue an empty part adds nothing, so it need not be collected.
-    keep = F.col("line").isNotNull() if glue or (max_lines and max_lines > 0) else size > 0
-    if max_lines and max_lines > 0:
-        keep = keep & (F.col("line_no") - F.col("first") < max_lines)
-    if max_bytes and max_bytes > 0:
-        frame = Window.partitionBy(*UNIT).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        keyed = keyed.withColumn("_upto", F.sum(size).over(frame)).withColumn(
-            "_from",
-            F.coalesce(
-                F.max(F.when(F.col("line_no") == F.col("first"), F.col("_upto") - size)).over(frame), F.lit(0)
-            ),
+    keep = ["line is not null" if glue or limited else f"{size} > 0"]
+    if limited:
+        keep.append(f"line_no - first < {int(max_lines)}")
+    bounded = bool(max_bytes and max_bytes > 0)
+    if bounded:
+        frame = "partition by path, chunk order by line_no rows between unbounded preceding and current row"
+        keyed = keyed.selectExpr("*", f"sum({size}) over ({frame}) as _upto").selectExpr(
+            "*", f"coalesce(max(if(line_no = first, _upto - {size}, null)) over ({frame}), 0) as _from"
         )
-        keep = keep & (F.col("_upto") - size - F.col("_from") < max_bytes)
+        keep.append(f"_upto - {size} - _from < {int(max_bytes)}")
     extra = list(aggregates)
     if "offset" in keyed.columns:
         extra.append(F.min("offset").alias("offset"))
     if "end_offset" in keyed.columns:
         extra.append(F.max("end_offset").alias("end_offset"))
-    events = keyed.groupBy("path", "first").agg(
-        F.collect_list(F.when(keep, F.struct("line_no", "line"))).alias("_kept"),
-        F.count(F.lit(1)).alias("_lines"),
-        F.sum(size).alias("_size"),
-        F.sum(line_bytes).alias("bytes"),
-        F.max("line_no").alias("line_to"),
-        *extra,
-    )
+    own = {
+        "_kept": f"collect_list(if({' and '.join(keep)}, struct(line_no, line), null))",
+        "lines": "count(1)",
+        "_size": f"sum({size})",
+        "bytes": f"sum({line_bytes})",
+        "line_to": "max(line_no)",
+    }
+    events = keyed.groupBy("path", "first").agg(*[F.expr(v).alias(k) for k, v in own.items()], *extra)
     for name in required:
         events = events.filter(name)
-    carried = [c for c in events.columns if c not in ("path", "first", "_kept", "_lines", "_size", "bytes", "line_to")]
-    carried = [c for c in carried if c not in required]
-    texts = F.transform(F.array_sort("_kept"), lambda x: x["line"])
-    lead = F.coalesce(F.array_position(F.transform("_texts", lambda x: x != ""), True), F.lit(0)).cast("int")
-    events = (
-        events.withColumn("_texts", texts)
-        .withColumn("_lead", lead)
-        .withColumn(
-            "_whole",
-            F.when(F.col("_lead") == 0, F.lit("")).otherwise(
-                F.array_join(F.slice("_texts", F.col("_lead"), F.size("_texts")), glue)
-            ),
-        )
+    carried = [c for c in events.columns if c not in ("path", "first", *own, *required)]
+    base = ["path", "first as line_from", "line_to", "lines", "bytes", "_size", *carried]
+    kept = [c.split(" as ")[-1] for c in base]
+    events = events.selectExpr(*base, "transform(array_sort(_kept), x -> x.line) as _texts")
+    # Leading empty lines leave no trace: the glue comes only after some text.
+    events = events.selectExpr(
+        *kept,
+        "_texts",
+        "aggregate(_texts, 0L, (a, x) -> a + octet_length(x)) as _stored",
+        "coalesce(array_position(transform(_texts, x -> x != ''), true), 0L) as _lead",
     )
-    if max_bytes and max_bytes > 0:
-        events = events.withColumn(
-            "_cut", F.when(F.octet_length("_whole") >= max_bytes, _byte_cut(F.col("_texts"), max_bytes, len(glue.encode())))
-        )
-        content = F.when(F.col("_cut").isNull(), F.col("_whole")).otherwise(
-            F.make_valid_utf8(F.expr("cast(substring(cast(_whole as binary), 1, _cut.size) as string)"))
+    whole = "if(_lead = 0, '', array_join(slice(_texts, cast(_lead as int), size(_texts)), " + _sql_text(glue) + "))"
+    events = events.selectExpr(*kept, "_texts", "_stored", f"{whole} as _whole")
+    content, stored, taken = "_whole", "size(_texts)", "_stored"
+    if bounded:
+        cut = _byte_cut("_texts", int(max_bytes), len(glue.encode()))
+        events = events.selectExpr(
+            *kept, "_texts", "_stored", "_whole", f"if(octet_length(_whole) >= {int(max_bytes)}, {cut}, null) as _cut"
         )
-        stored = F.coalesce(F.col("_cut.stored"), F.size("_texts"))
-        taken = F.coalesce(F.col("_cut.taken"), F.col("_stored_size"))
-    else:
-        content, stored, taken = F.col("_whole"), F.size("_texts"), F.col("_stored_size")
-    events = events.withColumn(
-        "_stored_size",
-        F.aggregate("_texts", F.lit(0).cast("bigint"), lambda a, x: a + F.octet_length(x)),
-    )
-    flags = F.filter(
-        F.array(
-            F.when(F.col("_size") > taken, F.lit("truncated")),
-            F.when(stored > 1, F.lit("multiline")),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    return events.select(
-        "path",
-        F.col("first").alias("line_from"),
-        "line_to",
-        F.col("_lines").alias("lines"),
-        content.alias("content"),
-        "bytes",
-        flags.alias("flags"),
-        *carried,
+        part = "make_valid_utf8(cast(substring(cast(_whole as binary), 1, cast(_cut.size as int)) as string))"
+        content = f"if(_cut is null, _whole, {part})"
+        stored, taken = "coalesce(_cut.stored, size(_texts))", "coalesce(_cut.taken, _stored)"
+    flags = (
+        f"filter(array(if(_size > {taken}, 'truncated', null), if({stored} > 1, 'multiline', null)), x -> x is not null)"
     )
+    events = events.selectExpr(*kept, f"{content} as content", f"{flags} as flags").drop("_size")
+    return once(events, "content", F.col("content"))
 
 
-def _byte_cut(texts: Column, max_bytes: int, glue: int) -> Column:
-    """Walk the (already bounded) lines of one event up to the byte limit."""
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("size"),
-        F.lit(0).alias("stored"),
-        F.lit(0).cast("bigint").alias("taken"),
-        F.lit(False).alias("full"),
-    )
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
-    def step(acc: Column, text: Column) -> Column:
-        base = acc["size"] + F.when(acc["size"] > 0, F.lit(glue)).otherwise(F.lit(0))
-        fits = ~acc["full"] & (base < max_bytes)
-        part = F.least(F.lit(max_bytes) - base, F.octet_length(text).cast("bigint"))
-        return F.struct(
-            F.when(fits, base + part).otherwise(acc["size"]).cast("bigint").alias("size"),
-            F.when(fits, acc["stored"] + 1).otherwise(acc["stored"]).alias("stored"),
-            F.when(fits, acc["taken"] + part).otherwise(acc["taken"]).cast("bigint").alias("taken"),
-            (~fits).alias("full"),
-        )
 
-    return F.aggregate(texts, start, step)
+def _byte_cut(texts: str, max_bytes: int, glue: int) -> str:
+    """Walk the (already bounded) lines of one event up to the byte limit."""
+    base = f"(a.size + if(a.size > 0, {glue}, 0))"
+    fits = f"(not a.full and {base} < {max_bytes})"
+    part = f"least({max_bytes} - {base}, cast(octet_length(x) as bigint))"
+    return (
+        f"aggregate({texts}, named_struct('size', 0L, 'stored', 0, 'taken', 0L, 'full', false), (a, x) -> named_struct("
+        f"'size', if({fits}, {base} + {part}, a.size), 'stored', if({fits}, a.stored + 1, a.stored), "
+        f"'taken', if({fits}, a.taken + {part}, a.taken), 'full', not {fits}))"
+    )
 
 
 def truncate_messages(df: DataFrame, max_bytes: int, column: str = "content") -> DataFrame:

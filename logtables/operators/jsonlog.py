@@ -17,6 +17,7 @@ from ..functions.fields import (
     text_value,
     update,
 )
+from ..functions.once import once
 from .assemble import MAX_BYTES, assemble, truncate_messages
 
 
@@ -27,7 +28,7 @@ def read_json_events(lines: DataFrame, start: str = "^{", max_bytes: int = MAX_B
     ``rejected`` split them, so that offsets still advance over bad events.
     """
     events = truncate_messages(assemble(lines, start, max_bytes=max_bytes), max_bytes)
-    return events.withColumn("json", parse_object("content"))
+    return once(events, "json", parse_object("content"))
 
 
 def accepted(events: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def decode_json(
     went wrong under ``error``. A failed row without it has ``json`` null, which
     callers may count or drop.
     """
-    df = df.withColumn("_object", first_object(column))
+    df = once(df, "_object", first_object(column))
     obj, failed = F.col("_object"), F.col("_object").isNull()
     json = obj
     if not message_key:
