@@ -150,7 +150,7 @@ def jobs_from_nodes(
     """
     from ..sources.paths import normalise_path
 
-    configured = [p for p in (logs_paths or ())]
+    configured = list(logs_paths or ())
     raw = F.array(*[F.lit(p) for p in configured]) if configured else F.array("path_logs")
     base = labels(
         {
@@ -169,7 +169,7 @@ def jobs_from_nodes(
         F.to_variant_object(merge_labels(base, custom_labels)),
     )
     cleaned = F.array_distinct(
-        F.filter(F.transform(raw, normalise_path), lambda p: p.isNotNull())
+        F.filter(F.transform(raw, lambda p: normalise_path(p)), lambda p: p.isNotNull())
     )
     return nodes.select(
         "node_id",

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import assembly_queries, text_queries  # noqa: F401
+from . import assembly_queries, discovery_queries, metric_queries, source_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

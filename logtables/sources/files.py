@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -191,8 +192,6 @@ def decode_lines(lines: DataFrame, encoding: str = "plain", column: str = "line"
 
 
 def _decode_in_python(lines: DataFrame, codec: str, column: str) -> DataFrame:
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decode(values: pd.Series) -> pd.Series:
         return values.map(lambda b: None if b is None else bytes(b).decode(codec, "replace"))
