@@ -42,20 +42,36 @@ def assemble(
     ``"before"`` on the line preceding it. ``flush_pattern`` names lines that
     are appended to the running event and close it.
     """
+    joins = _held(matches("line", pattern), negate)
+    flush = None if flush_pattern is None else _held(matches("line", flush_pattern), False)
+    return assemble_joined(lines, joins, match, flush, max_lines, max_bytes, separator, skip_newline)
+
+
+def assemble_joined(
+    lines: DataFrame,
+    joins: Column,
+    match: str = "after",
+    flush: Column | None = None,
+    max_lines: int | None = MAX_LINES,
+    max_bytes: int | None = MAX_BYTES,
+    separator: str = "\n",
+    skip_newline: bool = False,
+    aggregates: Sequence[Column] = (),
+) -> DataFrame:
+    """As ``assemble`` with the conditions as columns, which may differ per file."""
     if match not in ("after", "before"):
         raise ValueError(f"match must be 'after' or 'before', not {match!r}")
     lines = with_chunk(lines)
-    joins = _held(matches("line", pattern), negate)
-    if flush_pattern is not None:
-        keyed = _flush_starts(lines, joins, match, flush_pattern)
+    if flush is not None:
+        keyed = _flush_starts(lines, joins, match, flush)
     elif match == "after":
         keyed = last_line_where(lines, {"first": ~joins}).withColumn("first", F.greatest("first", F.lit(1)))
     else:
         keyed = last_line_where(lines, before={"first": ~joins}).withColumn("first", F.col("first") + 1)
-    return collect_events(keyed, max_lines, max_bytes, separator, skip_newline)
+    return collect_events(keyed, max_lines, max_bytes, separator, skip_newline, aggregates)
 
 
-def _flush_starts(lines: DataFrame, joins: Column, match: str, flush_pattern: str) -> DataFrame:
+def _flush_starts(lines: DataFrame, joins: Column, match: str, flush: Column) -> DataFrame:
     """Event starts when closing lines exist.
 
     A closing line right after a closed event opens the next one instead, so in
@@ -63,7 +79,6 @@ def _flush_starts(lines: DataFrame, joins: Column, match: str, flush_pattern: st
     depends on whether an event is open, that is on the run's distance from the
     last ordinary line.
     """
-    flush = _held(matches("line", flush_pattern), False)
     lines = lines.withColumns({"_flush": flush, "_joins": joins})
     runs = last_line_where(lines, {"_plain": ~F.col("_flush")}, before={"_stop": ~F.col("_joins")})
     in_run = F.col("line_no") - F.col("_plain")
@@ -73,7 +88,8 @@ def _flush_starts(lines: DataFrame, joins: Column, match: str, flush_pattern: st
     else:
         # The preceding line decides: it was the last one not to join its successor.
         opens = ~F.col("_flush") & (F.col("_stop") == F.col("line_no") - 1) & (F.col("line_no") > 1)
-    opened = last_line_where(runs, {"_open": opens}, before={"_closed": closes})
+    runs = runs.withColumn("_closes", closes)
+    opened = last_line_where(runs, {"_open": opens}, before={"_closed": F.col("_closes")})
     return opened.withColumn("first", F.greatest("_open", F.col("_closed") + 1, F.lit(1)))
 
 
@@ -167,8 +183,8 @@ def collect_events(
         extra.append(F.max("end_offset").alias("end_offset"))
     own = {
         "_kept": f"collect_list(if({' and '.join(keep)}, struct(line_no, line), null))",
-        "lines": "count(1)",
-        "_size": f"sum({size})",
+        "lines": "sum(weight)" if "weight" in keyed.columns else "count(1)",
+        "_size": "sum(full_size)" if "full_size" in keyed.columns else f"sum({size})",
         "bytes": f"sum({line_bytes})",
         "line_to": "max(line_no)",
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STATE = "path string, name string, size bigint, mtime timestamp, inode string, resume_offset bigint, resume_line bigint"
+STATE = "path string, name string, size bigint, mtime timestamp, inode string, resume_offset bigint"
 
 
 def resolve_links(listing: DataFrame, targets: DataFrame | None = None) -> DataFrame:
@@ -39,7 +39,6 @@ def classify_changes(listing: DataFrame, state: DataFrame) -> DataFrame:
         F.col("mtime").alias("_mtime"),
         F.col("inode").alias("_inode"),
         F.col("resume_offset").alias("_offset"),
-        *([F.col("resume_line").alias("_line")] if "resume_line" in state.columns else []),
     )
     known = F.col("_inode").isNotNull() & (F.col("_inode") == F.col("inode"))
     op = (
@@ -54,12 +53,8 @@ def classify_changes(listing: DataFrame, state: DataFrame) -> DataFrame:
 def resume_offsets(changes: DataFrame) -> DataFrame:
     """Where reading starts: the stored offset for a written file, else 0."""
     written = F.col("op") == "write"
-    out = changes.withColumn(
-        "start_offset", F.when(written, F.coalesce(F.col("_offset"), F.lit(0))).otherwise(F.lit(0)).cast("bigint")
-    )
-    if "_line" in changes.columns:
-        out = out.withColumn("start_line", F.when(written, F.coalesce(F.col("_line"), F.lit(0))).otherwise(F.lit(0)))
-    return out.drop("_size", "_mtime", "_inode", "_offset", "_line")
+    start = F.when(written, F.coalesce(F.col("_offset"), F.lit(0))).otherwise(F.lit(0)).cast("bigint")
+    return changes.withColumn("start_offset", start).drop("_size", "_mtime", "_inode", "_offset")
 
 
 def advance_state(state: DataFrame, read: DataFrame) -> DataFrame:

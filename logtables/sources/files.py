@@ -78,7 +78,6 @@ def scan_lines(
     mid = F.monotonically_increasing_id()
     rows = files.select(
         local_path(meta["file_path"]).alias("path"),
-        meta["file_name"].alias("name"),
         meta["file_size"].alias("file_size"),
         meta["file_modification_time"].alias("mtime"),
         meta["file_block_start"].alias("_block"),
@@ -86,7 +85,7 @@ def scan_lines(
         F.col("value").alias("line"),
     )
     return rows.select(
-        "path", "name", "file_size", "mtime",
+        "path", F.element_at(F.split("path", "/"), -1).alias("name"), "file_size", "mtime",
         F.struct(F.col("_block").alias("block"), F.shiftright("mid", _CHUNK_BITS).alias("part")).alias("chunk"),
         "mid", "line",
         (F.octet_length("line") + width).cast("bigint").alias("bytes"),
@@ -102,12 +101,12 @@ def local_path(uri: Column) -> Column:
 def list_files(spark: SparkSession, roots: str | Sequence[str], recursive: bool = True) -> DataFrame:
     """Path, name, size and modification time; contents are not read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
-    return reader.load([roots] if isinstance(roots, str) else list(roots)).select(
-        local_path(F.col("path")).alias("path"),
-        F.element_at(F.split("path", "/"), -1).alias("name"),
+    files = reader.load([roots] if isinstance(roots, str) else list(roots)).select(
+        local_path(F.col("_metadata.file_path")).alias("path"),
         F.col("length").alias("size"),
         F.col("modificationTime").alias("mtime"),
     )
+    return files.withColumn("name", F.element_at(F.split("path", "/"), -1))
 
 
 def with_offsets(lines: DataFrame, order: str = "line_no") -> DataFrame:
