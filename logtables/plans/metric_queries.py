@@ -35,17 +35,18 @@ def node_docs(i: Inputs) -> DataFrame:
     Every eleventh node has ``indices`` without shards, every thirteenth has no
     ``indices`` at all.
     """
-    stats = F.struct(
-        F.struct("state", (F.col("shard_type") == "p").alias("primary")).alias("routing"),
-        F.struct(F.col("docs").alias("count")).alias("docs"),
-        F.struct("size_in_bytes").alias("store"),
-        F.struct(F.lit(1).alias("count"), F.lit(-1).alias(m.UNSAFE_ID)).alias("segments"),
+    copy = F.expr(
+        """'{"' || shard || '":{"routing":{"state":"' || state || '","primary":' || cast(shard_type = 'p' as string)
+ || '},"docs":{"count":' || cast(docs as string) || '},"store":{"size_in_bytes":' || cast(size_in_bytes as string)
+ || '},"segments":{"count":1,"max_unsafe_auto_id_timestamp":-1}}}'"""
     )
-    per_index = _snapshot_shards(i).groupBy("snapshot", "node_id", "index_name").agg(
-        F.collect_list(F.create_map("shard", stats)).alias("copies")
+    # One shuffle: both groupings fit the partitioning by document.
+    rows = _snapshot_shards(i).select("snapshot", "node_id", "index_name", copy.alias("copy"))
+    per_index = rows.repartition("snapshot", "node_id").groupBy("snapshot", "node_id", "index_name").agg(
+        F.concat(F.lit('"'), "index_name", F.lit('":['), F.array_join(F.collect_list("copy"), ","), F.lit("]")).alias("copies")
     )
     per_node = per_index.groupBy("snapshot", "node_id").agg(
-        F.to_json(F.map_from_entries(F.collect_list(F.struct("index_name", "copies")))).alias("shards")
+        F.concat(F.lit("{"), F.array_join(F.collect_list("copies"), ","), F.lit("}")).alias("shards")
     )
     no = F.expr(_NODE_NO)
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))

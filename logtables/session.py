@@ -45,6 +45,8 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None, memory:
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        # Small test data still uses every core.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in RUNTIME.items():
