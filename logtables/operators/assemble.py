@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.match import matches
 from ..functions.once import once
-from .ordered import last_line_where, with_chunk
+from .ordered import last_line_where, walk, with_chunk
 
 MAX_LINES = 500
 MAX_BYTES = 10 * 1024 * 1024
@@ -61,16 +61,36 @@ def assemble_joined(
     """As ``assemble`` with the conditions as columns, which may differ per file."""
     if match not in ("after", "before"):
         raise ValueError(f"match must be 'after' or 'before', not {match!r}")
-    lines = with_chunk(lines)
     if flush is not None:
-        keyed = _flush_starts(lines, joins, match, flush)
+        keyed = _flush_starts(_numbered(lines), joins, match, flush)
     elif match == "after":
-        keyed = last_line_where(lines, {"first": ~joins}).withColumn("first", F.greatest("first", F.lit(1)))
+        keyed = _walked(lines, {"first": ~joins}, {}).withColumn("first", F.greatest("first", F.lit(1)))
     else:
-        keyed = last_line_where(lines, before={"first": ~joins}).withColumn("first", F.col("first") + 1)
+        keyed = _walked(lines, {}, {"first": ~joins}).withColumn("first", F.col("first") + 1)
     return collect_events(keyed, max_lines, max_bytes, separator, skip_newline, aggregates)
 
 
+def _is_scan(lines: DataFrame) -> bool:
+    return "line_no" not in lines.columns and "mid" in lines.columns
+
+
+def _walked(lines: DataFrame, upto: dict[str, Column], before: dict[str, Column]) -> DataFrame:
+    """Marks of numbered lines; a fresh scan gets its numbers and offsets in the same pass."""
+    if not _is_scan(lines):
+        return walk(with_chunk(lines), upto=upto, before=before)
+    from ..sources.files import place
+
+    return place(walk(lines, "mid", {"offset": F.col("bytes")}, upto, before, totals=True))
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    if not _is_scan(lines):
+        return with_chunk(lines)
+    from ..sources.files import position_lines
+
+    return position_lines(lines)
+
+
 def _flush_starts(lines: DataFrame, joins: Column, match: str, flush: Column) -> DataFrame:
     """Event starts when closing lines exist.
 
@@ -105,7 +125,7 @@ def assemble_count(
     if count <= 0:
         raise ValueError("count must be positive")
     first = F.expr(f"((line_no - 1) div {int(count)}) * {int(count)} + 1")
-    keyed = with_chunk(lines).withColumn("first", first)
+    keyed = _numbered(lines).withColumn("first", first)
     return collect_events(keyed, max_lines or count, max_bytes, separator, skip_newline)
 
 
@@ -119,8 +139,8 @@ def assemble_while(
     skip_newline: bool = False,
 ) -> DataFrame:
     """Join runs of matching lines; every other line is its own event."""
-    lines = with_chunk(lines).withColumn("_member", _held(matches("line", pattern), negate))
-    keyed = last_line_where(lines, {"_alone": ~F.col("_member")})
+    lines = lines.withColumn("_member", _held(matches("line", pattern), negate))
+    keyed = _walked(lines, {"_alone": ~F.col("_member")}, {})
     keyed = keyed.withColumn("first", F.when(F.col("_member"), F.col("_alone") + 1).otherwise(F.col("line_no")))
     return collect_events(keyed, max_lines, max_bytes, separator, skip_newline)
 

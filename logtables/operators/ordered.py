@@ -42,49 +42,78 @@ def number_lines(df: DataFrame, order: Sequence[str | Column], name: str = "line
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(*UNIT, F.coalesce(F.sum("_n").over(_earlier_chunks()), F.lit(0)).alias("_base"))
     )
-    local = df.withColumn("_local", F.row_number().over(_inside(order)))
-    return (
-        local.join(carry, list(UNIT))
-        .withColumn(name, (F.col("_base") + F.col("_local")).cast("bigint"))
-        .drop("_base", "_local")
-    )
+    local = df.select("*", F.row_number().over(_inside(order)).alias("_local"))
+    number = (F.col("_base") + F.col("_local")).cast("bigint").alias(name)
+    return local.join(carry, list(UNIT)).select(*[c for c in df.columns if c != name], number)
+
+
+def walk(
+    lines: DataFrame,
+    order: str = "line_no",
+    sums: Mapping[str, Column] | None = None,
+    upto: Mapping[str, Column] | None = None,
+    before: Mapping[str, Column] | None = None,
+    totals: bool = False,
+) -> DataFrame:
+    """All running values of a file in one pass.
 
+    ``order`` must count up by one inside a chunk: ``line_no`` itself, or the
+    row number of a fresh scan, from which ``line_no`` is then made. ``sums``
+    add up the earlier lines (``totals`` also gives ``<name>_total`` over the
+    file). ``upto`` and ``before`` give the last line number at which a
+    condition held, the current line included or not, and 0 before that.
 
-def sum_before(df: DataFrame, values: Mapping[str, Column], order: Sequence[str | Column]) -> DataFrame:
-    """Per path, the sum of each value over all earlier rows (0 on the first)."""
-    carry = df.groupBy(*UNIT).agg(*[F.sum(v).alias(f"_{k}") for k, v in values.items()])
+    The summary of a chunk is a plain aggregate without any sorting, so the
+    lines are shuffled once, for the window that joins it.
+    """
+    sums, upto, before = sums or {}, upto or {}, before or {}
+    marks = {k: F.when(v, F.col(order)) for k, v in {**upto, **before}.items()}
+    numbered = order == "line_no"
+    earlier, file = _earlier_chunks(), Window.partitionBy("path")
+    carry = lines.groupBy(*UNIT).agg(
+        F.min(order).alias("_low"),
+        F.count(F.lit(1)).alias("_n"),
+        *[F.sum(v).alias(f"_s_{k}") for k, v in sums.items()],
+        *[F.max(v).alias(f"_m_{k}") for k, v in marks.items()],
+    )
+    shift = F.lit(0) if numbered else F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_low") + 1
     carry = carry.select(
-        *UNIT, *[F.coalesce(F.sum(f"_{k}").over(_earlier_chunks()), F.lit(0)).alias(f"_{k}") for k in values]
+        *UNIT,
+        shift.cast("bigint").alias("_shift"),
+        *[F.coalesce(F.sum(f"_s_{k}").over(earlier), F.lit(0)).alias(f"_s_{k}") for k in sums],
+        *([F.sum(f"_s_{k}").over(file).alias(f"{k}_total") for k in sums] if totals else []),
+        *[F.col(f"_m_{k}") for k in marks],
     )
-    frame = _inside(order).rowsBetween(Window.unboundedPreceding, -1)
-    local = df.select("*", *[F.coalesce(F.sum(v).over(frame), F.lit(0)).alias(k) for k, v in values.items()])
-    return (
-        local.join(carry, list(UNIT))
-        .withColumns({k: (F.col(k) + F.col(f"_{k}")).cast("bigint") for k in values})
-        .drop(*[f"_{k}" for k in values])
+    if marks:
+        placed = {f"_m_{k}": F.max(F.col(f"_m_{k}") + F.col("_shift")).over(earlier) for k in marks}
+        carry = carry.select(*[placed[c].alias(c) if c in placed else F.col(c) for c in carry.columns])
+    inside = _inside([order])
+    with_self = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    without_self = inside.rowsBetween(Window.unboundedPreceding, -1)
+    local = lines.select(
+        "*",
+        *[F.sum(v).over(without_self).alias(k) for k, v in sums.items()],
+        *[F.max(v).over(without_self if k in before else with_self).alias(k) for k, v in marks.items()],
     )
+    joined = local.join(carry, list(UNIT))
+    made = {k: (F.coalesce(F.col(k), F.lit(0)) + F.col(f"_s_{k}")).cast("bigint") for k in sums}
+    for k in marks:
+        here = F.col(k) + F.col("_shift")
+        made[k] = F.coalesce(F.greatest(here, F.col(f"_m_{k}")), F.lit(0)).cast("bigint")
+    if not numbered:
+        made["line_no"] = (F.col(order) + F.col("_shift")).cast("bigint")
+    kept = [c for c in lines.columns if c not in made]
+    extra = [f"{k}_total" for k in sums] if totals else []
+    return joined.select(*kept, *extra, *[v.alias(k) for k, v in made.items()])
+
+
+def sum_before(lines: DataFrame, values: Mapping[str, Column]) -> DataFrame:
+    """Per path, the sum of each value over all earlier lines (0 on the first)."""
+    return walk(lines, sums=values)
 
 
 def last_line_where(
     lines: DataFrame, upto: Mapping[str, Column] | None = None, before: Mapping[str, Column] | None = None
 ) -> DataFrame:
-    """Per path, the last line number at which each condition held.
-
-    ``upto`` looks at the lines up to and including the current one, ``before``
-    only at earlier ones; 0 where the condition has not held yet.
-    """
-    upto, before = upto or {}, before or {}
-    picked = {k: F.when(v, F.col("line_no")) for k, v in {**upto, **before}.items()}
-    carry = lines.groupBy(*UNIT).agg(*[F.max(v).alias(f"_{k}") for k, v in picked.items()])
-    carry = carry.select(*UNIT, *[F.max(f"_{k}").over(_earlier_chunks()).alias(f"_{k}") for k in picked])
-    inside = _inside(["line_no"])
-    with_self = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    without_self = inside.rowsBetween(Window.unboundedPreceding, -1)
-    local = lines.select(
-        "*", *[F.max(v).over(without_self if k in before else with_self).alias(k) for k, v in picked.items()]
-    )
-    return (
-        local.join(carry, list(UNIT))
-        .withColumns({k: F.coalesce(F.greatest(k, f"_{k}"), F.lit(0)).cast("bigint") for k in picked})
-        .drop(*[f"_{k}" for k in picked])
-    )
+    """Per path, the last line number at which each condition held, else 0."""
+    return walk(lines, upto=upto, before=before)

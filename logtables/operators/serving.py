@@ -54,14 +54,21 @@ def read_page(lines: DataFrame, path: str, start_line: int, count: int) -> DataF
 
 
 def read_pages(lines: DataFrame, requests: DataFrame) -> DataFrame:
-    """A page per request (``request_id, path, start_line, lines``) in one join."""
-    asked = requests.withColumn("_first", F.greatest(F.col("start_line"), F.lit(1)))
-    inside = F.col("line_no").between(F.col("_first"), F.col("_first") + F.col("lines") - 1)
-    page = lines.join(asked, "path").filter(inside)
-    per_request = Window.partitionBy("request_id")
+    """A page per request (``request_id, path, start_line, lines``) in one join.
+
+    A request is spelled out as the line numbers it wants, so that the join is on
+    single lines and a file asked for many times is not paired with itself.
+    """
+    first = F.greatest(F.col("start_line"), F.lit(1)).cast("bigint")
+    wanted = requests.filter(F.col("lines") > 0).select(
+        "request_id", "path", F.col("lines").alias("_asked"),
+        F.explode(F.sequence(first, first + F.col("lines").cast("bigint") - 1)).alias("line_no"),
+    )
+    page = lines.join(wanted, ["path", "line_no"])
+    # A page's rows meet here, never more than were asked for.
+    left = F.count(F.lit(1)).over(Window.partitionBy("request_id"))
     return page.select(
-        "request_id", "path", "line_no", F.col("line").alias("content"), "bytes", "end_offset",
-        (F.count(F.lit(1)).over(per_request) < F.col("lines")).alias("eof"),
+        "request_id", "path", "line_no", F.col("line").alias("content"), "bytes", "end_offset", (left < F.col("_asked")).alias("eof")
     )
 
 

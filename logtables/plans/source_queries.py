@@ -197,7 +197,9 @@ def _(i: Inputs):
 
 @query("with_line_numbers", cte("fx_text_lines") + "select path, line_no as number, line from fx_text_lines")
 def _(i: Inputs):
-    return with_line_numbers(i.text_lines.withColumnRenamed("line_no", "mid"), "mid").select(
+    # Row numbers as a scan gives them: counting up by one inside a chunk only.
+    rows = i.text_lines.withColumn("mid", F.col("line_no") + F.unix_timestamp("chunk") * 1000).drop("line_no")
+    return with_line_numbers(rows).select(
         "path", F.col("line_no").alias("number"), "line"
     )
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordered import UNIT, number_lines, sum_before, with_chunk
+from ..operators.ordered import sum_before, walk, with_chunk
 
 # Line terminator names and their characters.
 TERMINATORS = {
@@ -109,20 +109,25 @@ def list_files(spark: SparkSession, roots: str | Sequence[str], recursive: bool
     return files.withColumn("name", F.element_at(F.split("path", "/"), -1))
 
 
-def with_offsets(lines: DataFrame, order: str = "line_no") -> DataFrame:
-    """Byte offset where each line starts and ends."""
+def with_offsets(lines: DataFrame) -> DataFrame:
+    """Byte offset where each numbered line starts and ends."""
     lines = with_chunk(lines)
     size = F.col("bytes") if "bytes" in lines.columns else (F.octet_length("line") + 1).cast("bigint")
-    return sum_before(lines, {"offset": size}, [order]).withColumn("end_offset", F.col("offset") + size)
+    return sum_before(lines, {"offset": size}).withColumn("end_offset", F.col("offset") + size)
 
 
-def with_line_numbers(lines: DataFrame, order: str = "mid") -> DataFrame:
-    """1-based line number inside the file."""
-    return number_lines(lines, [order])
+def with_line_numbers(lines: DataFrame) -> DataFrame:
+    """1-based line number of a fresh scan. Nothing is sorted: ``mid`` already counts."""
+    return walk(lines, "mid")
 
 
 def position_lines(lines: DataFrame, withhold: bool = False, final: bool = False) -> DataFrame:
-    """Line numbers and true byte offsets of a scan, in one pass.
+    """Line numbers and true byte offsets of a fresh, unfiltered scan, in one pass."""
+    return place(walk(lines, "mid", sums={"offset": F.col("bytes")}, totals=True), withhold, final)
+
+
+def place(rows: DataFrame, withhold: bool = False, final: bool = False) -> DataFrame:
+    """Turn summed line sizes into offsets on disk.
 
     The sum of a file's line sizes against its size on disk tells whether a byte
     order mark was skipped (offsets then move by three bytes) and whether the
@@ -130,42 +135,17 @@ def position_lines(lines: DataFrame, withhold: bool = False, final: bool = False
     until it is finished; ``final`` says that the file will not grow. Sizes on
     disk mean nothing for gzip, where neither is done.
     """
-    everything = Window.partitionBy("path")
-    earlier = everything.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        lines.groupBy(*UNIT)
-        .agg(F.count(F.lit(1)).alias("_n"), F.sum("bytes").alias("_b"), F.max("file_size").alias("_s"))
-        .select(
-            *UNIT,
-            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_line_base"),
-            F.coalesce(F.sum("_b").over(earlier), F.lit(0)).alias("_byte_base"),
-            F.sum("_b").over(everything).alias("_total"),
-            F.max("_s").over(everything).alias("_size"),
-        )
-    )
-    inside = Window.partitionBy(*UNIT).orderBy("mid")
-    rows = lines.select(
-        "*",
-        F.row_number().over(inside).alias("_row"),
-        F.sum("bytes").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_upto"),
-    ).join(carry, list(UNIT))
     plain = ~F.col("path").endswith(".gz")
-    gap = F.col("_total") - F.col("_size")
+    gap = F.col("offset_total") - F.col("file_size")
     mark = F.when(plain & gap.isin(-3, -2), F.lit(3)).otherwise(F.lit(0))
-    ends = F.col("_byte_base") + F.col("_upto")
-    open_tail = plain & gap.isin(1, -2) & (ends == F.col("_total"))
-    first = ends == F.col("bytes")
-    rows = rows.withColumns(
-        {
-            "line_no": (F.col("_line_base") + F.col("_row")).cast("bigint"),
-            "end_offset": (ends + mark - F.when(open_tail, F.lit(1)).otherwise(F.lit(0))).cast("bigint"),
-            "offset": F.when(first, F.lit(0)).otherwise(ends - F.col("bytes") + mark).cast("bigint"),
-            "_open": open_tail,
-        }
-    )
+    ends = F.col("offset") + F.col("bytes")
+    open_tail = plain & gap.isin(1, -2) & (ends == F.col("offset_total"))
+    end = ends + mark - F.when(open_tail, F.lit(1)).otherwise(F.lit(0))
+    begin = F.when(F.col("offset") == 0, F.lit(0)).otherwise(F.col("offset") + mark)
     if withhold and not final:
-        rows = rows.filter(~F.col("_open"))
-    return rows.drop("_line_base", "_byte_base", "_total", "_size", "_row", "_upto", "_open")
+        rows = rows.filter(~open_tail)
+    kept = [c for c in rows.columns if c not in ("offset", "end_offset", "offset_total")]
+    return rows.select(*kept, begin.cast("bigint").alias("offset"), end.cast("bigint").alias("end_offset"))
 
 
 def decode_lines(lines: DataFrame, encoding: str = "plain", column: str = "line") -> DataFrame:

@@ -232,3 +232,30 @@ def test_batches_equal_one_pass(spark, match, flush):
         return not re.search("^s", cur if match == "after" else prev)
 
     assert got == {p: sequential(ls, joins, flush, max_lines=3) for p, ls in lines.items()}
+
+
+def test_scan_to_events_in_one_pass(spark, tmp_path):
+    """A scan cut into many splits gives the events of the whole file, with true offsets."""
+    from logtables.operators.assemble import assemble, assemble_count, assemble_while
+
+    data = b"".join(b"[%d] %s\n" % (i, b"x" * (i % 9)) + b"  at y\n" * (i % 4) for i in range(4000))
+    put(tmp_path, "big.log", data)
+    put(tmp_path, "bom.log", b"\xef\xbb\xbf[a\n b\n[c\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        lines = src.scan_lines(spark, str(tmp_path))
+        rows = assemble(lines, r"^\[").collect()
+        joined = assemble_while(lines, r"^\s", max_lines=None).filter("path like '%big.log'").count()
+        counted = assemble_count(lines, 10).filter("path like '%big.log'").count()
+        flushed = assemble(lines, r"^\[", flush_pattern="^never").count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    big = sorted((r for r in rows if r["path"].endswith("big.log")), key=lambda r: r["line_from"])
+    assert len(big) == 4000 and flushed == len(rows)
+    for r in big:
+        assert data[r["offset"] : r["end_offset"]].decode() == r["content"] + "\n"
+    bom = sorted((r["offset"], r["end_offset"], r["content"]) for r in rows if r["path"].endswith("bom.log"))
+    assert bom == [(0, 9, "[a\n b"), (9, 12, "[c")]
+    total = data.count(b"\n")
+    assert counted == -(-total // 10)
+    assert joined == 4000 + sum(1 for i in range(4000) if i % 4)
