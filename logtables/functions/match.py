@@ -45,7 +45,7 @@ def describe(pattern: str, exact: bool = False) -> tuple[str, list[str]]:
         body = body[2:]
     while body.endswith((".*$", ".*")) and not body.endswith(("\\.*$", "\\.*")):
         body = body[: -3 if body.endswith("$") else -2]
-    if body == "":
+    if body in ("", "$"):
         return "any", []
     if body == "^$":
         return "empty", []

@@ -21,8 +21,9 @@ from .operators.state import advance_state, classify_changes, load_state, save_s
 from .session import checkpoint_dir
 from .sinks import Sink, sink_metrics, write_events
 from .sources.catalogue import LogPattern, pattern_index, route_files, search_log_patterns, usable
-from .sources.files import drop_overlong_lines, list_files
-from .sources.ranges import read_ranges, with_complete_end, with_identity
+from .sources.files import drop_overlong_lines
+from .sources.listing import list_files
+from .sources.ranges import read_ranges, with_complete_end
 
 
 def _by_pattern(patterns: Sequence[LogPattern], value) -> Column:
@@ -55,9 +56,10 @@ def log_events(
     JSON events that do not parse are left out.
     """
     wanted = usable(patterns)
-    lines = lines.withColumn("pattern_index", pattern_index("path", wanted))
-    events = assemble_joined(lines, _by_pattern(wanted, _joins), max_bytes=max_bytes)
-    events = events.withColumn("pattern_index", pattern_index("path", wanted))
+    if "pattern_index" not in lines.columns:
+        lines = lines.withColumn("pattern_index", pattern_index("path", wanted))
+    kept = F.any_value("pattern_index").alias("pattern_index")
+    events = assemble_joined(lines, _by_pattern(wanted, _joins), max_bytes=max_bytes, aggregates=[kept])
     events = events.withColumn("log_type", _by_pattern(wanted, lambda p: F.lit(p.type)))
     is_json = F.col("log_type") == "json"
     events = once(events, "json", F.when(is_json, parse_object("content")))
@@ -99,11 +101,11 @@ def collect_logs(
     """
     staging = f"{checkpoint_dir(spark)}/pass-{uuid.uuid4().hex}"
     state = load_state(spark, state_folder)
-    listing = with_identity(route_files(list_files(spark, roots), patterns).select("path", "name", "size", "mtime"))
-    changes = with_complete_end(classify_changes(listing, state))
+    listing = route_files(list_files(spark, roots), patterns, "name").select("path", "name", "size", "mtime", "inode")
+    changes = with_complete_end(classify_changes(listing, state).withColumn("pattern_index", pattern_index("name", usable(patterns))))
     changes.write.parquet(f"{staging}/changes")
     changes = spark.read.parquet(f"{staging}/changes")
-    read_ranges(changes.withColumnRenamed("complete_end", "end_offset")).write.parquet(f"{staging}/lines")
+    read_ranges(changes.withColumnRenamed("complete_end", "end_offset"), carry=["pattern_index"]).write.parquet(f"{staging}/lines")
     lines = drop_overlong_lines(spark.read.parquet(f"{staging}/lines"), 4 * max_bytes)
     events = log_events(number_lines(lines, ["offset"]), patterns, now, agent, job_metadata, max_bytes)
     done = changes.withColumn("resume_offset", F.greatest("start_offset", "complete_end"))

@@ -35,16 +35,19 @@ def assemble(
     max_bytes: int | None = MAX_BYTES,
     separator: str = "\n",
     skip_newline: bool = False,
+    offsets: bool = False,
 ) -> DataFrame:
     """Join lines while ``pattern`` (XOR ``negate``) holds.
 
     With ``match="after"`` the pattern is tested on the line itself, with
     ``"before"`` on the line preceding it. ``flush_pattern`` names lines that
-    are appended to the running event and close it.
+    are appended to the running event and close it. A fresh scan needs no
+    numbering first, and ``offsets`` adds byte offsets to numbered lines, both
+    in the same pass.
     """
     joins = _held(matches("line", pattern), negate)
     flush = None if flush_pattern is None else _held(matches("line", flush_pattern), False)
-    return assemble_joined(lines, joins, match, flush, max_lines, max_bytes, separator, skip_newline)
+    return assemble_joined(lines, joins, match, flush, max_lines, max_bytes, separator, skip_newline, offsets=offsets)
 
 
 def assemble_joined(
@@ -57,6 +60,7 @@ def assemble_joined(
     separator: str = "\n",
     skip_newline: bool = False,
     aggregates: Sequence[Column] = (),
+    offsets: bool = False,
 ) -> DataFrame:
     """As ``assemble`` with the conditions as columns, which may differ per file."""
     if match not in ("after", "before"):
@@ -64,9 +68,9 @@ def assemble_joined(
     if flush is not None:
         keyed = _flush_starts(_numbered(lines), joins, match, flush)
     elif match == "after":
-        keyed = _walked(lines, {"first": ~joins}, {}).withColumn("first", F.greatest("first", F.lit(1)))
+        keyed = _walked(lines, {"first": ~joins}, {}, offsets).withColumn("first", F.greatest("first", F.lit(1)))
     else:
-        keyed = _walked(lines, {}, {"first": ~joins}).withColumn("first", F.col("first") + 1)
+        keyed = _walked(lines, {}, {"first": ~joins}, offsets).withColumn("first", F.col("first") + 1)
     return collect_events(keyed, max_lines, max_bytes, separator, skip_newline, aggregates)
 
 
@@ -74,10 +78,16 @@ def _is_scan(lines: DataFrame) -> bool:
     return "line_no" not in lines.columns and "mid" in lines.columns
 
 
-def _walked(lines: DataFrame, upto: dict[str, Column], before: dict[str, Column]) -> DataFrame:
+def _walked(
+    lines: DataFrame, upto: dict[str, Column], before: dict[str, Column], offsets: bool = False
+) -> DataFrame:
     """Marks of numbered lines; a fresh scan gets its numbers and offsets in the same pass."""
     if not _is_scan(lines):
-        return walk(with_chunk(lines), upto=upto, before=before)
+        if not offsets or "offset" in lines.columns:
+            return walk(with_chunk(lines), upto=upto, before=before)
+        size = F.col("bytes") if "bytes" in lines.columns else (F.octet_length("line") + 1).cast("bigint")
+        rows = walk(with_chunk(lines), "line_no", {"offset": size}, upto, before)
+        return rows.withColumn("end_offset", F.col("offset") + size)
     from ..sources.files import place
 
     return place(walk(lines, "mid", {"offset": F.col("bytes")}, upto, before, totals=True))

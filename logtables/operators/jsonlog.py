@@ -18,16 +18,19 @@ from ..functions.fields import (
     update,
 )
 from ..functions.once import once
-from .assemble import MAX_BYTES, assemble, truncate_messages
+from .assemble import MAX_BYTES, assemble
 
 
-def read_json_events(lines: DataFrame, start: str = "^{", max_bytes: int = MAX_BYTES) -> DataFrame:
+def read_json_events(
+    lines: DataFrame, start: str = "^{", max_bytes: int = MAX_BYTES, offsets: bool = False
+) -> DataFrame:
     """Assemble events that begin with ``{`` and parse each to ``json``.
 
     Rows whose text is no single object keep ``json`` null; ``accepted`` and
     ``rejected`` split them, so that offsets still advance over bad events.
     """
-    events = truncate_messages(assemble(lines, start, max_bytes=max_bytes), max_bytes)
+    # The assembly already holds events to the limit.
+    events = assemble(lines, start, max_bytes=max_bytes, offsets=offsets)
     return once(events, "json", parse_object("content"))
 
 

@@ -134,9 +134,10 @@ def node_shards_from_listing(
 
 def prune_node(nodes: DataFrame) -> DataFrame:
     """Drop the bulky parts of a node and add ``shard_info``."""
-    info = F.when(
-        F.col("indices_count").isNotNull(), F.to_variant_object(F.struct("indices_count", "shard_count"))
-    ).otherwise(F.parse_json(F.lit("{}")))
+    counts = [c for c in ("indices_count", "shard_count", "replicas_count", "shards") if c in nodes.columns]
+    # A node missing from a listing has no info at all, one without indices an empty one.
+    absent = F.parse_json(F.lit("null" if "replicas_count" in counts else "{}"))
+    info = F.when(F.col("indices_count").isNotNull(), F.to_variant_object(F.struct(*counts))).otherwise(absent)
     gone = ["adaptive_selection", "ingest", f"indices.segments.{UNSAFE_ID}", "indices.shards"]
     return nodes.withColumn("node", put(remove_fields("node", gone), "shard_info", info))
 

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.files import list_files, position_lines, scan_lines
+from ..sources.files import local_path, position_lines
+from ..sources.listing import list_files
 
 
 def count_rows(files: DataFrame, lines: DataFrame) -> DataFrame:
@@ -19,7 +20,7 @@ def count_rows(files: DataFrame, lines: DataFrame) -> DataFrame:
 def list_log_files(spark: SparkSession, folders: Sequence[str]) -> tuple[DataFrame, list[dict[str, str]]]:
     """Files directly in the folders with size, time and rows, and folders that failed."""
     good, errors = [], []
-    for folder in dict.fromkeys(folders):
+    for folder in dict.fromkeys(f.rstrip("/") or "/" for f in folders):
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if fs.exists(path) and fs.getFileStatus(path).isDirectory():
@@ -29,13 +30,16 @@ def list_log_files(spark: SparkSession, folders: Sequence[str]) -> tuple[DataFra
     if not good:
         empty = "name string, logs_path string, size_in_bytes bigint, modify_time timestamp, total_rows bigint"
         return spark.createDataFrame([], empty), errors
-    files = list_files(spark, [f.rstrip("/") + "/*" for f in good], recursive=False)
-    inside = F.regexp_replace("path", "/[^/]*$", "")
-    files = files.withColumn("logs_path", inside).filter(inside.isin([f.rstrip("/") for f in good]))
-    rows = count_rows(files, scan_lines(spark, [f.rstrip("/") for f in good]).select("path"))
+    files = list_files(spark, good, recursive=False)
+    lines = spark.read.option("lineSep", "\n").text(good).select(local_path(F.col("_metadata.file_path")).alias("path"))
+    rows = count_rows(files, lines)
     return (
         rows.select(
-            "name", "logs_path", F.col("size").alias("size_in_bytes"), F.col("mtime").alias("modify_time"), "total_rows"
+            "name",
+            F.regexp_replace("path", "/[^/]*$", "").alias("logs_path"),
+            F.col("size").alias("size_in_bytes"),
+            F.col("mtime").alias("modify_time"),
+            "total_rows",
         ),
         errors,
     )

@@ -13,7 +13,6 @@ from ..operators.envelope import agent_literal, text_payload, wrap_log_event
 from ..operators.serving import export_csv
 from ..sinks import sink_metrics, write_events
 from ..sources.catalogue import LogPattern
-from ..sources.files import with_offsets
 from ..sources.snapshots import read_snapshots
 from ..streaming.events import assemble_stream
 from ..streaming.tail import tail_stream
@@ -97,7 +96,7 @@ def _(i: Inputs):
     cte("fx_text_lines") + _EVENTS + "select 'audit' as queue, content as message, 'host-1' as hostname from e",
 )
 def _(i: Inputs):
-    events = assemble(with_offsets(i.text_lines), r"^\[").withColumns(
+    events = assemble(i.text_lines, r"^\[", offsets=True).withColumns(
         {"payload": text_payload("content"), "timestamp": F.lit("t"), "log_type": F.lit("text")}
     )
     folder = staging(i, "events")

@@ -310,7 +310,7 @@ _EVENTS = """, s as (select *, sum(case when starts_with(line, '[') then 1 else
 
 
 def _text_events(i: Inputs) -> DataFrame:
-    return assemble(with_offsets(i.text_lines), r"^\[")
+    return assemble(i.text_lines, r"^\[", offsets=True)
 
 
 @query(
@@ -445,8 +445,8 @@ def _(i: Inputs):
     from ..functions.fields import pick_text, remove_fields
     from ..sources.catalogue import ENVELOPE_KEYS, TIMESTAMP_KEYS
 
-    lines = with_offsets(i.json_lines.select("path", "chunk", "line_no", "line"))
-    events = accepted(read_json_events(lines)).withColumns(
+    lines = i.json_lines.select("path", "chunk", "line_no", "line")
+    events = accepted(read_json_events(lines, offsets=True)).withColumns(
         {
             "timestamp": pick_text("json", TIMESTAMP_KEYS),
             "payload": remove_fields("json", [k for k in ENVELOPE_KEYS if k != "node.name"]),

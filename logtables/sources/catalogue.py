@@ -97,7 +97,7 @@ def pattern_index(path: Column | str, patterns: Sequence[LogPattern]) -> Column:
     return chain if chain is not None else F.lit(None).cast("int")
 
 
-def route_files(listing: DataFrame, patterns: Sequence[LogPattern]) -> DataFrame:
+def route_files(listing: DataFrame, patterns: Sequence[LogPattern], name: str = "path") -> DataFrame:
     """Keep the files some pattern wants and say which one comes first.
 
     The few patterns are constants of the plan, so routing is a projection.
@@ -106,7 +106,7 @@ def route_files(listing: DataFrame, patterns: Sequence[LogPattern]) -> DataFrame
 
     wanted = usable(patterns)
     index = F.col("pattern_index")
-    routed = listing.withColumn("pattern_index", pattern_index("path", wanted)).filter(index.isNotNull())
+    routed = listing.withColumn("pattern_index", pattern_index(name, wanted)).filter(index.isNotNull())
     if not wanted:
         return routed.withColumns({"log_type": F.lit(""), "log_name": F.lit(""), "pattern_metadata": F.lit(None).cast(OBJECT)})
     return routed.withColumns(

@@ -98,17 +98,6 @@ def local_path(uri: Column) -> Column:
     return F.when(uri.startswith("file:"), plain).otherwise(uri)
 
 
-def list_files(spark: SparkSession, roots: str | Sequence[str], recursive: bool = True) -> DataFrame:
-    """Path, name, size and modification time; contents are not read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
-    files = reader.load([roots] if isinstance(roots, str) else list(roots)).select(
-        local_path(F.col("_metadata.file_path")).alias("path"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("mtime"),
-    )
-    return files.withColumn("name", F.element_at(F.split("path", "/"), -1))
-
-
 def with_offsets(lines: DataFrame) -> DataFrame:
     """Byte offset where each numbered line starts and ends."""
     lines = with_chunk(lines)

@@ -7,14 +7,13 @@ in the middle of a line: the reader looks back for the line's beginning.
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, LongType, StringType, StructType
+from pyspark.sql.types import DataType, LongType, StructType
 
 RANGE_BYTES = 64 * 1024 * 1024
 _LOOK_BACK = 64 * 1024
@@ -78,28 +77,34 @@ def read_range(path: str, start: int, end: int, rows: int = 50_000) -> Iterator[
         )
 
 
-def read_ranges(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read_ranges(files: DataFrame, range_bytes: int = RANGE_BYTES, carry: Sequence[str] = ()) -> DataFrame:
     """Lines of ``path`` between ``start_offset`` and ``end_offset``, whole files cut into ranges.
 
     Every range is its own row before the read, spread over all tasks; ``chunk``
-    is the range's start, which orders the pieces of a file.
+    is the range's start, which orders the pieces of a file. ``carry`` names
+    columns of the file that its lines keep.
     """
     starts = F.sequence("start_offset", F.col("end_offset") - 1, F.lit(range_bytes).cast("bigint"))
     pieces = files.filter(F.col("end_offset") > F.col("start_offset")).select(
-        "path", F.explode(starts).alias("start"), F.col("end_offset").alias("_end")
+        *carry, "path", F.explode(starts).alias("start"), F.col("end_offset").alias("_end")
     )
-    pieces = pieces.select("path", "start", F.least(F.col("start") + range_bytes, F.col("_end")).alias("end"))
+    pieces = pieces.select(*carry, "path", "start", F.least(F.col("start") + range_bytes, F.col("_end")).alias("end"))
     pieces = pieces.repartition("path", "start")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            kept = [batch.schema.field(c) for c in carry]
             for row in batch.to_pylist():
-                yield from read_range(row["path"], row["start"], row["end"])
+                for lines in read_range(row["path"], row["start"], row["end"]):
+                    same = [pa.array([row[f.name]] * len(lines), f.type) for f in kept]
+                    yield pa.RecordBatch.from_arrays([*lines.columns, *same], names=[*lines.schema.names, *carry])
 
-    return pieces.mapInArrow(read, LINE_DDL).select(
+    schema = StructType([*StructType.fromDDL(LINE_DDL).fields, *[pieces.schema[c] for c in carry]])
+    return pieces.mapInArrow(read, schema).select(
         "path", F.col("start").alias("chunk"), "offset", "end_offset",
         F.col("line").cast("string").alias("line"),
         (F.col("end_offset") - F.col("offset")).alias("bytes"),
+        *carry,
     )
 
 
@@ -115,24 +120,11 @@ def _per_file(listing: DataFrame, name: str, sql_type: DataType, value, kind: pa
     return listing.mapInArrow(run, StructType([*listing.schema.fields]).add(name, sql_type))
 
 
-def _identity(path: str, size: int) -> str:
-    try:
-        s = os.stat(path)
-    except OSError:
-        return ""
-    return f"{s.st_dev}-{s.st_ino}"
-
-
 def _complete(path: str, size: int) -> int:
     with open_file(path) as f:
         return complete_end(f, size)
 
 
-def with_identity(listing: DataFrame) -> DataFrame:
-    """Add ``inode``: device and inode where the mount has them, else empty."""
-    return _per_file(listing, "inode", StringType(), _identity, pa.string())
-
-
 def with_complete_end(listing: DataFrame) -> DataFrame:
     """Add ``complete_end``: the end of the last terminated line; reads only file tails."""
     return _per_file(listing, "complete_end", LongType(), _complete, pa.int64())

@@ -12,6 +12,7 @@ from logtables import jobs
 from logtables.operators.state import load_state
 from logtables.sources import files as src
 from logtables.sources.catalogue import LogPattern, search_log_patterns
+from logtables.sources.listing import list_files
 from logtables.sources.ranges import read_range
 from logtables.streaming.events import assemble_batch, assemble_stream
 from logtables.streaming.tail import tail_stream
@@ -52,7 +53,8 @@ def test_positions_bom_and_tail(spark, tmp_path):
     assert positions(spark, tmp_path, withhold=True, final=True) == every
     paths = {r["path"] for r in src.scan_lines(spark, str(tmp_path)).select("path").distinct().collect()}
     assert str(tmp_path / "plus+ %41.log") in paths
-    assert {r["path"] for r in src.list_files(spark, str(tmp_path)).collect()} == paths
+    os.symlink(tmp_path / "bom.log", tmp_path / "link.log")
+    assert {r["path"] for r in list_files(spark, str(tmp_path)).collect()} == paths
 
 
 def test_positions_over_many_splits(spark, tmp_path):
@@ -135,11 +137,14 @@ def test_passes_follow_growth(spark, tmp_path):
     assert sorted(e["payload"]["message"] for e in events_of(out / "pass=3")) == [f"{stamp} half done", f"{stamp} next"]
 
     os.truncate(logs / "c.log", 0)
+    os.utime(logs / "c.log", (2_000_000_050, 2_000_000_050))
+    ops = [r["op"] for r in jobs.collect_logs(spark, str(logs), patterns, state, str(out), "now").collect()]
+    assert ops == ["truncate"] and events_of(out / "pass=4") == []
     put(logs, "c.log", f"{stamp} new\n".encode(), "ab")
     os.utime(logs / "c.log", (2_000_000_100, 2_000_000_100))
     ops = [r["op"] for r in jobs.collect_logs(spark, str(logs), patterns, state, str(out), "now").collect()]
-    assert ops == ["truncate"]
-    assert [e["payload"]["message"] for e in events_of(out / "pass=4")] == [f"{stamp} new"]
+    assert ops == ["write"]
+    assert [e["payload"]["message"] for e in events_of(out / "pass=5")] == [f"{stamp} new"]
     sizes = {r["name"]: (r["size"], r["resume_offset"]) for r in load_state(spark, state).collect()}
     assert sizes["c.log"][0] == sizes["c.log"][1] == len(f"{stamp} new\n")
 
