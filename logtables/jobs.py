@@ -105,6 +105,8 @@ def collect_logs(
     changes = with_complete_end(classify_changes(listing, state).withColumn("pattern_index", pattern_index("name", usable(patterns))))
     changes.write.parquet(f"{staging}/changes")
     changes = spark.read.parquet(f"{staging}/changes")
+    if changes.isEmpty():
+        return changes
     read_ranges(changes.withColumnRenamed("complete_end", "end_offset"), carry=["pattern_index"]).write.parquet(f"{staging}/lines")
     lines = drop_overlong_lines(spark.read.parquet(f"{staging}/lines"), 4 * max_bytes)
     events = log_events(number_lines(lines, ["offset"]), patterns, now, agent, job_metadata, max_bytes)

@@ -59,7 +59,7 @@ _INDICES = "index_name, case when total_docs % 2 = 0 then 'green' else 'yellow'
 _INDICES_KEEP = "index_name not in ('idx-3', 'idx-7')"
 _PROCESSES = """c_nationkey as host_id, c_custkey as pid, c_custkey % 40 as uid, c_name as name,
  case c_mktsegment when 'BUILDING' then '/bin/java -Des.path.home=/opt/a' || cast(c_custkey as string) || ' -Des.path.conf=/etc/a -cp x org.elasticsearch.bootstrap.Elasticsearch'
-      when 'MACHINERY' then '/bin/java -Des.path.home=/opt/b -Des.path.conf="/etc/b" -cp x org.easysearch.bootstrap.Easysearch -d'
+      when 'MACHINERY' then '/bin/java -Des.path.home=/opt/b -Des.path.conf="/etc/b" -cp x org.opensearch.bootstrap.OpenSearch -d'
       when 'AUTOMOBILE' then '/bin/java -cp x ORG.OPENSEARCH.bootstrap.OpenSearch'
       else '/usr/bin/python app.py' end as cmdline"""
 _SOCKETS = """o_custkey % 25 as host_id, o_orderkey as seq,

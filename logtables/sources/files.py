@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -140,7 +141,8 @@ def place(rows: DataFrame, withhold: bool = False, final: bool = False) -> DataF
 def decode_lines(lines: DataFrame, encoding: str = "plain", column: str = "line") -> DataFrame:
     """Text from raw bytes by codec name; bytes a codec lacks become U+FFFD.
 
-    ``plain`` keeps the bytes as they are. Needs the codec settings of
+    ``plain`` keeps the bytes as they are. ``utf-16-bom`` takes each value as a
+    whole text with its own mark; for files see ``scan_utf16``. Needs the codec settings of
     ``session.configure``.
     """
     key = encoding.lower()
@@ -167,6 +169,33 @@ def _decode_in_python(lines: DataFrame, codec: str, column: str) -> DataFrame:
     return lines.withColumn(column, decode(F.col(column).cast("binary")))
 
 
+def scan_utf16(spark: SparkSession, roots: str | Sequence[str], fallback: str | None = None) -> DataFrame:
+    """Decoded lines of UTF-16 files whose mark tells the byte order.
+
+    ``fallback`` is ``"be"`` or ``"le"`` for files without a mark; without it such
+    files are left out. Only two bytes of each file are read to tell them apart.
+    """
+    from .listing import list_files
+    from .ranges import with_head
+
+    if fallback not in (None, "be", "le"):
+        raise ValueError("fallback must be 'be', 'le' or None")
+    head = F.col("head")
+    order = F.when(head == F.lit(bytearray(b"\xfe\xff")), "be").when(head == F.lit(bytearray(b"\xff\xfe")), "le")
+    heads = with_head(list_files(spark, roots), 2).select("path", F.coalesce(order, F.lit(fallback)).alias("order"))
+    # The paths go to the reader, which keeps them on the driver in any case.
+    paths: dict[str, list[str]] = {"be": [], "le": []}
+    for row in heads.filter(F.col("order").isNotNull()).toLocalIterator():
+        paths[row["order"]].append(row["path"])
+    parts = [
+        decode_lines(scan_lines(spark, found, encoding=f"utf-16{name}"), f"utf-16{name}")
+        for name, found in paths.items() if found
+    ]
+    if not parts:
+        raise FileNotFoundError("no UTF-16 file with a known byte order")
+    return trim_bom(reduce(lambda x, y: x.unionByName(y), parts))
+
+
 def split_lines(df: DataFrame, terminator: str = "auto", text: str = "text", keys: Sequence[str] = ("path",)) -> DataFrame:
     """Lines of texts held in a column, numbered from 1; an empty last part is no line."""
     if terminator not in TERMINATORS:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, LongType, StructType
+from pyspark.sql.types import BinaryType, DataType, LongType, StructType
 
 RANGE_BYTES = 64 * 1024 * 1024
 _LOOK_BACK = 64 * 1024
@@ -128,3 +128,13 @@ def _complete(path: str, size: int) -> int:
 def with_complete_end(listing: DataFrame) -> DataFrame:
     """Add ``complete_end``: the end of the last terminated line; reads only file tails."""
     return _per_file(listing, "complete_end", LongType(), _complete, pa.int64())
+
+
+def with_head(listing: DataFrame, count: int) -> DataFrame:
+    """Add ``head``: the first bytes of each file."""
+
+    def head(path: str, size: int) -> bytes:
+        with open_file(path) as f:
+            return f.read(count)
+
+    return _per_file(listing, "head", BinaryType(), head, pa.binary())

@@ -42,10 +42,16 @@ def _read_carry(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
     if not older:
         return spark.createDataFrame([], CARRY)
     for b in older[:-2]:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/open/batch={b}"), True)
+        _drop(spark, f"{folder}/open/batch={b}")
     return spark.read.schema(CARRY).parquet(f"{folder}/open/batch={older[-1]}")
 
 
+def _drop(spark: SparkSession, folder: str) -> None:
+    """Remove a table no batch can ask for any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def assemble_batch(
     lines: DataFrame,
     carry: DataFrame,
@@ -137,5 +143,6 @@ def assemble_stream(
         )
         keep.write.mode("overwrite").parquet(f"{folder}/open/batch={batch_id}")
         deliver(events.filter("not open").drop("open", "probe", "seen"), batch_id)
+        _drop(session, f"{folder}/events/batch={batch_id - 2}")
 
     return lines.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint")

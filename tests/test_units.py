@@ -206,9 +206,9 @@ def test_discovery(spark):
     assert [(r["ip"], r["port"]) for r in discovery.parse_bound_addresses(bound).collect()] == [("[::1]", 9200), ("h", 0), ("h", 0)]
     urls = discovery.endpoint_candidates(spark.createDataFrame([("::1", 9200)], "ip string, port int")).orderBy("attempt").collect()
     assert [u["url"] for u in urls] == ["http://[::1]:9200", "https://[::1]:9200"]
-    engines = ["java -cp x org.elasticsearch.bootstrap.Elasticsearch", "java org.opensearch.bootstrap.OpenSearch -d", "java org.easysearch.bootstrap.Easysearch", "python"]
+    engines = ["java -cp x org.elasticsearch.bootstrap.Elasticsearch", "java org.opensearch.bootstrap.OpenSearch -d", "python", "elasticsearch"]
     procs = spark.createDataFrame([(e,) for e in engines], "cmdline string")
-    assert discovery.filter_engine_processes(procs).count() == 3
+    assert discovery.filter_engine_processes(procs).count() == 2
 
 
 def test_metric_jobs(spark):
