@@ -48,18 +48,23 @@ def log_events(
     patterns: Sequence[LogPattern],
     now: Column | str,
     agent: Column | None = None,
-    job_metadata: Mapping[str, object] | Column | None = None,
+    job_metadata: Mapping[str, object] | Column | DataFrame | None = None,
     max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
     """Lines of many files to events, each file by its own pattern, in one pass.
 
-    JSON events that do not parse are left out.
+    JSON events that do not parse are left out. ``job_metadata`` may be a table of
+    ``root, job_metadata``, one row per root.
     """
     wanted = usable(patterns)
     if "pattern_index" not in lines.columns:
         lines = lines.withColumn("pattern_index", pattern_index("path", wanted))
-    kept = F.any_value("pattern_index").alias("pattern_index")
-    events = assemble_joined(lines, _by_pattern(wanted, _joins), max_bytes=max_bytes, aggregates=[kept])
+    # Columns of the file, the same on all its lines.
+    kept = [F.any_value(c).alias(c) for c in ("pattern_index", "root") if c in lines.columns]
+    events = assemble_joined(lines, _by_pattern(wanted, _joins), max_bytes=max_bytes, aggregates=kept)
+    if isinstance(job_metadata, DataFrame):
+        events = events.join(job_metadata.select("root", "job_metadata"), "root", "left")
+        job_metadata = F.coalesce("job_metadata", object_literal(None))
     events = events.withColumn("log_type", _by_pattern(wanted, lambda p: F.lit(p.type)))
     is_json = F.col("log_type") == "json"
     events = once(events, "json", F.when(is_json, parse_object("content")))
@@ -89,7 +94,7 @@ def collect_logs(
     output: str,
     now: str,
     agent: Column | None = None,
-    job_metadata: Mapping[str, object] | None = None,
+    job_metadata: Mapping[str, object] | DataFrame | None = None,
     max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
     """One bounded pass over changed files; returns the changes it handled.
@@ -101,13 +106,13 @@ def collect_logs(
     """
     staging = f"{checkpoint_dir(spark)}/pass-{uuid.uuid4().hex}"
     state = load_state(spark, state_folder)
-    listing = route_files(list_files(spark, roots), patterns, "name").select("path", "name", "size", "mtime", "inode")
+    listing = route_files(list_files(spark, roots), patterns, "name").select("path", "name", "size", "mtime", "inode", "root")
     changes = with_complete_end(classify_changes(listing, state).withColumn("pattern_index", pattern_index("name", usable(patterns))))
     changes.write.parquet(f"{staging}/changes")
     changes = spark.read.parquet(f"{staging}/changes")
     if changes.isEmpty():
         return changes
-    read_ranges(changes.withColumnRenamed("complete_end", "end_offset"), carry=["pattern_index"]).write.parquet(f"{staging}/lines")
+    read_ranges(changes.withColumnRenamed("complete_end", "end_offset"), carry=["pattern_index", "root"]).write.parquet(f"{staging}/lines")
     lines = drop_overlong_lines(spark.read.parquet(f"{staging}/lines"), 4 * max_bytes)
     events = log_events(number_lines(lines, ["offset"]), patterns, now, agent, job_metadata, max_bytes)
     done = changes.withColumn("resume_offset", F.greatest("start_offset", "complete_end"))
@@ -131,17 +136,20 @@ def collect_search_logs(
     output: str,
     now: str,
     flags: Mapping[str, Mapping[str, bool]] | None = None,
+    agent: Column | None = None,
 ) -> DataFrame:
-    """A search node's logs: all directories of ``jobs_from_nodes`` in one pass.
+    """Search nodes' logs: all directories of ``jobs_from_nodes`` in one pass.
 
-    The few directories are listed by the driver; a job whose directory is
-    missing is skipped.
+    Every event carries the metadata of its directory's job. The few directories
+    are listed by the driver; a job whose directory is missing is skipped. A
+    directory named by several jobs belongs to the first node.
     """
-    folders = [r["logs_path"] for r in jobs.select("logs_path").distinct().toLocalIterator()]
+    per_root = jobs.groupBy(F.col("logs_path").alias("root")).agg(F.min_by("metadata", "node_id").alias("job_metadata"))
+    folders = sorted(r["root"] for r in per_root.select("root").toLocalIterator())
     present = [f for f in folders if _exists(spark, f)]
     if not present:
         raise FileNotFoundError("none of the jobs' log directories exists")
-    return collect_logs(spark, present, search_log_patterns(flags), state_folder, output, now)
+    return collect_logs(spark, present, search_log_patterns(flags), state_folder, output, now, agent, per_root)
 
 
 def _exists(spark: SparkSession, folder: str) -> bool:

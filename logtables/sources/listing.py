@@ -14,11 +14,11 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_DDL = "path string, size bigint, mtime timestamp, inode string, walked string"
+_DDL = "path string, size bigint, mtime timestamp, inode string, walked string, root string, turn int"
 _FIELDS = pa.schema(
     [
         ("path", pa.string()), ("size", pa.int64()), ("mtime", pa.timestamp("us", "UTC")),
-        ("inode", pa.string()), ("walked", pa.string()),
+        ("inode", pa.string()), ("walked", pa.string()), ("root", pa.string()), ("turn", pa.int32()),
     ]
 )
 
@@ -54,7 +54,7 @@ def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = (_remote if "://" in row["root"] else _local)(row["root"], row["recursive"])
             rows = []
             for entry in found:
-                rows.append(entry)
+                rows.append((*entry, row["root"], row["turn"]))
                 if len(rows) == 10_000:
                     yield _batch(rows)
                     rows = []
@@ -68,16 +68,21 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def list_files(spark: SparkSession, roots: str | Sequence[str], recursive: bool = True) -> DataFrame:
-    """``path, name, size, mtime, inode`` of every file below the roots, each once.
+    """``path, name, size, mtime, inode, root`` of every file below the roots, each once.
 
     One task walks one root, so several roots are walked side by side. A file
-    reached by links too counts once, under its real path.
+    reached more than once, by links or by nested roots, counts for the first
+    root and under its real path.
     """
     names = [roots] if isinstance(roots, str) else list(dict.fromkeys(roots))
-    asked = spark.createDataFrame([(r, recursive) for r in names], "root string, recursive boolean")
+    asked = spark.createDataFrame(
+        [(r, recursive, n) for n, r in enumerate(names)], "root string, recursive boolean, turn int"
+    )
     walked = asked.repartition(len(names), "root").mapInArrow(_list, _DDL)
-    once = walked.groupBy("path").agg(
-        F.min("walked").alias("walked"), F.min_by(F.struct("size", "mtime", "inode"), "walked").alias("_f")
+    first = F.struct("turn", "walked")
+    found = walked.groupBy("path").agg(
+        F.min_by(F.struct("walked", "size", "mtime", "inode", "root"), first).alias("_f")
     )
     # The name that patterns see is the one in the folder, not the target's.
-    return once.select("path", F.element_at(F.split("walked", "/"), -1).alias("name"), "_f.*")
+    name = F.element_at(F.split("_f.walked", "/"), -1)
+    return found.select("path", name.alias("name"), "_f.size", "_f.mtime", "_f.inode", "_f.root")

@@ -161,6 +161,32 @@ def test_passes_follow_growth(spark, tmp_path):
     assert sizes["c.log"][0] == sizes["c.log"][1] == len(f"{stamp} new\n")
 
 
+def test_search_logs_carry_their_job(spark, tmp_path):
+    from logtables.operators.envelope import agent_literal, jobs_from_nodes
+
+    for node in ("n1", "n2"):
+        put(tmp_path, f"{node}/c_server.json", b'{"timestamp":"t","message":"%s"}\n' % node.encode())
+    put(tmp_path, "n2/sub/gc.log", b"[2024-01-01T00:00:01,234] gc\n more\n")
+    nodes = spark.createDataFrame(
+        [(n, n.upper(), "cid", "c", "u", "9200", f"{tmp_path}/{n}/") for n in ("n1", "n2", "gone")],
+        "node_id string, node_name string, cluster_id string, cluster_name string, cluster_uuid string, port string, path_logs string",
+    )
+    wanted = jobs_from_nodes(nodes, metadata={"team": "x"}, custom_labels={"env": "prod"})
+    jobs.collect_search_logs(spark, wanted, str(tmp_path / "state"), str(tmp_path / "out"), "now", agent=agent_literal(queue="q"))
+    got = sorted(
+        (e["metadata"]["labels"]["node_name"], e["metadata"]["name"], e["payload"]["message"], e["timestamp"])
+        for e in events_of(tmp_path / "out")
+    )
+    assert got == [
+        ("N1", "server", "n1", "t"), ("N2", "gc", "[2024-01-01T00:00:01,234] gc\n more", "2024-01-01T00:00:01,234"),
+        ("N2", "server", "n2", "t"),
+    ]
+    one = events_of(tmp_path / "out")[0]
+    assert one["metadata"]["team"] == "x" and one["metadata"]["category"] == "elasticsearch"
+    assert one["metadata"]["labels"]["env"] == "prod" and one["agent"]["queue"] == "q"
+    assert os.listdir(tmp_path / "out" / "pass=1") and os.path.isdir(tmp_path / "out" / "pass=1" / "queue=q")
+
+
 def test_tail_stream_reads_appends_once(spark, tmp_path):
     logs = tmp_path / "logs"
     put(logs, "a.log", b"a1\na2\na3 open")
