@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -17,10 +19,25 @@ RUNTIME = {
 }
 
 
+#: Contexts that have been given the package.
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, wherever the driver runs; once per context."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        home = Path(__file__).resolve().parent
+        archive = shutil.make_archive(str(Path(tempfile.mkdtemp()) / home.name), "zip", home.parent, home.name)
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session made elsewhere."""
+    """Apply the runtime settings to a session made elsewhere, and ship the package."""
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
