@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import bpe, langid, mixing, sharding, toxicity
+from . import bpe, hilbert, itq, langid, minhash, mixing, sharding, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,24 @@ def fold(doc_id, parts: int):
     return F.crc32(doc_id.cast("string")) % parts
 
 
+ORACLE_8 = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+s as (
+  select distinct doc_id, unnest(case when len(words) > 1 then [words[i] || ' ' || words[i + 1] for i in range(1, len(words))]
+    when len(words) = 1 then words else []::varchar[] end) as shingle from w),
+n as (select doc_id, count(*)::bigint as n from s group by doc_id),
+l as (
+  select a.doc_id as a, b.doc_id as b from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id
+  join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+r as (select doc_id as id, doc_id as reached from documents union select r.id, l.b from r join l on r.reached = l.a),
+c as (select id, min(reached) as component_id from r group by id)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept
+from documents join c on id = doc_id left join n using (doc_id)
+"""
+
+
 @query("op1_toxicity")
 def op1(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -54,6 +72,13 @@ def op4(spark, sf_dir):
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
 
 
+@query("op5_warc", warc.ORACLE)
+def op5(spark, sf_dir):
+    # The table has no capture time: one page a second.
+    pages = table(spark, sf_dir, "pages").withColumn("captured", F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) + 1577836800))
+    return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op6_sharding")
 def op6(spark, sf_dir):
     rows = sharding.shard(table(spark, sf_dir, "documents"))
@@ -63,3 +88,18 @@ def op6(spark, sf_dir):
 @query("op7_mixing", mixing.ORACLE)
 def op7(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op8_minhash", ORACLE_8)
+def op8(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, threshold=0.8)
+
+
+@query("op9_itq", itq.ORACLE)
+def op9(spark, sf_dir):
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_hilbert", hilbert.ORACLE)
+def op10(spark, sf_dir):
+    return hilbert.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
