@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import bpe, hilbert, itq, langid, minhash, mixing, sharding, toxicity, warc
+from . import bpe, hilbert, itq, langid, licence, minhash, mixing, sharding, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,12 @@ def op1(spark, sf_dir):
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
+@query("op2_licences")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return licence.scan(docs.select("doc_id", "text"), licence.train(docs), keep=["doc_id"])
+
+
 @query("op3_language_id")
 def op3(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
