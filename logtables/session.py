@@ -14,6 +14,8 @@ RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Long texts by the thousand stay within a Python worker's memory.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.legacy.javaCharsets": "true",
     "spark.sql.legacy.codingErrorAction": "true",
 }
