@@ -8,11 +8,14 @@ The number of picks is 1 / threshold on average, so that a pair at the threshold
 common path on average however deep the tree is, while unlike texts part at once. The depth
 follows from the number of classes, the number of trees from the recall asked for.
 
-Nodes of at most ``LEAF`` classes are compared exhaustively by their sketches; larger ones,
-made of very many like texts, are linked to a pivot and, where that leaves more than one
-component in them, branched on. A leaf reports a spanning forest of its likely pairs; these
-are confirmed on the full shingle sets, and in a second round every likely pair that is
-still unconnected is. So a group of n copies costs about n pairs, not n squared.
+Nodes of at most ``LEAF`` classes are compared exhaustively by their sketches; a leaf reports
+a spanning forest of its likely pairs. Larger nodes, made of very many like texts, are linked
+to a pivot. These pairs, about as many as there are texts, are confirmed on the full shingle
+sets. Where a pair of a forest fails, or a large node still has several components, a second
+round compares the full sets of the node's texts all with all, within tasks, and reports a
+spanning forest of the links. Large nodes are dealt into blocks for that, of which those of
+the most frequent component are not compared with each other; still larger ones are branched
+on first. So no task gathers a large group and none emits all pairs of one.
 
 Defined results: a text that is null or has no words has an empty set, is linked with
 nothing and is its own component; a text with fewer words than a shingle is one shingle;
@@ -46,9 +49,11 @@ SPREAD = 0.07
 #: standard deviations of the estimate.
 SLACK = 0.13
 LEAF = 400
+#: Classes up to which a node is compared in pairs of blocks without branching on.
+LARGE = 8000
 #: Chance that unlike texts share a minwise token, for the depth of the trees.
 UNLIKE = 0.03
-#: Further levels for large nodes; what is large even then is compared in blocks.
+#: Further levels for nodes above that.
 MORE_LEVELS = 10
 #: Up to so many ids are broadcast to pick out the texts to confirm; more are joined.
 BROADCAST_IDS = 200_000
@@ -173,72 +178,102 @@ def branch(rows: DataFrame, levels: int, threshold: float, trees: int | None) ->
     return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rep, component, sketch) of each node, from batches sorted by node."""
-    rest = None
+def _groups(batches: Iterator[pa.RecordBatch], payload: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
+    """(node, rep, component, payload) of each node, from batches sorted by node."""
+    rest: list | None = None
     for batch in batches:
-        part = [batch.column("node").to_numpy(), batch.column("rep").to_numpy(), batch.column("component").to_numpy(), (_matrix(batch.column("signature")) & 0xFF).astype(np.uint8)]
+        part = [batch.column(c).to_numpy() for c in ("node", "rep", "component")] + [batch.column(payload).to_pylist()]
         if rest is not None:
-            part = [np.concatenate(p) for p in zip(rest, part)]
-        cuts = np.flatnonzero(np.diff(part[0])) + 1
-        edges = [0, *cuts.tolist()]
-        for a, b in zip(edges, edges[1:]):
-            yield part[1][a:b], part[2][a:b], part[3][a:b]
+            part = [np.concatenate([x, y]) for x, y in zip(rest[:3], part[:3])] + [rest[3] + part[3]]
+        edges = [0, *(np.flatnonzero(np.diff(part[0])) + 1).tolist()]
+        for x, y in zip(edges, edges[1:]):
+            yield int(part[0][x]), part[1][x:y], part[2][x:y], part[3][x:y]
         rest = [p[edges[-1] :] for p in part]
     if rest is not None and len(rest[0]):
-        yield rest[1], rest[2], rest[3]
+        yield int(rest[0][0]), rest[1], rest[2], rest[3]
 
 
-def _likely(reps: np.ndarray, parts: np.ndarray, sketches: np.ndarray, least: float, forest: bool) -> list[tuple[int, int]]:
-    """Pairs of different components whose sketches agree; only a spanning forest of the
-    best ones if ``forest``."""
-    if len(reps) < 2 or (parts == parts[0]).all():
-        return []
+def _forest(parts: np.ndarray, first: np.ndarray, second: np.ndarray, weight: np.ndarray) -> list[int]:
+    """Pairs of a spanning forest over the components, heaviest first."""
+    root = {int(p): int(p) for p in parts}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    kept = []
+    for k in np.argsort(-weight, kind="stable").tolist():
+        a, b = find(int(parts[first[k]])), find(int(parts[second[k]]))
+        if a != b:
+            root[a] = b
+            kept.append(k)
+    return kept
+
+
+def _likely(reps: np.ndarray, parts: np.ndarray, marks: list[bytes], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs whose sketches, one byte per coordinate, agree in enough places."""
+    sketches = (np.frombuffer(b"".join(marks), "<u2").reshape(-1, COORDINATES) & 0xFF).astype(np.uint8)
     needed = max(1, math.ceil(least * COORDINATES))
     firsts, seconds, agree = [], [], []
     for i in range(len(reps) - 1):
         same = np.count_nonzero(sketches[i + 1 :] == sketches[i], axis=1)
-        good = np.flatnonzero((same >= needed) & (parts[i + 1 :] != parts[i]))
+        good = np.flatnonzero(same >= needed)
         firsts.append(np.full(len(good), i))
         seconds.append(good + i + 1)
         agree.append(same[good])
-    first, second, weight = np.concatenate(firsts), np.concatenate(seconds), np.concatenate(agree)
-    if forest:
-        root = {int(p): int(p) for p in parts}
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        kept = []
-        for k in np.argsort(-weight, kind="stable").tolist():
-            a, b = find(int(parts[first[k]])), find(int(parts[second[k]]))
-            if a != b:
-                root[a] = b
-                kept.append(k)
-        first, second = first[kept], second[kept]
-    return [(min(int(reps[i]), int(reps[j])), max(int(reps[i]), int(reps[j]))) for i, j in zip(first, second) if reps[i] != reps[j]]
-
-
-def leaf_pairs(rows: DataFrame, least: float, forest: bool) -> DataFrame:
-    """Likely pairs (a, b) within the nodes of (node, rep, component, signature)."""
+    return np.concatenate(firsts), np.concatenate(seconds), np.concatenate(agree)
+
+
+def _linked(reps: np.ndarray, parts: np.ndarray, sets: list[bytes], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs whose full sets are similar enough: shared shingles of all pairs at once, from
+    the product of the texts' presence matrix with itself, in slices of its columns."""
+    whole = [np.frombuffer(s, np.uint64) for s in sets]
+    sizes = np.array([len(w) for w in whole], np.int64)
+    _, column, times = np.unique(np.concatenate(whole), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(whole)), sizes)
+    several = times[column] > 1
+    number = np.cumsum(times > 1) - 1
+    row, column = row[several], number[column[several]]
+    shared = np.zeros((len(whole), len(whole)))
+    for at in range(0, int((times > 1).sum()), 8192):
+        here = (column >= at) & (column < at + 8192)
+        present = np.zeros((len(whole), 8192), np.float32)
+        present[row[here], column[here] - at] = 1
+        shared += present @ present.T
+    # Whole numbers, so that a pair on the threshold is not lost to rounding.
+    shared = np.rint(shared).astype(np.int64)
+    union = sizes[:, None] + sizes[None, :] - shared
+    first, second = np.nonzero(np.triu(100 * shared >= round(100 * threshold) * union, 1))
+    return first, second, shared[first, second] / np.maximum(union[first, second], 1)
+
+
+def node_pairs(rows: DataFrame, payload: str, compare: Callable) -> DataFrame:
+    """(node, a, b): a spanning forest of the pairs that ``compare`` finds in each node of
+    (node, rep, component, payload), between components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, int]] = []
-        for reps, parts, sketches in _groups(batches):
-            found += _likely(reps, parts, sketches, least, forest)
+        found: list[tuple[int, int, int]] = []
+        for node, reps, parts, loads in _groups(batches, payload):
+            if len(reps) > 1 and not (parts == parts[0]).all():
+                first, second, weight = compare(reps, parts, loads)
+                apart = parts[first] != parts[second]
+                first, second, weight = first[apart], second[apart], weight[apart]
+                for k in _forest(parts, first, second, weight):
+                    x, y = int(reps[first[k]]), int(reps[second[k]])
+                    found.append((node, min(x, y), max(x, y)))
             if len(found) > 50_000:
                 yield _pair_batch(found)
                 found = []
         yield _pair_batch(found)
 
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long").distinct()
+    rows = rows.select("node", "rep", "component", payload)
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "node long, a long, b long")
 
 
-def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+def _pair_batch(pairs: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in range(3)], ["node", "a", "b"])
 
 
 def _keep_pairs(rows: DataFrame, good: Callable[[bytes, bytes], bool], left: str, right: str) -> DataFrame:
@@ -252,24 +287,25 @@ def _keep_pairs(rows: DataFrame, good: Callable[[bytes, bytes], bool], left: str
     return rows.mapInArrow(run, "a long, b long")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough. Sets are built from the texts
-    of the pairs' documents only."""
-    ids = settled(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
+def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(rep, hashes): the shingle sets of the texts of the ids (rep), and of no others."""
     few = ids.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(F.broadcast(ids) if few else ids, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text")).join(F.broadcast(ids) if few else ids, "rep")
 
     def work():
         return lambda part: [pa.array([shingles(t, words).tobytes() for t in part.column("text").to_pylist()], pa.binary())]
 
-    sets = settled(arrow_pass(texts, "hashes binary", work, keep=["doc_id"]))
-    rows = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("left")), "a")
-    rows = rows.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("right")), "b")
+    return arrow_pass(texts, "hashes binary", work, keep=["rep"])
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
+    rows = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("left")), "a")
+    rows = rows.join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("right")), "b")
 
     def good(left: bytes, right: bytes) -> bool:
         x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
         shared = len(np.intersect1d(x, y, assume_unique=True))
-        # Whole numbers, so that a pair on the threshold is not lost to rounding.
         return len(x) > 0 and len(y) > 0 and 100 * shared >= round(100 * threshold) * (len(x) + len(y) - shared)
 
     return _keep_pairs(rows, good, "left", "right").distinct()
@@ -285,29 +321,41 @@ def _node_table(paths: DataFrame) -> DataFrame:
     ).where("n > 1")
 
 
-def _split_large(rows: DataFrame, threshold: float, marks: DataFrame) -> DataFrame:
-    """Branches nodes (node, rep, component) on until they are leaves: the leaves' rows.
+def _several(rows: DataFrame) -> DataFrame:
+    """Size and most frequent component of the nodes that hold more than one."""
+    parts = rows.groupBy("node", "component").agg(F.count("*").alias("m"))
+    whole = parts.groupBy("node").agg(F.sum("m").alias("n"), F.max(F.struct("m", "component")).alias("main"), F.count("*").alias("parts"))
+    return whole.where("parts > 1").select("node", "n", F.col("main.component").alias("main"), F.col("main.m").alias("m"))
+
 
-    Nodes of one component need no comparison and end. What is large after the last level
-    is compared in pairs of blocks, each a leaf of its own.
-    """
+def _blocks(rows: DataFrame, threshold: float, marks: DataFrame) -> DataFrame:
+    """Large nodes (node, rep, component) as nodes of at most about ``LEAF`` rows, which
+    together hold every pair of different components."""
     done, level = None, rows
     for _ in range(MORE_LEVELS):
-        if level.isEmpty():
+        sizes = settled(_several(level))
+        fit = level.join(sizes.where(F.col("n") <= LARGE), "node")
+        done = fit if done is None else done.union(fit)
+        over = sizes.where(F.col("n") > LARGE).select("node")
+        if over.isEmpty():
+            level = None
             break
-        kids = settled(branch(level.join(marks, "rep"), 1, threshold, None).distinct())
-        nodes = kids.groupBy("node").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
-        nodes = nodes.where("n > 1 and least < most")
-        leaves = kids.join(nodes.where(F.col("n") <= LEAF).select("node"), "node")
-        done = leaves if done is None else done.union(leaves)
-        level = settled(kids.join(nodes.where(F.col("n") > LEAF).select("node"), "node"))
-    sizes = level.groupBy("node").agg(F.ceil(F.count("*") * 2 / LEAF).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    blocks = level.join(sizes, "node").withColumn("own", block).withColumn("other", other)
-    name = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
-    blocks = blocks.select(name.alias("node"), "rep", "component")
-    return blocks if done is None else done.union(blocks)
+        level = settled(branch(level.join(over, "node").join(marks, "rep"), 1, threshold, None).distinct())
+    if level is not None:
+        fit = level.join(_several(level), "node")
+        done = fit if done is None else done.union(fit)
+    # Blocks of the most frequent component, and of all others, half a leaf each.
+    half = LEAF // 2
+    mine = F.col("component") == F.col("main")
+    main_blocks = F.ceil(F.col("m") / half).cast("int")
+    other_blocks = F.greatest(F.ceil((F.col("n") - F.col("m")) / half), F.lit(1)).cast("int")
+    spread = F.xxhash64("rep", F.lit(2))
+    rows = done.withColumn("own", F.when(mine, other_blocks + F.pmod(spread, main_blocks)).otherwise(F.pmod(spread, other_blocks)).cast("int"))
+    # A row of the main component meets the others' blocks, any other row all blocks.
+    last = F.when(mine, other_blocks).otherwise(other_blocks + main_blocks) - 1
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), last)))
+    name = F.xxhash64("node", F.least("own", "with"), F.greatest("own", "with"))
+    return rows.select(name.alias("node"), "rep", "component")
 
 
 def links(docs: DataFrame, classes: DataFrame, words: int, threshold: float, recall: float) -> DataFrame:
@@ -319,8 +367,9 @@ def links(docs: DataFrame, classes: DataFrame, words: int, threshold: float, rec
     # Nodes with the same content, in whatever tree, are compared once.
     small = nodes.where(F.col("n") <= LEAF).groupBy("n", "sum1", "sum2").agg(F.min("node").alias("node"))
     large = nodes.where(F.col("n") > LEAF).groupBy("n", "sum1", "sum2").agg(F.min("node").alias("node"), F.min("pivot").alias("pivot"))
-    members = settled(paths.join(small.select("node"), "node").join(classes, "rep"))
-    pairs = leaf_pairs(members.withColumn("component", F.col("rep")), least, forest=True)
+    members = settled(paths.join(small.select("node"), "node"))
+    sketched = members.join(classes, "rep").withColumn("component", F.col("rep"))
+    forest = settled(node_pairs(sketched, "signature", lambda reps, parts, marks: _likely(reps, parts, marks, least)))
     crowds = settled(paths.join(large.select("node", "pivot"), "node"))
     stars = crowds.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     stars = stars.join(classes.select(F.col("rep").alias("a"), F.col("signature").alias("left")), "a")
@@ -330,17 +379,23 @@ def links(docs: DataFrame, classes: DataFrame, words: int, threshold: float, rec
         x, y = np.frombuffer(left, "<u2"), np.frombuffer(right, "<u2")
         return np.count_nonzero(x == y) >= least * COORDINATES
 
-    pairs = settled(pairs.union(_keep_pairs(stars, alike, "left", "right")).distinct())
-    first = settled(confirm(docs, pairs, words, threshold))
-    found = settled(components(first))
+    pairs = settled(forest.select("a", "b").union(_keep_pairs(stars, alike, "left", "right")).distinct())
+    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(crowds.select("rep")).distinct()
+    sets = settled(full_sets(docs, settled(ids), words))
+    first = settled(confirm(pairs, sets, threshold))
+    found = settled(components(first)).withColumnRenamed("id", "rep")
     component = F.coalesce("component", "rep").alias("component")
-    labelled = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", component, "signature")
-    crowds = crowds.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", component)
-    mixed = crowds.groupBy("node").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
-    deeper = _split_large(settled(crowds.join(mixed.select("node"), "node")), threshold, classes).join(classes, "rep")
-    more = leaf_pairs(labelled.unionByName(deeper), least, forest=False)
-    more = settled(more.join(pairs, ["a", "b"], "left_anti"))
-    return first if more.isEmpty() else first.union(confirm(docs, more, words, threshold))
+
+    # Nodes where a likely pair failed and its ends are not connected otherwise.
+    ends = found.select(F.col("rep").alias("a"), F.col("component").alias("of_a")), found.select(F.col("rep").alias("b"), F.col("component").alias("of_b"))
+    failed = forest.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    failed = failed.select("node").distinct()
+    again = members.join(failed, "node").join(found, "rep", "left").select("node", "rep", component)
+    crowds = settled(crowds.join(found, "rep", "left").select("node", "rep", component))
+    # Texts without a likely partner have no full set here, and need none.
+    rows = again.union(_blocks(crowds, threshold, classes)).join(sets, "rep")
+    more = node_pairs(rows, "hashes", lambda reps, parts, loads: _linked(reps, parts, loads, threshold))
+    return first.union(more.select("a", "b").distinct())
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:

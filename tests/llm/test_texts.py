@@ -84,13 +84,14 @@ def test_shingles_are_words_of_ascii_blanks():
     assert len(minhash.shingles(" one ", 2)) == 1 and len(minhash.shingles(None, 2)) == 0
 
 
-@pytest.mark.parametrize(("leaf", "levels"), [(400, 10), (12, 10), (12, 0)])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, leaf, levels):
-    """Also with nodes that are too large for a leaf, and with blocks."""
+@pytest.mark.parametrize(("leaf", "large", "levels"), [(400, 8000, 10), (12, 8000, 10), (12, 24, 10), (12, 24, 0)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, leaf, large, levels):
+    """Also with nodes that are too large for a leaf, in blocks, and branched on before."""
     monkeypatch.setattr(minhash, "LEAF", leaf)
+    monkeypatch.setattr(minhash, "LARGE", large)
     monkeypatch.setattr(minhash, "MORE_LEVELS", levels)
     rng, texts = random.Random(5), {}
-    for size, edits in ((60, 3), (30, 1), (5, 4), (2, 2)):
+    for size, edits in ((60, 6), (30, 1), (5, 4), (2, 2)):
         base = prose(rng, 80)
         for _ in range(size):
             texts[len(texts) + 1] = near(rng, base, rng.randint(0, edits))
