@@ -179,8 +179,9 @@ def train(labelled: DataFrame, seed: str = "language", texts: int = TRAIN_TEXTS,
     def work():
         return lambda part: [pa.array(shared.value.kernel(part.column("text").to_pylist()).tolist(), pa.list_(pa.float32()))]
 
-    values = arrow_pass(chosen, "kernel array<float>", work, keep=["lang"]).toPandas()
-    model.fit(np.array(values["kernel"].tolist(), dtype=np.float64), values["lang"].tolist(), among.astype(np.float64))
+    values = arrow_pass(chosen, "kernel array<float>", work, keep=["lang"]).toArrow()
+    kernel = values.column("kernel").combine_chunks().flatten().to_numpy().reshape(values.num_rows, -1)
+    model.fit(kernel.astype(np.float64), values.column("lang").to_pylist(), among.astype(np.float64))
     return model
 
 

@@ -53,7 +53,7 @@ def word_terms(word: str) -> list[str]:
     return ["=" + word, *["^" + word[:n] for n in PREFIXES if len(word) >= n]]
 
 
-def covering(texts: list[np.ndarray], toxic: np.ndarray, names: list[str]) -> list[int]:
+def covering(texts: list[list[int]], toxic: np.ndarray, names: list[str]) -> list[int]:
     """Terms that tell something the ones before them don't.
 
     The term of largest chi-square over the texts with fewer than ``COVERED`` chosen terms
@@ -274,14 +274,14 @@ def train(docs: DataFrame, labels: DataFrame, seed: str = "toxicity", examples:
 
         return step
 
-    vectors = arrow_pass(rows, "terms array<int>, times array<int>", work, keep=["doc_id", "toxic"]).toPandas()
+    vectors = arrow_pass(rows, "terms array<int>, times array<int>", work, keep=["doc_id", "toxic"]).toArrow()
     toxic = (vectors["toxic"].to_numpy() > 0).astype(np.int64)
-    chosen = covering(vectors["terms"].tolist(), toxic, model.terms)
+    chosen = covering(vectors["terms"].to_pylist(), toxic, model.terms)
     place = {t: i for i, t in enumerate(chosen)}
     model = Model([model.terms[t] for t in chosen], np.array([math.log(1 + n / (best[t].toxic + best[t].other)) for t in chosen]))
     groups: dict[tuple, list] = {}
-    for doc, y, numbers, times in zip(vectors["doc_id"].tolist(), toxic.tolist(), vectors["terms"].tolist(), vectors["times"].tolist()):
-        entry = groups.setdefault(tuple(sorted((place[t], c) for t, c in zip(numbers.tolist(), times.tolist()) if t in place)), [0, 0, []])
+    for doc, y, numbers, times in zip(vectors["doc_id"].to_pylist(), toxic.tolist(), vectors["terms"].to_pylist(), vectors["times"].to_pylist()):
+        entry = groups.setdefault(tuple(sorted((place[t], c) for t, c in zip(numbers, times) if t in place)), [0, 0, []])
         entry[0] += 1
         entry[1] += y
         entry[2].append(doc)
