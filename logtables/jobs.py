@@ -47,21 +47,50 @@ def log_events(
     lines: DataFrame,
     patterns: Sequence[LogPattern],
     now: Column | str,
-    agent: Column | None = None,
+    collector: Column | None = None,
     job_metadata: Mapping[str, object] | Column | DataFrame | None = None,
     max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
     """Lines of many files to events, each file by its own pattern, in one pass.
 
-    JSON events that do not parse are left out. ``job_metadata`` may be a table of
-    ``root, job_metadata``, one row per root.
+    JSON events that do not parse are left out; ``rejected_events`` has them.
+    ``job_metadata`` may be a table of ``root, job_metadata``, one row per root.
     """
+    return shape_events(assemble_logs(lines, patterns, max_bytes), patterns, now, collector, job_metadata)
+
+
+def assemble_logs(lines: DataFrame, patterns: Sequence[LogPattern], max_bytes: int | None = MAX_BYTES) -> DataFrame:
+    """Lines of many files to events, each file by its own pattern, as text."""
     wanted = usable(patterns)
     if "pattern_index" not in lines.columns:
         lines = lines.withColumn("pattern_index", pattern_index("path", wanted))
     # Columns of the file, the same on all its lines.
     kept = [F.any_value(c).alias(c) for c in ("pattern_index", "root") if c in lines.columns]
-    events = assemble_joined(lines, _by_pattern(wanted, _joins), max_bytes=max_bytes, aggregates=kept)
+    return assemble_joined(lines, _by_pattern(wanted, _joins), max_bytes=max_bytes, aggregates=kept)
+
+
+def rejected_events(events: DataFrame, patterns: Sequence[LogPattern]) -> DataFrame:
+    """Assembled events of JSON logs that are no JSON object, and why."""
+    is_json = _by_pattern(usable(patterns), lambda p: F.lit(p.type == "json"))
+    bad = once(events.filter(is_json), "json", parse_object("content")).filter(F.col("json").isNull())
+    return bad.select("path", "offset", "bytes", F.lit("no JSON object").alias("reason"), "content")
+
+
+def overlong_lines(lines: DataFrame, max_bytes: int) -> DataFrame:
+    """Lines that ``drop_overlong_lines`` leaves out, without their text."""
+    over = lines.filter(F.octet_length("line") > max_bytes)
+    return over.select("path", "offset", "bytes", F.lit("line too long").alias("reason"), F.lit(None).cast("string").alias("content"))
+
+
+def shape_events(
+    events: DataFrame,
+    patterns: Sequence[LogPattern],
+    now: Column | str,
+    collector: Column | None = None,
+    job_metadata: Mapping[str, object] | Column | DataFrame | None = None,
+) -> DataFrame:
+    """Assembled events to uniform rows."""
+    wanted = usable(patterns)
     if isinstance(job_metadata, DataFrame):
         events = events.join(job_metadata.select("root", "job_metadata"), "root", "left")
         job_metadata = F.coalesce("job_metadata", object_literal(None))
@@ -83,7 +112,7 @@ def log_events(
             "pattern_metadata": _by_pattern(wanted, lambda p: object_literal(p.metadata)),
         }
     )
-    return wrap_log_event(events, now, agent, job_metadata, pattern_metadata="pattern_metadata")
+    return wrap_log_event(events, now, collector, job_metadata, pattern_metadata="pattern_metadata")
 
 
 def collect_logs(
@@ -93,12 +122,16 @@ def collect_logs(
     state_folder: str,
     output: str,
     now: str,
-    agent: Column | None = None,
+    collector: Column | None = None,
     job_metadata: Mapping[str, object] | DataFrame | None = None,
     max_bytes: int = MAX_BYTES,
+    rejects: str | None = None,
 ) -> DataFrame:
     """One bounded pass over changed files; returns the changes it handled.
 
+    Nothing vanishes: lines over four times ``max_bytes`` and JSON events that do
+    not parse go to ``pass=N`` of ``rejects`` (by default next to the output).
+
     The changed files and their new lines are written once to the shared folder:
     later steps then see one state of files that keep growing, and a lost
     executor costs a re-read of that table only. Events go to ``pass=N`` before
@@ -113,10 +146,16 @@ def collect_logs(
     if changes.isEmpty():
         return changes
     read_ranges(changes.withColumnRenamed("complete_end", "end_offset"), carry=["pattern_index", "root"]).write.parquet(f"{staging}/lines")
-    lines = drop_overlong_lines(spark.read.parquet(f"{staging}/lines"), 4 * max_bytes)
-    events = log_events(number_lines(lines, ["offset"]), patterns, now, agent, job_metadata, max_bytes)
+    lines = spark.read.parquet(f"{staging}/lines")
+    taken = number_lines(drop_overlong_lines(lines, 4 * max_bytes), ["offset"])
+    assemble_logs(taken, patterns, max_bytes).write.parquet(f"{staging}/events")
+    assembled = spark.read.parquet(f"{staging}/events")
+    events = shape_events(assembled, patterns, now, collector, job_metadata)
     done = changes.withColumn("resume_offset", F.greatest("start_offset", "complete_end"))
     version = _next_version(spark, state_folder)
+    rejects = rejects or f"{output.rstrip('/')}-rejects"
+    refused = rejected_events(assembled, patterns).unionByName(overlong_lines(lines, 4 * max_bytes))
+    refused.write.mode("overwrite").parquet(f"{rejects}/pass={version}")
     write_events(events, f"{output}/pass={version}")
     save_state(advance_state(state, done), state_folder)
     return changes
@@ -136,7 +175,7 @@ def collect_search_logs(
     output: str,
     now: str,
     flags: Mapping[str, Mapping[str, bool]] | None = None,
-    agent: Column | None = None,
+    collector: Column | None = None,
 ) -> DataFrame:
     """Search nodes' logs: all directories of ``jobs_from_nodes`` in one pass.
 
@@ -149,7 +188,7 @@ def collect_search_logs(
     present = [f for f in folders if _exists(spark, f)]
     if not present:
         raise FileNotFoundError("none of the jobs' log directories exists")
-    return collect_logs(spark, present, search_log_patterns(flags), state_folder, output, now, agent, per_root)
+    return collect_logs(spark, present, search_log_patterns(flags), state_folder, output, now, collector, per_root)
 
 
 def _exists(spark: SparkSession, folder: str) -> bool:

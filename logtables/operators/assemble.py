@@ -187,8 +187,9 @@ def collect_events(
     true are left out.
 
     Only lines that can still be part of the stored text are collected: a
-    position check bounds their number, a running size inside the chunk bounds
-    their bytes. Counts cover every line, so the flags stay exact however long
+    position check bounds their number, a running size since the event's start
+    bounds their bytes (inside the chunk, where their number is bounded too, so
+    that an event spans two chunks at most). Counts cover every line, so the flags stay exact however long
     the event is.
     """
     glue = "" if skip_newline else separator
@@ -203,9 +204,12 @@ def collect_events(
     if bounded:
         frame = "partition by path, chunk order by line_no rows between unbounded preceding and current row"
         keyed = keyed.selectExpr("*", f"sum({size}) over ({frame}) as _upto").selectExpr(
-            "*", f"coalesce(max(if(line_no = first, _upto - {size}, null)) over ({frame}), 0) as _from"
+            "*", f"max(if(line_no = first, _upto - {size}, null)) over ({frame}) as _from"
         )
-        keep.append(f"_upto - {size} - _from < {int(max_bytes)}")
+        if not limited:
+            keyed = _with_carry(keyed)
+        earlier = "0" if limited else "-_carry"
+        keep.append(f"_upto - {size} - coalesce(_from, {earlier}) < {int(max_bytes)}")
     extra = list(aggregates)
     if "offset" in keyed.columns:
         extra.append(F.min("offset").alias("offset"))
@@ -250,6 +254,23 @@ def collect_events(
     return once(events, "content", F.col("content"))
 
 
+def _with_carry(keyed: DataFrame) -> DataFrame:
+    """Add ``_carry``: the bytes that the event open at a chunk's beginning has so far.
+
+    Made from one summary row per chunk: the running size of the file, less that
+    at the last chunk with a start, plus what followed the start in that chunk.
+    """
+    chunks = keyed.groupBy("path", "chunk").agg(F.max("_upto").alias("_all"), F.max("_from").alias("_start"))
+    earlier = "partition by path order by chunk rows between unbounded preceding and 1 preceding"
+    chunks = chunks.selectExpr("*", "sum(_all) over (partition by path order by chunk) as _sum")
+    chunks = chunks.selectExpr(
+        "path",
+        "chunk",
+        f"coalesce(max(_sum) over ({earlier}) + last(if(_start is null, null, _all - _start - _sum), true) over ({earlier}), 0L) as _carry",
+    )
+    return keyed.join(chunks, ["path", "chunk"])
+
+
 def _sql_text(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 

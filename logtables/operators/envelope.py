@@ -1,4 +1,4 @@
-"""The uniform event row: agent, metadata, payload, timestamp; and its labels."""
+"""The uniform event row: collector, metadata, payload, timestamp; and its labels."""
 
 from __future__ import annotations
 
@@ -43,7 +43,7 @@ def default_timestamp(extracted: Column | str, now: Column | str) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), clock)
 
 
-def agent_literal(
+def collector_literal(
     queue: str = "logs",
     id: str = "",
     hostname: str = "",
@@ -60,12 +60,12 @@ def agent_literal(
 def wrap_log_event(
     events: DataFrame,
     now: Column | str,
-    agent: Column | None = None,
+    collector: Column | None = None,
     job_metadata: Mapping[str, object] | Column | None = None,
     log_type: Column | str = "log_type",
     pattern_metadata: Column | str | None = None,
 ) -> DataFrame:
-    """``agent, metadata, payload, timestamp`` from path, end_offset, payload, timestamp.
+    """``collector, metadata, payload, timestamp`` from path, end_offset, payload, timestamp.
 
     Metadata is the log type, then the job's, then the pattern's, then the file;
     later ones win key by key.
@@ -80,14 +80,14 @@ def wrap_log_event(
     metadata = put(metadata, "file", F.to_variant_object(where))
     return events.select(
         "*",
-        (agent if agent is not None else agent_literal()).alias("agent"),
+        (collector if collector is not None else collector_literal()).alias("collector"),
         metadata.alias("metadata"),
         adapt_level("payload").alias("_payload"),
         default_timestamp("timestamp", now).alias("_timestamp"),
     ).select(
         "path",
         *[c for c in ("line_from", "offset", "end_offset") if c in events.columns],
-        "agent",
+        "collector",
         "metadata",
         F.col("_payload").alias("payload"),
         F.col("_timestamp").alias("timestamp"),

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.files import local_path, position_lines
+from ..sources.files import position_lines
 from ..sources.listing import list_files
+from ..sources.ranges import count_lines
 
 
 def count_rows(files: DataFrame, lines: DataFrame) -> DataFrame:
@@ -31,12 +32,11 @@ def list_log_files(spark: SparkSession, folders: Sequence[str]) -> tuple[DataFra
         empty = "name string, logs_path string, size_in_bytes bigint, modify_time timestamp, total_rows bigint"
         return spark.createDataFrame([], empty), errors
     files = list_files(spark, good, recursive=False)
-    lines = spark.read.option("lineSep", "\n").text(good).select(local_path(F.col("_metadata.file_path")).alias("path"))
-    rows = count_rows(files, lines)
+    rows = files.join(count_lines(files), "path", "left").withColumn("total_rows", F.coalesce("total_rows", F.lit(0)))
     return (
         rows.select(
             "name",
-            F.regexp_replace("path", "/[^/]*$", "").alias("logs_path"),
+            F.regexp_replace("walked", "/[^/]*$", "").alias("logs_path"),
             F.col("size").alias("size_in_bytes"),
             F.col("mtime").alias("modify_time"),
             "total_rows",

@@ -9,7 +9,7 @@ from ..functions.fields import as_text
 from ..functions.timestamps import SEARCH_LOG_TIMESTAMPS
 from ..operators import metrics as m
 from ..operators.assemble import assemble
-from ..operators.envelope import agent_literal, text_payload, wrap_log_event
+from ..operators.envelope import collector_literal, text_payload, wrap_log_event
 from ..operators.serving import export_csv
 from ..sinks import sink_metrics, write_events
 from ..sources.catalogue import LogPattern
@@ -100,10 +100,10 @@ def _(i: Inputs):
         {"payload": text_payload("content"), "timestamp": F.lit("t"), "log_type": F.lit("text")}
     )
     folder = staging(i, "events")
-    write_events(wrap_log_event(events, "now", agent_literal(queue="audit", hostname="host-1")), folder)
-    event = F.from_json("value", "agent struct<hostname:string>, payload struct<message:string>")
+    write_events(wrap_log_event(events, "now", collector_literal(queue="audit", hostname="host-1")), folder)
+    event = F.from_json("value", "collector struct<hostname:string>, payload struct<message:string>")
     return i.spark.read.text(folder).select("queue", event.alias("e")).select(
-        "queue", "e.payload.message", "e.agent.hostname"
+        "queue", "e.payload.message", "e.collector.hostname"
     )
 
 

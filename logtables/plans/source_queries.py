@@ -12,7 +12,7 @@ from ..functions.timestamps import SEARCH_LOG_TIMESTAMPS, extract_timestamp
 from ..operators.assemble import assemble
 from ..operators.envelope import (
     adapt_level,
-    agent_literal,
+    collector_literal,
     default_timestamp,
     jobs_from_nodes,
     merge_labels,
@@ -171,10 +171,13 @@ def _(i: Inputs):
 @query(
     "strip_newline",
     cte("fx_doc_lines")
-    + """select path, line_no, line as auto, line || chr(13) as line_feed from fx_doc_lines where not ends_with(line, chr(13))""",
+    + """, ended as (select path, line_no, line || case line_no % 3 when 0 then chr(13) else '' end as line from fx_doc_lines)
+select path, line_no, line as auto, line || chr(13) as line_feed from ended""",
 )
 def _(i: Inputs):
-    df = i.doc_lines.filter(~F.col("line").endswith("\r")).withColumns(
+    # Every third line ends in a CR of its own, which the terminator's CR doesn't cover.
+    own = F.when(F.col("line_no") % 3 == 0, F.lit("\r")).otherwise(F.lit(""))
+    df = i.doc_lines.withColumn("line", F.concat("line", own)).withColumns(
         {"auto": F.concat("line", F.lit("\r\n")), "line_feed": F.concat("line", F.lit("\r\n"))}
     )
     return strip_newline(strip_newline(df, "auto", "auto"), "line_feed", "line_feed").select(
@@ -331,7 +334,7 @@ def _(i: Inputs):
         }
     )
     wrapped = wrap_log_event(
-        events, _NOW, agent_literal(hostname="host-1"), {"source": "job", "name": "job", "file": "job"},
+        events, _NOW, collector_literal(hostname="host-1"), {"source": "job", "name": "job", "file": "job"},
         pattern_metadata="pattern_metadata",
     )
     meta = F.col("metadata")
@@ -343,8 +346,8 @@ def _(i: Inputs):
         as_text(meta["name"]).alias("name"),
         F.try_variant_get(meta["file"], "$.path", "string").alias("file_path"),
         F.try_variant_get(meta["file"], "$.offset", "bigint").alias("file_offset"),
-        "agent.queue",
-        "agent.hostname",
+        "collector.queue",
+        "collector.hostname",
         as_text(F.col("payload")["message"]).alias("message"),
         "timestamp",
     )

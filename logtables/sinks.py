@@ -12,8 +12,8 @@ Sink = Callable[[DataFrame], None]
 
 def events_as_json(events: DataFrame) -> DataFrame:
     """``queue`` and the event as JSON text."""
-    body = F.to_json(F.struct("agent", "metadata", "payload", "timestamp"))
-    return events.select(F.col("agent.queue").alias("queue"), body.alias("value"))
+    body = F.to_json(F.struct("collector", "metadata", "payload", "timestamp"))
+    return events.select(F.col("collector.queue").alias("queue"), body.alias("value"))
 
 
 def write_events(events: DataFrame, folder: str) -> None:

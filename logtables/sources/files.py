@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordered import sum_before, walk, with_chunk
@@ -65,7 +65,9 @@ def scan_lines(
 
     ``chunk`` orders the pieces of a file and ``mid`` the lines inside one. Both
     are fixed in the scan, before any shuffle. Columns: path, name, file_size,
-    mtime, chunk, mid, line, bytes. ``bytes`` counts the separator too.
+    mtime, chunk, mid, line, bytes. ``bytes`` counts the separator too. Names
+    that Spark's reader takes for hidden (a leading dot or underscore) are read
+    as well, by byte ranges, where lines end in a line feed and are not decoded.
     """
     reader = spark.read.option("recursiveFileLookup", True).option("lineSep", line_sep)
     width = len(line_sep.encode())
@@ -85,12 +87,42 @@ def scan_lines(
         mid.alias("mid"),
         F.col("value").alias("line"),
     )
-    return rows.select(
+    rows = rows.select(
         "path", F.element_at(F.split("path", "/"), -1).alias("name"), "file_size", "mtime",
         F.struct(F.col("_block").alias("block"), F.shiftright("mid", _CHUNK_BITS).alias("part")).alias("chunk"),
         "mid", "line",
         (F.octet_length("line") + width).cast("bigint").alias("bytes"),
     )
+    if line_sep != "\n" or encoding:
+        return rows
+    hidden = _hidden_files(spark, [roots] if isinstance(roots, str) else list(roots))
+    return rows if hidden is None or hidden.isEmpty() else rows.unionByName(_range_lines(hidden))
+
+
+def _hidden_files(spark: SparkSession, roots: Sequence[str]) -> DataFrame | None:
+    """Plain files below local folders that Spark's file readers leave out by name."""
+    from .listing import list_files
+
+    folders = [r.removeprefix("file://") for r in roots if "://" not in r.removeprefix("file://") and not any(c in r for c in "*?[{")]
+    if not folders:
+        return None
+    below = F.substring("walked", F.length("root") + 1, F.length("walked"))
+    skipped = F.exists(
+        F.filter(F.split(below, "/"), lambda part: part != ""),
+        lambda part: part.startswith(".") | (part.startswith("_") & ~part.contains("=") & ~part.rlike("^_(common_)?metadata")),
+    )
+    return list_files(spark, folders).filter(skipped & ~F.col("path").endswith(".gz")).drop("inode", "root", "walked")
+
+
+def _range_lines(files: DataFrame) -> DataFrame:
+    """Lines of listed files in the form of a scan; the last one may lack its terminator."""
+    from .ranges import read_ranges
+
+    whole = files.select("path", "name", F.col("size").alias("file_size"), "mtime", F.lit(0).cast("bigint").alias("start_offset"), F.col("size").alias("end_offset"))
+    lines = read_ranges(whole, carry=["name", "file_size", "mtime"], unfinished=True)
+    chunk = F.struct(F.col("chunk").alias("block"), F.lit(0).cast("bigint").alias("part")).alias("chunk")
+    order = F.row_number().over(Window.partitionBy("path", "chunk").orderBy("offset")).cast("bigint")
+    return lines.select("path", "name", "file_size", "mtime", chunk, order.alias("mid"), "line", F.col("bytes"))
 
 
 def local_path(uri: Column) -> Column:

@@ -68,7 +68,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def list_files(spark: SparkSession, roots: str | Sequence[str], recursive: bool = True) -> DataFrame:
-    """``path, name, size, mtime, inode, root`` of every file below the roots, each once.
+    """``path, name, size, mtime, inode, root, walked`` of every file below the roots, each once.
 
     One task walks one root, so several roots are walked side by side. A file
     reached more than once, by links or by nested roots, counts for the first
@@ -85,4 +85,4 @@ def list_files(spark: SparkSession, roots: str | Sequence[str], recursive: bool
     )
     # The name that patterns see is the one in the folder, not the target's.
     name = F.element_at(F.split("_f.walked", "/"), -1)
-    return found.select("path", name.alias("name"), "_f.size", "_f.mtime", "_f.inode", "_f.root")
+    return found.select("path", name.alias("name"), "_f.size", "_f.mtime", "_f.inode", "_f.root", "_f.walked")

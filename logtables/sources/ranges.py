@@ -49,15 +49,20 @@ def complete_end(f, size: int) -> int:
     return _line_start(f, size)
 
 
-def read_range(path: str, start: int, end: int, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
-    """Lines whose terminator lies in ``[start, end)``, in order."""
+def read_range(path: str, start: int, end: int, rows: int = 50_000, last: bool = False) -> Iterator[pa.RecordBatch]:
+    """Lines whose terminator lies in ``[start, end)``, in order.
+
+    With ``last`` the range ends the file, and a rest without terminator is a line.
+    """
     with open_file(path) as f:
         begin = _line_start(f, start)
         f.seek(begin)
         data = f.read(end - begin)
     lines = data.split(b"\n")
     del data
-    lines.pop()  # what follows the last terminator belongs to a later range
+    rest = lines.pop()  # what follows the last terminator belongs to a later range
+    if last and rest:
+        lines.append(rest)
     for first in range(0, len(lines), rows):
         part = lines[first : first + rows]
         offsets, ends = [], []
@@ -77,25 +82,29 @@ def read_range(path: str, start: int, end: int, rows: int = 50_000) -> Iterator[
         )
 
 
-def read_ranges(files: DataFrame, range_bytes: int = RANGE_BYTES, carry: Sequence[str] = ()) -> DataFrame:
+def read_ranges(
+    files: DataFrame, range_bytes: int = RANGE_BYTES, carry: Sequence[str] = (), unfinished: bool = False
+) -> DataFrame:
     """Lines of ``path`` between ``start_offset`` and ``end_offset``, whole files cut into ranges.
 
     Every range is its own row before the read, spread over all tasks; ``chunk``
     is the range's start, which orders the pieces of a file. ``carry`` names
-    columns of the file that its lines keep.
+    columns of the file that its lines keep. ``unfinished`` also takes a last line
+    without terminator.
     """
     starts = F.sequence("start_offset", F.col("end_offset") - 1, F.lit(range_bytes).cast("bigint"))
     pieces = files.filter(F.col("end_offset") > F.col("start_offset")).select(
         *carry, "path", F.explode(starts).alias("start"), F.col("end_offset").alias("_end")
     )
-    pieces = pieces.select(*carry, "path", "start", F.least(F.col("start") + range_bytes, F.col("_end")).alias("end"))
-    pieces = pieces.repartition("path", "start")
+    end = F.least(F.col("start") + range_bytes, F.col("_end"))
+    pieces = pieces.select(*carry, "path", "start", end.alias("end"), (F.lit(unfinished) & (end == F.col("_end"))).alias("last"))
+    pieces = spread(pieces)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [batch.schema.field(c) for c in carry]
             for row in batch.to_pylist():
-                for lines in read_range(row["path"], row["start"], row["end"]):
+                for lines in read_range(row["path"], row["start"], row["end"], last=row["last"]):
                     same = [pa.array([row[f.name]] * len(lines), f.type) for f in kept]
                     yield pa.RecordBatch.from_arrays([*lines.columns, *same], names=[*lines.schema.names, *carry])
 
@@ -108,6 +117,38 @@ def read_ranges(files: DataFrame, range_bytes: int = RANGE_BYTES, carry: Sequenc
     )
 
 
+def spread(rows: DataFrame, per_task: int = 2) -> DataFrame:
+    """Small descriptors of large work over as many tasks as the work needs.
+
+    The number is given, so that adaptive plans don't merge rows for being small.
+    """
+    context = rows.sparkSession.sparkContext
+    count = rows.count()
+    tasks = max(min(count, context.defaultParallelism), -(-count // per_task))
+    return rows.repartition(max(1, min(tasks, 100_000)))
+
+
+def count_lines(listing: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``path, total_rows`` of plain files: terminators, and an unterminated rest."""
+    starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes).cast("bigint")))
+    pieces = spread(listing.filter("size > 0").select("path", "size", starts.alias("start")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = []
+            for path, size, start in zip(*(batch.column(c).to_pylist() for c in ("path", "size", "start"))):
+                end, found, data = min(start + range_bytes, size), 0, b""
+                with open_file(path) as f:
+                    f.seek(start)
+                    for at in range(start, end, 1 << 20):
+                        data = f.read(min(1 << 20, end - at))
+                        found += data.count(b"\n")
+                counts.append(found + (end == size and data[-1:] not in (b"", b"\n")))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(counts, pa.int64())], ["path", "total_rows"])
+
+    return pieces.mapInArrow(run, "path string, total_rows bigint").groupBy("path").agg(F.sum("total_rows").alias("total_rows"))
+
+
 def _per_file(listing: DataFrame, name: str, sql_type: DataType, value, kind: pa.DataType) -> DataFrame:
     """Add a column computed from each file itself, in the tasks."""
 
@@ -117,7 +158,7 @@ def _per_file(listing: DataFrame, name: str, sql_type: DataType, value, kind: pa
             column = pa.array([value(r["path"], r["size"]) for r in rows], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 
-    return listing.mapInArrow(run, StructType([*listing.schema.fields]).add(name, sql_type))
+    return spread(listing, 64).mapInArrow(run, StructType([*listing.schema.fields]).add(name, sql_type))
 
 
 def _complete(path: str, size: int) -> int:

@@ -42,7 +42,7 @@ class TailReader(DataSourceStreamReader):
             for folder, _, names in os.walk(root):
                 for name in names:
                     path = os.path.join(folder, name)
-                    if name.startswith((".", "_")) or not self.pattern.search(name) or not os.path.isfile(path):
+                    if not self.pattern.search(name) or not os.path.isfile(path):
                         continue
                     stat = os.stat(path)
                     with open_file(path) as f:

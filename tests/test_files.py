@@ -162,7 +162,7 @@ def test_passes_follow_growth(spark, tmp_path):
 
 
 def test_search_logs_carry_their_job(spark, tmp_path):
-    from logtables.operators.envelope import agent_literal, jobs_from_nodes
+    from logtables.operators.envelope import collector_literal, jobs_from_nodes
 
     for node in ("n1", "n2"):
         put(tmp_path, f"{node}/c_server.json", b'{"timestamp":"t","message":"%s"}\n' % node.encode())
@@ -172,7 +172,7 @@ def test_search_logs_carry_their_job(spark, tmp_path):
         "node_id string, node_name string, cluster_id string, cluster_name string, cluster_uuid string, port string, path_logs string",
     )
     wanted = jobs_from_nodes(nodes, metadata={"team": "x"}, custom_labels={"env": "prod"})
-    jobs.collect_search_logs(spark, wanted, str(tmp_path / "state"), str(tmp_path / "out"), "now", agent=agent_literal(queue="q"))
+    jobs.collect_search_logs(spark, wanted, str(tmp_path / "state"), str(tmp_path / "out"), "now", collector=collector_literal(queue="q"))
     got = sorted(
         (e["metadata"]["labels"]["node_name"], e["metadata"]["name"], e["payload"]["message"], e["timestamp"])
         for e in events_of(tmp_path / "out")
@@ -183,7 +183,7 @@ def test_search_logs_carry_their_job(spark, tmp_path):
     ]
     one = events_of(tmp_path / "out")[0]
     assert one["metadata"]["team"] == "x" and one["metadata"]["category"] == "elasticsearch"
-    assert one["metadata"]["labels"]["env"] == "prod" and one["agent"]["queue"] == "q"
+    assert one["metadata"]["labels"]["env"] == "prod" and one["collector"]["queue"] == "q"
     assert os.listdir(tmp_path / "out" / "pass=1") and os.path.isdir(tmp_path / "out" / "pass=1" / "queue=q")
 
 
@@ -302,3 +302,55 @@ def test_scan_to_events_in_one_pass(spark, tmp_path):
     total = data.count(b"\n")
     assert counted == -(-total // 10)
     assert joined == 4000 + sum(1 for i in range(4000) if i % 4)
+
+
+def test_no_file_is_left_out_by_its_name(spark, tmp_path):
+    """Scan, listing and tail see the same files, hidden names and links included."""
+    from logtables.operators.serving import list_log_files
+    from logtables.sources.files import position_lines, scan_lines
+    from logtables.streaming.tail import TailReader
+
+    logs, other = tmp_path / "logs", tmp_path / "other"
+    logs.mkdir()
+    other.mkdir()
+    texts = {"a.log": "1\n2\n3\n", "_b.log": "x\ny", ".c.log": "z\n", "empty.log": ""}
+    for name, text in texts.items():
+        (logs / name).write_text(text)
+    (other / "target.txt").write_text("p\nq\n")
+    (logs / "link.log").symlink_to(other / "target.txt")
+    lines = position_lines(scan_lines(spark, str(logs))).collect()
+    found = {(r.name, r.line_no, r.line) for r in lines}
+    assert {("_b.log", 1, "x"), ("_b.log", 2, "y"), (".c.log", 1, "z"), ("a.log", 3, "3")} <= found
+    rows, errors = list_log_files(spark, [str(logs), str(tmp_path / "none")])
+    counts = {r["name"]: (r.total_rows, r.logs_path) for r in rows.collect()}
+    want = {"a.log": 3, "_b.log": 2, ".c.log": 1, "empty.log": 0, "link.log": 2}
+    assert counts == {n: (c, str(logs)) for n, c in want.items()} and len(errors) == 1
+    tail = TailReader({"roots": json.dumps([str(logs)])}).latestOffset()
+    assert {p.rsplit("/", 1)[1] for p in tail} == {*texts, "link.log"}
+
+
+def test_ranges_are_spread_over_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from logtables.sources.ranges import read_ranges
+
+    for i in range(4):
+        (tmp_path / f"f{i}.log").write_text("".join(f"line {n}\n" for n in range(4000)))
+    files = spark.createDataFrame([(str(tmp_path / f"f{i}.log"), 0, 38_890) for i in range(4)], "path string, start_offset long, end_offset long")
+    lines = read_ranges(files, range_bytes=4000)
+    assert lines.count() == 16_000
+    assert lines.select(F.spark_partition_id()).distinct().count() >= 8
+
+
+def test_rejects_are_written(spark, tmp_path):
+    from logtables import jobs
+    from logtables.sources.catalogue import LogPattern
+
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    (logs / "a_server.json").write_text('{"a": 1}\n{broken\n{"b": 2}\n' + '{"c": "' + "y" * 900 + '"}\n')
+    pattern = LogPattern(name="json", pattern=r"_server\.json$", type="json")
+    out = str(tmp_path / "out")
+    jobs.collect_logs(spark, str(logs), [pattern], str(tmp_path / "state"), out, "now", max_bytes=200)
+    rows = spark.read.parquet(f"{out}-rejects").collect()
+    assert sorted(r.reason for r in rows) == ["line too long", "no JSON object"]
