@@ -42,6 +42,12 @@ def rejected(events: DataFrame) -> DataFrame:
     return events.filter(F.col("json").isNull()).drop("json")
 
 
+# The three error texts.
+NO_OBJECT = "Error decoding JSON"
+NO_KEY = "Key '{}' not found"
+NO_STRING = "Value of key '{}' is not a string"
+
+
 def _error(message: Column) -> Column:
     return F.to_variant_object(F.struct(message.alias("message"), F.lit("json").alias("type")))
 
@@ -69,11 +75,11 @@ def decode_json(
         value = obj[message_key]
         has_key = F.map_contains_key(obj, message_key)
         content = F.when(failed, F.col(column)).otherwise(F.coalesce(as_text(value), F.lit("")))
-        problem = F.when(~has_key, F.lit(f"Key '{message_key}' not found")).when(
-            ~is_text(value), F.lit(f"Value of key '{message_key}' is not a string")
+        problem = F.when(~has_key, F.lit(NO_KEY.format(message_key))).when(
+            ~is_text(value), F.lit(NO_STRING.format(message_key))
         )
     if add_error_key:
-        problem = F.when(failed, F.lit("Error decoding JSON")).otherwise(problem)
+        problem = F.when(failed, F.lit(NO_OBJECT)).otherwise(problem)
         base = F.coalesce(obj, F.create_map().cast(OBJECT))
         json = F.when(problem.isNotNull(), put(base, "error", _error(problem))).otherwise(obj)
     return df.withColumns({"json": json, "content": content}).drop("_object")

@@ -13,7 +13,7 @@ from ..sources.paths import safe_join
 from .fixtures import Inputs, cte
 from .registry import query
 
-_ENGINES = r"regexp_matches(cmdline, '(?i)org.(easy|elastic|open)search.bootstrap.(Easy|Elastic|Open)Search')"
+_ENGINES = f"regexp_matches(cmdline, '{d.ENGINE_CLASS}')"
 
 
 @query("engine_processes", cte("fx_processes") + f"select host_id, pid, name from fx_processes where {_ENGINES}")
