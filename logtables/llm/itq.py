@@ -123,6 +123,7 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, recall: float
     # Clusters: a point joins the smallest pivot within half the angle.
     some = cells.where("nth < 4")
     dense = some.groupBy("label", "cell").agg(F.count("*").alias("n"), F.min("point").alias("pivot")).where(F.col("n") >= DENSE)
+    dense = settled(dense)  # so that the join below can split a cell with very many points
     tries = some.join(dense, ["label", "cell"]).where("point <> pivot").select("point", "pivot").distinct()
     tries = tries.join(points.select("point", F.col("vector").alias("x")), "point")
     tries = tries.join(points.select(F.col("point").alias("pivot"), F.col("vector").alias("y")), "pivot")
