@@ -38,6 +38,42 @@ def explode_nodes(docs: DataFrame, doc: str = "doc") -> DataFrame:
     return rows.withColumn("node", _object(F.col("_node"))).filter(F.col("node").isNotNull()).drop("_node")
 
 
+def explode_indices(docs: DataFrame, doc: str = "doc") -> DataFrame:
+    """One row per index of index stats documents, and their ready-made ``_all``.
+
+    ``primaries`` and ``total`` stay whole; a document without ``_all`` has no such row.
+    """
+    every = F.try_variant_get(doc, "$._all", "variant")
+    named = F.map_filter(_object(F.try_variant_get(doc, "$.indices", "variant")), lambda k, _: k != "_all")
+    found = F.coalesce(named, F.create_map().cast(OBJECT))
+    found = F.when(every.isNotNull(), F.map_concat(found, F.create_map(F.lit("_all"), every))).otherwise(found)
+    rows = docs.select(*_keys(docs, SNAPSHOT), F.explode(found).alias("index_name", "_stats"))
+    stats = _object(F.col("_stats"))
+    uuid = F.when(F.col("index_name") == "_all", F.lit("_all")).otherwise(as_text(stats["uuid"]))
+    rows = rows.filter(stats.isNotNull())
+    return rows.select(*_keys(rows, SNAPSHOT), "index_name", uuid.alias("index_uuid"), stats["primaries"].alias("primaries"), stats["total"].alias("total"))
+
+
+def _explode_listing(docs: DataFrame, doc: str, fields: Mapping[str, str]) -> DataFrame:
+    """Rows of documents that are lists of flat objects, with the named fields as text."""
+    rows = docs.select(*_keys(docs, SNAPSHOT), F.explode(F.try_variant_get(doc, "$", "array<variant>")).alias("_row"))
+    row = _object(F.col("_row"))
+    rows = rows.filter(row.isNotNull())
+    return rows.select(*_keys(rows, SNAPSHOT), *[as_text(row[source]).alias(name) for name, source in fields.items()])
+
+
+def explode_shard_listing(docs: DataFrame, doc: str = "doc") -> DataFrame:
+    """Shard listing documents as ``index_name, shard, shard_type, state, node_id``."""
+    fields = {"index_name": "index", "shard": "shard", "shard_type": "prirep", "state": "state", "node_id": "id"}
+    return _explode_listing(docs, doc, fields)
+
+
+def explode_index_list(docs: DataFrame, doc: str = "doc") -> DataFrame:
+    """Index list documents as ``index_name`` and what the list says about each."""
+    fields = {"index_name": "index", "index_uuid": "uuid", "health": "health", "status": "status", "shards": "pri", "replicas": "rep", "docs_count": "docs.count"}
+    return _explode_listing(docs, doc, fields)
+
+
 def _shard_lists(node: Column) -> Column:
     return _object(_object(node["indices"])["shards"])
 
@@ -171,13 +207,15 @@ def index_events(
     stats: DataFrame,
     cat_shards: DataFrame | None = None,
     indices: DataFrame | None = None,
-    keys: Sequence[str] = ("index_name",),
+    keys: Sequence[str] | None = None,
     available: bool = True,
 ) -> DataFrame:
     """Per index its stats, its info and its shard list; the last two may be absent.
 
-    ``keys`` should name the snapshot too, which bounds a list to one moment.
+    ``keys`` are the snapshot, where the stats have one, and the index: a list is then
+    bounded to one moment.
     """
+    keys = keys or [*_keys(stats, SNAPSHOT[:1]), "index_name"]
     out = stats
     if available and indices is not None:
         info = [c for c in indices.columns if c not in keys]

@@ -253,3 +253,32 @@ def test_index_toggles(spark):
     df = spark.createDataFrame([(1, 2, 3, 4)], "pri_docs int, total_docs int, index_info int, shard_info int")
     assert metrics.index_fields(df, primary_stats=False).columns == []
     assert metrics.index_fields(df, primary_stats=False, total_stats=True).columns == ["total_docs"]
+
+
+def test_landed_documents_feed_the_metric_operators(spark, tmp_path):
+    """From files of documents to events, without renaming anything on the way."""
+    from logtables.sources.snapshots import read_snapshots
+
+    shard = {"routing": {"node": "n1", "primary": True, "state": "STARTED"}, "docs": {"count": 3}}
+    docs = {
+        "node_stats": {"cluster_name": "c", "nodes": {"n1": {"host": "h", "indices": {"shards": {"logs": [{"0": shard}]}}}}},
+        "index_stats": {"_all": {"total": {"docs": 9}}, "indices": {"a": {"uuid": "u1", "primaries": {"docs": 4}, "total": {"docs": 8}}, "b": {"uuid": "u2"}, "x": 1}},
+        "cat_shards": [{"index": "a", "shard": "0", "prirep": "p", "state": "STARTED", "id": "n1"}, {"index": "a", "shard": "1", "prirep": "r", "state": "STARTED", "id": "n2"}, 5],
+        "indices": [{"index": "a", "uuid": "u1", "health": "green", "status": "open", "pri": "2", "rep": "1", "docs.count": "8"}],
+    }
+    for kind, doc in docs.items():
+        (tmp_path / kind).mkdir()
+        (tmp_path / kind / "d.json").write_text(json.dumps(doc) + "\n")
+    read = lambda kind: read_snapshots(spark, str(tmp_path / kind), kind, cluster_uuid="uuid-1")
+    nodes = metrics.explode_nodes(read("node_stats"))
+    assert [(r.cluster_id, r.cluster_uuid, r.node_id) for r in nodes.collect()] == [("c", "uuid-1", "n1")]
+    assert metrics.shard_event(metrics.explode_shards(nodes)).count() >= 1
+    stats = metrics.explode_indices(read("index_stats"))
+    rows = {r.index_name: r for r in stats.selectExpr("index_name", "index_uuid", "cast(total as string) as total", "cast(primaries as string) as primaries").collect()}
+    assert {n: (r.index_uuid, r.total) for n, r in rows.items()} == {"_all": ("_all", '{"docs":9}'), "a": ("u1", '{"docs":8}'), "b": ("u2", None)}
+    listing, info = metrics.explode_shard_listing(read("cat_shards")), metrics.explode_index_list(read("indices"))
+    # The documents of one moment are one snapshot; here they were landed one by one.
+    same = lambda df: df.drop("cluster_id", "cluster_uuid", "timestamp").withColumn("snapshot", F.lit("s"))
+    events = {r.index_name: r for r in metrics.index_events(same(stats), same(listing), same(info)).selectExpr("index_name", "index_info", "shard_info").collect()}
+    assert [s.shard for s in events["a"].shard_info] == ["0", "1"] and events["a"].index_info.health == "green"
+    assert events["b"].shard_info is None and events["b"].index_info is None
