@@ -23,12 +23,18 @@ _FIELDS = pa.schema(
 )
 
 
+def without_checksums(names: Sequence[str]) -> list[str]:
+    """Names of a folder less the checksum files Hadoop keeps beside its own: ``.name.crc``."""
+    there = set(names)
+    return [n for n in names if not (n.startswith(".") and n.endswith(".crc") and n[1:-4] in there)]
+
+
 def _local(root: str, recursive: bool) -> Iterator[tuple]:
     """Regular files below a mounted folder; a link stands for its target."""
     for folder, folders, names in os.walk(root):
         if not recursive:
             folders.clear()
-        for name in names:
+        for name in without_checksums(names):
             walked = os.path.join(folder, name)
             try:
                 path = os.path.realpath(walked) if os.path.islink(walked) else walked

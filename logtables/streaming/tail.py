@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from ..sources.listing import without_checksums
 from ..sources.ranges import LINE_DDL, RANGE_BYTES, complete_end, open_file, read_range
 
 
@@ -40,7 +41,7 @@ class TailReader(DataSourceStreamReader):
         found: dict[str, list] = {}
         for root in self.roots:
             for folder, _, names in os.walk(root):
-                for name in names:
+                for name in without_checksums(names):
                     path = os.path.join(folder, name)
                     if not self.pattern.search(name) or not os.path.isfile(path):
                         continue
