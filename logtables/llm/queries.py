@@ -85,7 +85,7 @@ def op5(spark, sf_dir):
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@query("op6_sharding")
+@query("op6_sharding", sharding.ORACLE)
 def op6(spark, sf_dir):
     rows = sharding.shard(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -55,3 +55,29 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
     )
     start = F.col("shard") * F.lit(each).cast("long") + F.least(F.col("shard"), F.lit(extra))
     return rows.withColumn("slot", F.col("place") - start).drop("all", "key", "nth", "n", "fraction")
+
+
+# The checksum bit by bit gives its table of 256 steps; a text is folded byte by byte.
+ORACLE = """
+with recursive bits as (
+  select i, i::bigint as c, 0 as n from range(256) r(i)
+  union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n + 1 from bits where n < 8),
+steps as (select list(c order by i) as step from bits where n = 8),
+d as (
+  select doc_id, coalesce('a' || source, 'n') as src, octet_length(encode(coalesce(text, '')))::bigint + 8 as size,
+    md5(concat_ws(':', 'shard', doc_id)) as key,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::bigint) as bytes from documents),
+c as (
+  select doc_id, src, size, key,
+    xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295) as text_crc32
+  from d, steps),
+r as (
+  select *, (row_number() over (partition by src order by key, doc_id, size, text_crc32) - 1 + 0.5::double) / count(*) over (partition by src) as fraction from c),
+p as (select *, row_number() over (order by fraction, src, key, doc_id, size, text_crc32) - 1 as place, count(*) over () as n from r),
+s as (
+  select *, n // 24 as each, n % 24 as extra,
+    case when place < (n % 24) * (n // 24 + 1) then place // (n // 24 + 1) else (n % 24) + (place - (n % 24) * (n // 24 + 1)) // greatest(n // 24, 1) end as shard
+  from p)
+select doc_id, size, text_crc32::bigint as text_crc32, 'rows' as law, shard::int as shard,
+  (place - shard * each - least(shard, extra))::bigint as slot, null::int as grown_shard from s
+"""
