@@ -7,13 +7,15 @@ stage returns the encoded documents.
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtables.llm import bpe, langid, minhash, mixing, toxicity
-from logtables.llm.common import free_name, settled, table
-from logtables.session import configure
+from logtables.llm.common import free_name, table
+from logtables.session import checkpoint_dir, configure
 
 #: A text whose best language is less likely than this is in no known language.
 LEAST_LANGUAGE_SCORE = 0.35
@@ -66,7 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other, each one's documents written and read again."""
     docs = table(configure(spark), sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = settled(stage(spark, docs, sf_dir))
-    return docs
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
