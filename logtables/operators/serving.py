@@ -12,12 +12,6 @@ from ..sources.listing import list_files
 from ..sources.ranges import count_lines
 
 
-def count_rows(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """Add ``total_rows``; an unterminated last line counts, an empty file has 0."""
-    counts = lines.groupBy("path").agg(F.count(F.lit(1)).alias("total_rows"))
-    return files.join(counts, "path", "left").withColumn("total_rows", F.coalesce("total_rows", F.lit(0)))
-
-
 def list_log_files(spark: SparkSession, folders: Sequence[str]) -> tuple[DataFrame, list[dict[str, str]]]:
     """Files directly in the folders with size, time and rows, and folders that failed."""
     good, errors = [], []

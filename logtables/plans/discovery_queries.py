@@ -12,6 +12,7 @@ from ..sources.files import with_offsets
 from ..sources.paths import safe_join
 from .fixtures import Inputs, cte
 from .registry import query
+from .source_queries import staging
 
 _ENGINES = f"regexp_matches(cmdline, '{d.ENGINE_CLASS}')"
 
@@ -180,19 +181,20 @@ def _(i: Inputs):
 
 @query(
     "list_log_files",
-    cte("fx_doc_lines")
-    + """select source || '/' || cast(doc_id as varchar) as path, source as logs_path, octet_length(encode(text)) as size_in_bytes,
- len(string_split(text, chr(10))) as total_rows from documents
- union all select source || '/' || cast(doc_id as varchar) || '.empty', source, 0, 0 from documents""",
+    """select source as folder, cast(sum(octet_length(encode(text)) + 1) as bigint) as size_in_bytes,
+ cast(sum(len(string_split(text, chr(10)))) as bigint) as total_rows from documents group by source""",
 )
 def _(i: Inputs):
-    docs = i.table("documents").select(
-        F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"),
-        F.col("source").alias("logs_path"),
-        F.octet_length("text").cast("bigint").alias("size_in_bytes"),
-    )
-    empty = docs.select(F.concat("path", F.lit(".empty")).alias("path"), "logs_path", F.lit(0).cast("bigint").alias("size_in_bytes"))
-    return s.count_rows(docs.unionByName(empty), i.doc_lines)
+    # Real files, a folder per source; one folder asked for does not exist.
+    docs = i.table("documents").select("source", F.col("text").alias("value"))
+    folder = staging(i, "listed")
+    docs.write.partitionBy("source").text(folder)
+    asked = [f"{folder}/source={r.source}" for r in docs.select("source").distinct().collect()]
+    files, errors = s.list_log_files(i.spark, [*asked, f"{folder}/none"])
+    if len(errors) != 1:
+        raise ValueError(f"one folder is missing, not {errors}")
+    source = F.regexp_extract("logs_path", "source=([^/]*)$", 1).alias("folder")
+    return files.groupBy(source).agg(F.sum("size_in_bytes").alias("size_in_bytes"), F.sum("total_rows").alias("total_rows"))
 
 
 @query(
