@@ -17,20 +17,18 @@ from logtables.llm import bpe, langid, minhash, mixing, toxicity
 from logtables.llm.common import free_name, table
 from logtables.session import checkpoint_dir, configure
 
-#: A text whose best language is less likely than this is in no known language.
-LEAST_LANGUAGE_SCORE = 0.35
 #: A text is toxic from this score on.
 TOXIC_SCORE = 0.5
 TOKENIZER = "word_bpe_49k.json"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts in no known language: null, without letters, or unlike every language.
-    A missing language is filled in with the one found."""
+    """Drops texts in no language: null or without letters. Texts in several languages have
+    low scores and stay. A missing language is filled in with the one found."""
     model = langid.train(table(configure(spark), sf_dir, "documents"))
     found, score = free_name(docs, "found_lang"), free_name(docs, "found_score")
     rows = langid.identify(docs, model, (found, score))
-    rows = rows.where((F.col(found) != langid.UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE_SCORE))
+    rows = rows.where(F.col(found) != langid.UNKNOWN)
     return rows.withColumn("lang", F.coalesce("lang", found)).select(*docs.columns)
 
 
