@@ -130,7 +130,11 @@ def assemble_stream(
     def run(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         carry = _read_carry(session, folder, batch_id)
-        new = batch.filter(F.col("path").isNotNull())
+        # The source is read once; assembly looks at the lines several times.
+        fresh = batch.filter(F.col("path").isNotNull())
+        landed = f"{folder}/lines/batch={batch_id}"
+        fresh.write.mode("overwrite").parquet(landed)
+        new = session.read.schema(fresh.schema).parquet(landed)
         events = assemble_batch(new, carry, clock(), pattern, idle=idle, **options)
         # Written once: delivery and the next carry come from the same rows.
         staged = f"{folder}/events/batch={batch_id}"
@@ -143,6 +147,7 @@ def assemble_stream(
         )
         keep.write.mode("overwrite").parquet(f"{folder}/open/batch={batch_id}")
         deliver(events.filter("not open").drop("open", "probe", "seen"), batch_id)
+        _drop(session, landed)
         _drop(session, f"{folder}/events/batch={batch_id - 2}")
 
     return lines.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint")
