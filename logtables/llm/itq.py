@@ -3,8 +3,8 @@
 A rotation is learned on a bounded sample so that the signs of the rotated, centred vectors
 are balanced bits with little loss. The bits are cut into substrings, each the key of a
 table; vectors that share a key (and a label) are candidates. The substrings' length follows
-the number of vectors, their number, from several rotations, the recall asked for at the
-threshold. Candidates are decided on the original vectors in double precision.
+the number of vectors; their number, from several rotations, is measured on pairs at the
+threshold, made of the sample, for the recall asked for. Candidates are decided on the original vectors in double precision.
 
 Very many like vectors are not compared pair by pair. Equal vectors are one point. In dense
 table cells points join a pivot within half the threshold's angle; any two points of such a
@@ -34,35 +34,109 @@ RECALL = 0.98
 ROUNDS = 30
 #: Points in a cell from which on it is dense.
 DENSE = 16
+#: Pairs of a kind that the tables are planned on, and rotations that their length is.
+PAIRS, FIRST = 4096, 2
 #: Room for rounding in angles, in radians.
 ROOM = 1e-7
 
 
-def learn_rotations(vectors: np.ndarray, count: int, rounds: int = ROUNDS) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The mean of unit vectors and ``count`` matrices from vectors to at most 62 bits."""
+def learn_rotation(centred: np.ndarray, axes: np.ndarray, seed: int, rounds: int = ROUNDS) -> np.ndarray:
+    """A matrix from centred vectors to bits; random and not learned with 0 rounds."""
+    reduced, bits = centred @ axes, axes.shape[1]
+    rotation, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))
+    for _ in range(rounds):
+        signs = np.where(reduced @ rotation >= 0, 1.0, -1.0)
+        left, _, right = np.linalg.svd(reduced.T @ signs)
+        rotation = left @ right
+    return axes @ rotation
+
+
+def threshold_pairs(unit: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Kinds of pairs of unit vectors at the threshold: sampled vectors with partners in any
+    direction, with partners along differences of sampled vectors, and the sample's own
+    pairs next above the threshold."""
+    rng = np.random.default_rng(7)
+    first = unit[rng.integers(0, len(unit), PAIRS)]
+    along = unit[rng.integers(0, len(unit), PAIRS)] - unit[rng.integers(0, len(unit), PAIRS)]
+    kinds = []
+    for step in (rng.standard_normal(first.shape), along):
+        step = step - np.einsum("ij,ij->i", step, first)[:, None] * first
+        size = np.linalg.norm(step, axis=1)
+        some = size > 1e-6
+        if some.any():
+            x = first[some]
+            kinds.append((x, threshold * x + math.sqrt(1 - threshold**2) * step[some] / size[some, None]))
+    own = np.zeros((3, 0))
+    for at in range(0, len(unit), 1024):
+        cosine = unit[at : at + 1024] @ unit.T
+        i, j = np.nonzero(cosine >= threshold)
+        i, j, c = (v[j > i + at] for v in (i, j, cosine[i, j]))
+        own = np.concatenate([own, [i + at, j, c]], axis=1)
+        own = own[:, np.argsort(own[2], kind="stable")[:PAIRS]]
+    if own.shape[1]:
+        kinds.append((unit[own[0].astype(int)], unit[own[1].astype(int)]))
+    return kinds
+
+
+def _signs(unit: np.ndarray, mean: np.ndarray, rotation: np.ndarray) -> np.ndarray:
+    return (unit - mean) @ rotation >= 0
+
+
+def plan_tables(vectors: np.ndarray, points: int, threshold: float, recall: float) -> tuple[np.ndarray, list[np.ndarray], int, int, int]:
+    """Mean, rotations, substring length, number of tables, and the most bits that a pair at
+    the threshold differs in.
+
+    All is measured on pairs at the threshold, in the bits of the centred code: centring
+    widens a pair's angle the more, the closer it is to the mean. The length is the one of
+    least work up to the one where a cell holds a few unlike points; tables are added until
+    the share ``recall`` of every kind of pairs shares a cell. Length 0, one cell for all
+    points, is exact; it is taken where tables would be more work than that.
+    """
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     mean = unit.mean(0)
     centred = unit - mean
-    bits = min(62, centred.shape[1])
+    bits = min(62, unit.shape[1])
     _, axes = np.linalg.eigh(centred.T @ centred + 1e-9 * np.eye(centred.shape[1]))
     axes = axes[:, ::-1][:, :bits]
-    reduced, found = centred @ axes, []
-    for seed in range(count):
-        rotation, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))
-        for _ in range(rounds):
-            signs = np.where(reduced @ rotation >= 0, 1.0, -1.0)
-            left, _, right = np.linalg.svd(reduced.T @ signs)
-            rotation = left @ right
-        found.append(axes @ rotation)
-    return mean, found
-
-
-def plan_tables(points: int, bits: int, threshold: float, recall: float) -> tuple[int, int]:
-    """Substring length and number of tables: a cell holds a few unlike points on average,
-    and a pair at the threshold shares a cell with probability ``recall``."""
-    length = min(bits, 26, max(6, math.ceil(math.log2(max(2, points / 4)))))
-    same = (1 - math.acos(threshold) / math.pi) ** length
-    return length, max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
+    rotations = [learn_rotation(centred, axes, seed) for seed in range(FIRST)]
+    kinds = threshold_pairs(unit, threshold)
+    rng = np.random.default_rng(8)
+    unlike = unit[rng.integers(0, len(unit), PAIRS)], unit[rng.integers(0, len(unit), PAIRS)]
+
+    def agreeing(pair: tuple[np.ndarray, np.ndarray], rotation: np.ndarray) -> np.ndarray:
+        return _signs(pair[0], mean, rotation) == _signs(pair[1], mean, rotation)
+
+    rates = [np.mean([agreeing(pair, r).mean(1) for r in rotations], axis=0) for pair in (*kinds, unlike)]
+    work = {0: 1 + points / 2}
+    for length in range(1, min(bits, 26, max(6, math.ceil(math.log2(max(2, points / 4))))) + 1):
+        hit = min(1 - 1e-9, *((rate**length).mean() for rate in rates[:-1]))
+        # Rows of the tables, and pairs of unlike points.
+        if hit > 1e-9:
+            work[length] = math.log(1 - recall) / math.log(1 - hit) * (1 + points / 2 * (rates[-1] ** length).mean())
+    length = min(work, key=work.get)
+    if not length:
+        return mean, rotations[:1], 0, 1, bits
+    each, tables = bits // length, 0
+    missed = [np.ones(len(x), bool) for x, _ in kinds]
+    most = work[0]
+    planned = work[length] / (1 + points / 2 * (rates[-1] ** length).mean()) / each
+    while any(m.sum() > (1 - recall) * len(m) for m in missed):
+        if tables > most:
+            return mean, rotations[:1], 0, 1, bits
+        number = tables // each
+        if number == len(rotations):
+            # Learned ones can be alike; beyond the expected number they are random.
+            rotations.append(learn_rotation(centred, axes, number, ROUNDS if number <= planned else 0))
+        same = [agreeing(pair, rotations[number]) for pair in kinds]
+        for s in range(each):
+            for m, found in zip(missed, same):
+                m &= ~found[:, s * length : (s + 1) * length].all(1)
+            tables += 1
+            if not any(m.sum() > (1 - recall) * len(m) for m in missed):
+                break
+    apart = [(~agreeing(pair, rotations[0])).sum(1) for pair in kinds]
+    apart = max(max(a.max(), math.ceil(a.mean() + 4.5 * a.std())) for a in apart)
+    return mean, rotations[: -(-tables // each)], length, tables, min(bits, int(apart))
 
 
 def _cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -78,23 +152,23 @@ def _compared(pairs: DataFrame, added: str, decide) -> DataFrame:
     return arrow_pass(pairs, added, work, keep=[c for c in pairs.columns if c not in ("x", "y")])
 
 
-def _cells(points: DataFrame, threshold: float, recall: float, total: int) -> DataFrame:
-    """Adds code (bits of the first rotation) and cells (one key per table) to points."""
+def _cells(points: DataFrame, threshold: float, recall: float, total: int) -> tuple[DataFrame, int]:
+    """Adds code (bits of the first rotation) and cells (one key per table) to points; and
+    the most bits that the codes of a pair at the threshold differ in."""
     drawn = sample(points.select(F.col("point").alias("vec_id"), "vector"), "itq", total)
     bits = min(62, drawn.shape[1])
-    length, tables = plan_tables(total, bits, threshold, recall)
-    each = bits // length
-    mean, rotations = learn_rotations(drawn, -(-tables // each))
+    mean, rotations, length, tables, apart = plan_tables(drawn, total, threshold, recall)
+    each = bits // max(1, length)
     shared = points.sparkSession.sparkContext.broadcast((mean, rotations))
 
     def work():
         def step(part: pa.RecordBatch) -> list[pa.Array]:
             mean, rotations = shared.value
             x = matrix(part.column("vector"))
-            x = x / np.linalg.norm(x, axis=1, keepdims=True) - mean
+            x = x / np.linalg.norm(x, axis=1, keepdims=True)
             keys, first = [], None
             for n, rotation in enumerate(rotations):
-                signs = (x @ rotation >= 0).astype(np.int64)
+                signs = _signs(x, mean, rotation).astype(np.int64)
                 code = signs @ (1 << np.arange(bits, dtype=np.int64))
                 first = code if first is None else first
                 for s in range(each):
@@ -105,7 +179,7 @@ def _cells(points: DataFrame, threshold: float, recall: float, total: int) -> Da
 
         return step
 
-    return arrow_pass(points, "code long, cells array<bigint>", work)
+    return arrow_pass(points, "code long, cells array<bigint>", work), apart
 
 
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -117,7 +191,8 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, recall: float
     total = points.count()
     if not total:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    points = settled(_cells(points, threshold, recall, total))
+    points, apart = _cells(points, threshold, recall, total)
+    points = settled(points)
     cells = points.select("point", "label", "code", F.posexplode("cells").alias("nth", "cell"))
 
     # Clusters: a point joins the smallest pivot within half the angle.
@@ -147,9 +222,6 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, recall: float
     single = (F.col("points") == 1) & (F.col("leader") == F.col("least"))
     marks = clusters.join(points.select(F.col("point").alias("leader"), "code"), "leader").select("leader", F.when(single, F.col("code")).alias("code"))
     held = settled(held.join(marks, "leader"))
-    bits = min(62, len(points.select("vector").first().vector))
-    rate = wide / math.pi
-    apart = math.ceil(bits * rate + 4.5 * math.sqrt(bits * rate * (1 - rate)))
     other = held.select("label", "cell", F.col("leader").alias("b"), F.col("code").alias("code_b"))
     pairs = held.withColumnRenamed("leader", "a").join(other, ["label", "cell"]).where("a < b")
     pairs = pairs.where(F.coalesce(F.bit_count(F.col("code").bitwiseXOR(F.col("code_b"))) <= apart, F.lit(True))).select("a", "b").distinct()

@@ -66,6 +66,34 @@ def test_itq_equals_brute_force(spark, monkeypatch, dense):
         assert r.component_id == component[i] and r.kept == (i == component[i])
 
 
+@pytest.mark.parametrize("norm", [0.0, 0.8, 0.9])
+def test_itq_keeps_its_recall_off_centre(spark, norm):
+    """Pairs at a cosine of 0.935 among vectors with a common direction."""
+    rng = np.random.default_rng(12)
+    direction = rng.standard_normal(48)
+    direction /= np.linalg.norm(direction)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    x = rng.standard_normal((1500, 48))
+    x = unit(norm * direction + np.sqrt(1 - norm**2) * unit(x - (x @ direction)[:, None] * direction))
+    step = rng.standard_normal(x.shape)
+    step = unit(step - np.einsum("ij,ij->i", step, x)[:, None] * x)
+    x = np.concatenate([x, 0.935 * x + np.sqrt(1 - 0.935**2) * step])
+    linked = (unit(x) @ unit(x).T >= 0.93).sum() - len(x)
+    rows = [(i, v.tolist(), 1, 1, "x") for i, v in enumerate(x)]
+    schema = SCHEMA.replace("array<float>", "array<double>")
+    found = sum(r.n_links for r in itq.near_duplicates(spark.createDataFrame(rows, schema)).collect())
+    assert 0.965 * linked <= found <= linked
+
+
+def test_itq_compares_two_vectors(spark):
+    """Two vectors are opposite each other once their mean is taken off."""
+    rows = [(1, [1.0, 0.0, 0.0], 1, 1, "x"), (2, [0.95, 0.3, 0.0], 1, 1, "x")]
+    assert [r.n_links for r in itq.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()] == [1, 1]
+
+
 def test_hilbert_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(hilbert, "BLOCK", 64)
     rows = _vectors(6)
