@@ -14,8 +14,8 @@ to a pivot. These pairs, about as many as there are texts, are confirmed on the
 sets. Where a pair of a forest fails, or a large node still has several components, a second
 round compares the full sets of the node's texts all with all, within tasks, and reports a
 spanning forest of the links. Large nodes are dealt into blocks for that, of which those of
-the most frequent component are not compared with each other; still larger ones are branched
-on first. So no task gathers a large group and none emits all pairs of one.
+the most frequent component are not compared with each other; still larger ones meet further
+pivots first, which makes that component larger. So no task gathers a large group and none emits all pairs of one.
 
 Defined results: a text that is null or has no words has an empty set, is linked with
 nothing and is its own component; a text with fewer words than a shingle is one shingle;
@@ -49,11 +49,11 @@ SPREAD = 0.07
 #: standard deviations of the estimate.
 SLACK = 0.13
 LEAF = 400
-#: Classes up to which a node is compared in pairs of blocks without branching on.
+#: Classes up to which a node is compared in pairs of blocks without further pivots.
 LARGE = 8000
 #: Chance that unlike texts share a minwise token, for the depth of the trees.
 UNLIKE = 0.03
-#: Further levels for nodes above that.
+#: Rounds of further pivots, at most, for nodes above that.
 MORE_LEVELS = 10
 #: Up to so many ids are broadcast to pick out the texts to confirm; more are joined.
 BROADCAST_IDS = 200_000
@@ -153,29 +153,22 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, COORDINATES)
 
 
-def branch(rows: DataFrame, levels: int, threshold: float, trees: int | None) -> DataFrame:
-    """(rep, signature) from the roots of ``trees``, or (node, rep, component, signature)
-    from their nodes, ``levels`` down: (node, rep) or (node, rep, component)."""
+def branch(rows: DataFrame, levels: int, threshold: float, trees: int) -> DataFrame:
+    """(node, rep) from (rep, signature), ``levels`` down from the roots of ``trees``."""
     second = second_pick(threshold)
-    names = ["node", "rep"] + ([] if trees else ["component"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 marks = _matrix(part.column("signature"))
-                owners = np.arange(len(marks))
-                if trees:
-                    nodes = np.repeat(scramble(np.arange(1, trees + 1, dtype=np.uint64)), len(marks))
-                    owners = np.tile(owners, trees)
-                else:
-                    nodes = part.column("node").to_numpy().view(np.uint64)
+                nodes = np.repeat(scramble(np.arange(1, trees + 1, dtype=np.uint64)), len(marks))
+                owners = np.tile(np.arange(len(marks)), trees)
                 for _ in range(levels):
                     nodes, owners = children(nodes, owners, marks, second)
-                taken = [part.column(c).to_numpy()[owners] for c in names[1:]]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), *map(pa.array, taken)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(part.column("rep").to_numpy()[owners])], ["node", "rep"])
 
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return rows.mapInArrow(run, "node long, rep long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], payload: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
@@ -328,22 +321,10 @@ def _several(rows: DataFrame) -> DataFrame:
     return whole.where("parts > 1").select("node", "n", F.col("main.component").alias("main"), F.col("main.m").alias("m"))
 
 
-def _blocks(rows: DataFrame, threshold: float, marks: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame) -> DataFrame:
     """Large nodes (node, rep, component) as nodes of at most about ``LEAF`` rows, which
     together hold every pair of different components."""
-    done, level = None, rows
-    for _ in range(MORE_LEVELS):
-        sizes = settled(_several(level))
-        fit = level.join(sizes.where(F.col("n") <= LARGE), "node")
-        done = fit if done is None else done.union(fit)
-        over = sizes.where(F.col("n") > LARGE).select("node")
-        if over.isEmpty():
-            level = None
-            break
-        level = settled(branch(level.join(over, "node").join(marks, "rep"), 1, threshold, None).distinct())
-    if level is not None:
-        fit = level.join(_several(level), "node")
-        done = fit if done is None else done.union(fit)
+    done = rows.join(_several(rows), "node")
     # Blocks of the most frequent component, and of all others, half a leaf each.
     half = LEAF // 2
     mine = F.col("component") == F.col("main")
@@ -358,6 +339,32 @@ def _blocks(rows: DataFrame, threshold: float, marks: DataFrame) -> DataFrame:
     return rows.select(name.alias("node"), "rep", "component")
 
 
+def _joined(crowds: DataFrame, found: DataFrame) -> DataFrame:
+    return settled(crowds.select("node", "rep").join(found, "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("component")))
+
+
+def _more_pivots(crowds: DataFrame, first: DataFrame, found: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(node, rep, component), links and components after rounds in which the rows outside
+    a large node's most frequent component meet a further pivot of that component."""
+    for turn in range(MORE_LEVELS):
+        over = settled(_several(crowds).where(F.col("n") > LARGE))
+        if over.isEmpty():
+            break
+        rows = crowds.join(over.select("node", "main"), "node")
+        drawn = rows.where("component = main").groupBy("node").agg(F.min_by("rep", F.xxhash64("rep", F.lit(3 + turn))).alias("pivot"))
+        tries = rows.where("component <> main").join(drawn, "node")
+        tries = tries.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+        tries = settled(tries)
+        good = settled(confirm(tries, sets, threshold))
+        # The blocks compare what is left; rounds that join little don't pay.
+        if 4 * good.count() < tries.count():
+            break
+        first = settled(first.union(good))
+        found = settled(components(first)).withColumnRenamed("id", "rep")
+        crowds = _joined(crowds, found)
+    return crowds, first, found
+
+
 def links(docs: DataFrame, classes: DataFrame, words: int, threshold: float, recall: float) -> DataFrame:
     """Confirmed links (a, b) that connect the classes (rep, signature)."""
     least = threshold - SLACK
@@ -384,6 +391,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int, threshold: float, rec
     sets = settled(full_sets(docs, settled(ids), words))
     first = settled(confirm(pairs, sets, threshold))
     found = settled(components(first)).withColumnRenamed("id", "rep")
+    crowds, first, found = _more_pivots(_joined(crowds, found), first, found, sets, threshold)
     component = F.coalesce("component", "rep").alias("component")
 
     # Nodes where a likely pair failed and its ends are not connected otherwise.
@@ -391,9 +399,8 @@ def links(docs: DataFrame, classes: DataFrame, words: int, threshold: float, rec
     failed = forest.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
     failed = failed.select("node").distinct()
     again = members.join(failed, "node").join(found, "rep", "left").select("node", "rep", component)
-    crowds = settled(crowds.join(found, "rep", "left").select("node", "rep", component))
     # Texts without a likely partner have no full set here, and need none.
-    rows = again.union(_blocks(crowds, threshold, classes)).join(sets, "rep")
+    rows = again.union(_blocks(crowds)).join(sets, "rep")
     more = node_pairs(rows, "hashes", lambda reps, parts, loads: _linked(reps, parts, loads, threshold))
     return first.union(more.select("a", "b").distinct())
 

@@ -105,6 +105,19 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, leaf, large, leve
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+def test_near_duplicates_of_large_nodes_are_not_parted(spark, monkeypatch):
+    """A chain of like texts, each linked with its neighbours only, in nodes above LARGE."""
+    monkeypatch.setattr(minhash, "LEAF", 12)
+    monkeypatch.setattr(minhash, "LARGE", 24)
+    rng = random.Random(9)
+    words = [f"w{rng.random()}" for i in range(2000)]
+    texts = {i + 1: " ".join(words[i * 10 : i * 10 + 104]) for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want, _ = _jaccard_components(texts, 5)
+    assert set(want.values()) == {1}
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == want
+
+
 def test_near_duplicates_messy(spark, messy, empty):
     docs, rows = messy
     texts = {r[0]: r[1] for r in rows if r[0] is not None}
