@@ -1,7 +1,7 @@
 """BPE encoding by dynamic programming over prefixes, and decoding.
 
 The encoding of a word ends, at every prefix, in one token that is determined by the
-prefix alone. A suffix automaton over the vocabulary gives the tokens that end at a place;
+prefix alone. An Aho-Corasick automaton over the vocabulary gives the tokens that end at a place;
 of these exactly one is compatible with the last token of the prefix it leaves. Storing
 that token per prefix and following the stored tokens back from the end of the word yields
 the ids that merging by rank would give, in one walk over the word.
