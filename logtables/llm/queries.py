@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import bpe, hilbert, itq, langid, licence, minhash, mixing, sharding, toxicity, warc
+from . import bpe, dualtree, hilbert, itq, langid, licence, minhash, mixing, sharding, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,8 @@ def op9(spark, sf_dir):
 @query("op10_hilbert", hilbert.ORACLE)
 def op10(spark, sf_dir):
     return hilbert.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op11_dualtree", dualtree.ORACLE)
+def op11(spark, sf_dir):
+    return dualtree.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 10)
