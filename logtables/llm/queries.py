@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import bpe, dualtree, hilbert, itq, langid, licence, minhash, mixing, sharding, toxicity, warc
+from . import bpe, dualtree, hilbert, itq, langid, licence, minhash, mixing, sharding, spelling, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,8 @@ def op10(spark, sf_dir):
 @query("op11_dualtree", dualtree.ORACLE)
 def op11(spark, sf_dir):
     return dualtree.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 10)
+
+
+@query("op12_spelling", spelling.ORACLE)
+def op12(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
