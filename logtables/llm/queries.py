@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import bpe, dualtree, hilbert, itq, langid, licence, minhash, mixing, sharding, spelling, toxicity, warc
+from . import bpe, dualtree, hilbert, itq, langid, licence, minhash, mixing, sharding, spelling, suffixes, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,8 @@ def op11(spark, sf_dir):
 @query("op12_spelling", spelling.ORACLE)
 def op12(spark, sf_dir):
     return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_suffixes", suffixes.ORACLE)
+def op13(spark, sf_dir):
+    return suffixes.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), contents=False)
