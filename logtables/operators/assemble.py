@@ -227,8 +227,14 @@ def collect_events(
         events = events.filter(name)
     carried = [c for c in events.columns if c not in ("path", "first", *own, *required)]
     base = ["path", "first as line_from", "line_to", "lines", "bytes", "_size", *carried]
-    kept = [c.split(" as ")[-1] for c in base]
     events = events.selectExpr(*base, "transform(array_sort(_kept), x -> x.line) as _texts")
+    return joined_texts(events, max_bytes, glue)
+
+
+def joined_texts(events: DataFrame, max_bytes: int | None, glue: str) -> DataFrame:
+    """``content`` and ``flags`` from an event's collected lines ``_texts`` and the size ``_size`` of all its lines."""
+    kept = [c for c in events.columns if c != "_texts"]
+    bounded = bool(max_bytes and max_bytes > 0)
     # Leading empty lines leave no trace: the glue comes only after some text.
     events = events.selectExpr(
         *kept,

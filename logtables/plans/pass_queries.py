@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import jobs
@@ -13,8 +16,10 @@ from ..operators.envelope import collector_literal, text_payload, wrap_log_event
 from ..operators.serving import export_csv
 from ..sinks import sink_metrics, write_events
 from ..sources.catalogue import LogPattern
+from ..sources.files import with_offsets
 from ..sources.snapshots import read_snapshots
 from ..streaming.events import assemble_stream
+from ..streaming.stateful import assemble_events
 from ..streaming.tail import tail_stream
 from .fixtures import Inputs, cte
 from .metric_queries import _PER_NODE, node_docs
@@ -76,6 +81,48 @@ def _(i: Inputs):
     return i.spark.read.parquet(f"{out}/events").select("content", F.col("lines").cast("bigint").alias("lines"))
 
 
+def _until(query, found, wanted: int, seconds: float = 600.0) -> None:
+    """Lets a stream run until ``found()`` is what is wanted; its own failure comes first."""
+    end = time.time() + seconds
+    while found() < wanted:
+        if query.exception() is not None:
+            raise query.exception()
+        if time.time() > end:
+            raise TimeoutError(f"the stream has not delivered everything after {seconds} s")
+        time.sleep(0.5)
+
+
+@query("assemble_events", cte("fx_text_lines") + _EVENTS + "select path, content, lines from e")
+def _(i: Inputs):
+    """Every file in two halves, so that events are carried over; its last event comes by the timer."""
+    logs, out = staging(i, "halves"), staging(i, "events-out")
+    size = (F.octet_length("line") + 1).cast("bigint")
+    lines = i.text_lines.withColumn("bytes", size)
+    lines = with_offsets(lines).withColumn("late", F.col("line_no") > F.max("line_no").over(Window.partitionBy("path")) / 2)
+    lines = lines.select("path", "line", "bytes", "offset", "end_offset", "late")
+    lines.write.parquet(f"{logs}/all")
+    halves = i.spark.read.parquet(f"{logs}/all")
+    total = halves.count()
+    halves.filter("not late").write.parquet(f"{logs}/in")
+    stream = i.spark.readStream.schema(halves.schema).parquet(f"{logs}/in")
+    events = assemble_events(stream, pattern=r"^\[", idle=3.0)
+    writer = events.writeStream.format("parquet").option("path", f"{out}/events").option("checkpointLocation", f"{out}/cp")
+    query = writer.trigger(processingTime="500 milliseconds").start()
+
+    def delivered() -> int:
+        if not query.recentProgress:  # the table exists once a batch is through
+            return 0
+        return i.spark.read.schema("lines bigint").parquet(f"{out}/events").agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0]
+
+    try:
+        _until(query, lambda: sum(p.numInputRows for p in query.recentProgress), halves.filter("not late").count())
+        halves.filter("late").write.mode("append").parquet(f"{logs}/in")
+        _until(query, delivered, total)
+    finally:
+        query.stop()
+    return i.spark.read.parquet(f"{out}/events").select("path", "content", F.col("lines").cast("bigint").alias("lines"))
+
+
 @query(
     "read_snapshots",
     _PER_NODE + "select node_id, node_name as name, host, 'node_stats' as kind from d",
