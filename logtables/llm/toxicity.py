@@ -1,21 +1,23 @@
 """Toxicity from the nearest labelled examples.
 
-A text becomes a TF-IDF vector over terms: its words and the first 4 to 7 letters of its
-words, which catch inflected forms. The terms are those whose presence goes with the label
-far beyond chance, each among the texts that few of those before it occur in. The nearest examples by exact cosine come from an inverted index whose
-postings are cut into blocks of examples; each term keeps its largest weight per block, so
-a query bounds every block, visits blocks from the best bound down and stops when no block
-can beat what it has: the neighbours are the exact ones. They vote with the fourth power of
-their cosine; a logistic curve fitted on left-out examples turns votes into scores, and the
-neighbours themselves are the evidence.
+A text becomes a TF-IDF vector (occurrences times idf) over terms: words, and the first
+``PREFIX`` letters of longer ones, which catch inflected forms. The vocabulary knows nothing of
+labels: of the terms in at most ``SHARE`` of all documents, the ``TERMS`` most frequent, with
+counts from every document. All sampled examples are indexed. The nearest ones by exact
+cosine come from an inverted index whose postings are cut into blocks of examples; each term
+keeps its largest weight per block, so a query bounds every block, looks into blocks from the
+best bound down and stops when no block can beat what it has. They vote with their cosine; a
+logistic curve fitted on left-out examples turns votes into scores, and the neighbours
+themselves are the evidence.
 
 Bounds: the fit reads at most about ``EXAMPLES`` labelled rows, chosen by a hash of their id,
-and keeps at most ``TERMS`` terms. Examples with equal vectors are one entry with counts.
+one row an id. Examples with equal vectors are one entry with counts.
 
 Defined results: a null or empty text, like any text without a term, has no neighbours and
-gets the score of such examples; conflicting labels of one id count as toxic; labels that
-are null are left out; without any example every score is 0. Repeated rows are scored
-alike, other columns are kept, an empty table gives no rows.
+gets the score of such examples; conflicting labels of one id count as toxic, of several texts
+of one id the last in order is the example; labels that are null are left out; without any
+example every score is 0. Equally near entries go by their order, which depends on their terms
+alone. Repeated rows are scored alike, other columns are kept, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,64 +34,32 @@ from pyspark.sql import functions as F
 
 from .common import arrow_pass, hash_key, settled, unit
 
-EXAMPLES = 16384
-TERMS = 4096
-#: Least chi-square of a term against the label (one degree of freedom; about 1e-7).
-LEAST_CHI = 28.0
-#: A text with so many chosen terms has no say in which come next.
-COVERED = 3
-#: A term's texts are toxic at least so many times as often as all texts.
-LEAST_LIFT = 2.0
-NEIGHBOURS = 24
+EXAMPLES = 8192
+TERMS = 16384
+#: Documents a term may be in, of all with a term.
+SHARE = 0.05
+NEIGHBOURS = 32
 BLOCK = 64
-POWER = 4
-PREFIXES = (4, 5, 6, 7)
+PREFIX = 5
 WORD = re.compile(r"[^\W_]+")
 #: Words whose terms a counting task remembers.
 REMEMBERED = 300_000
 
 
-def word_terms(word: str) -> list[str]:
-    return ["=" + word, *["^" + word[:n] for n in PREFIXES if len(word) >= n]]
-
-
-def covering(texts: list[list[int]], toxic: np.ndarray, names: list[str]) -> list[int]:
-    """Terms that tell something the ones before them don't.
-
-    The term of largest chi-square over the texts with fewer than ``COVERED`` chosen terms
-    comes next, as long as it passes ``LEAST_CHI`` and ``LEAST_LIFT``; of equal ones the longest
-    beginning. Without this, the words that copies of one toxic text share would be terms.
-    """
-    holders: list[list[int]] = [[] for _ in names]
-    for i, numbers in enumerate(texts):
-        for t in numbers:
-            holders[t].append(i)
-    counts = np.zeros((2, len(names)))
-    for t, rows in enumerate(holders):
-        for i in rows:
-            counts[toxic[i], t] += 1
-    left = np.array([(toxic == 0).sum(), (toxic == 1).sum()], np.float64)
-    # Preference between equal terms: beginnings before words, then the longest.
-    prefer = np.array([(n[0] == "^") + len(n) / 1000 for n in names])
-    terms_in, chosen = np.zeros(len(texts), np.int64), []
-    while left.min() > 0:
-        total, rate = left.sum(), left[1] / left.sum()
-        with_term = counts.sum(0)
-        expected = with_term * rate
-        chi = (counts[1] - expected) ** 2 / (expected * (1 - rate) * np.maximum(1 - with_term / total, 1e-9) + 1e-9)
-        chi[chosen] = 0
-        chi[(with_term == 0) | (counts[1] < LEAST_LIFT * expected)] = 0
-        if not len(chi) or chi.max() < LEAST_CHI:
-            break
-        best = max(np.flatnonzero(chi >= chi.max() - 1e-9).tolist(), key=lambda t: (prefer[t], names[t]))
-        chosen.append(best)
-        for i in holders[best]:
-            terms_in[i] += 1
-            if terms_in[i] == COVERED:
-                left[toxic[i]] -= 1
-                for t in texts[i]:
-                    counts[toxic[i], t] -= 1
-    return chosen
+def text_terms(text: str | None) -> Counter:
+    """Occurrences of a text's words (with ``=``) and of their beginnings (with ``^``)."""
+    found: Counter = Counter()
+    for word, n in Counter(WORD.findall(text.lower())).items() if text else ():
+        found["=" + word] += n
+        if len(word) > PREFIX:
+            found["^" + word[:PREFIX]] += n
+    return found
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of several ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
 class Model:
@@ -101,7 +71,6 @@ class Model:
         self.platt = (0.0, 0.0)
         self.base = 0.0
         self.empty_score = 0.0
-        self.starts = {t[1 : 1 + PREFIXES[0]] for t in terms}
         self.seen: dict = {}
 
     def __getstate__(self):
@@ -109,20 +78,12 @@ class Model:
 
     def counts(self, text: str | None) -> tuple[tuple[int, int], ...]:
         """(term, occurrences) of a text, in order of the term."""
-        if not text:
-            return ()
-        starts, numbers, short = self.starts, self.numbers, PREFIXES[0]
-        found: dict[int, int] = {}
-        for word in [w for w in WORD.findall(text.lower()) if w[:short] in starts]:
-            for term in word_terms(word):
-                number = numbers.get(term)
-                if number is not None:
-                    found[number] = found.get(number, 0) + 1
-        return tuple(sorted(found.items()))
+        number = self.numbers.get
+        return tuple(sorted((t, n) for term, n in text_terms(text).items() if (t := number(term)) is not None))
 
     def vector(self, counts) -> tuple[np.ndarray, np.ndarray]:
         numbers = np.array([c[0] for c in counts], np.int64)
-        weights = (1 + np.log(np.array([c[1] for c in counts], np.float64))) * self.idf[numbers]
+        weights = np.array([c[1] for c in counts], np.float64) * self.idf[numbers]
         return numbers, weights / np.sqrt((weights**2).sum())
 
     def build(self, examples: list[tuple[tuple, int, int, list[int]]]) -> None:
@@ -132,57 +93,78 @@ class Model:
         # Examples with the same heaviest terms share blocks, which tightens the bounds.
         order = sorted(range(len(examples)), key=lambda i: (tuple(vectors[i][0][np.argsort(-vectors[i][1], kind="stable")][:3]), examples[i][0]))
         examples, vectors = [examples[i] for i in order], [vectors[i] for i in order]
+        self.order = [e[0] for e in examples]
         self.rows = np.array([e[1] for e in examples], np.float64)
         self.toxic = np.array([e[2] for e in examples], np.float64)
         self.ids = [e[3] for e in examples]
         self.blocks = -(-len(examples) // BLOCK)
-        self.largest = np.zeros((len(self.terms), self.blocks))
-        postings: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for i, (numbers, weights) in enumerate(vectors):
-            for term, weight in zip(numbers.tolist(), weights.tolist()):
-                postings.setdefault((term, i // BLOCK), []).append((i % BLOCK, weight))
-                self.largest[term, i // BLOCK] = max(self.largest[term, i // BLOCK], weight)
-        self.postings = {k: (np.array([p[0] for p in v]), np.array([p[1] for p in v])) for k, v in postings.items()}
+        sizes = np.array([len(v[0]) for v in vectors], np.int64)
+        entry = np.repeat(np.arange(len(vectors)), sizes)
+        term = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
+        weight = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
+        by_term = np.lexsort((entry, term))
+        entry, term, weight = entry[by_term], term[by_term], weight[by_term]
+        # A cell is a term's postings within a block of examples.
+        key = term * max(self.blocks, 1) + entry // BLOCK
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        self.entry, self.weight = entry.astype(np.int32), weight
+        self.cell_start = first
+        self.cell_size = np.diff(np.append(first, len(key)))
+        self.cell_block = (entry[first] // BLOCK).astype(np.int32)
+        self.cell_most = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
+        self.cells = np.searchsorted(term[first], np.arange(len(self.terms) + 1))
 
     def nearest(self, counts, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """The k entries of largest cosine, (cosine, entry), ties to the earlier entry."""
         numbers, weights = self.vector(counts)
-        bounds = weights @ self.largest[numbers]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or len(best) >= k and bounds[block] + 1e-12 < -best[k - 1][0]:
+        low, sizes = self.cells[numbers], self.cells[numbers + 1] - self.cells[numbers]
+        cell, weight = _spread(low, sizes), np.repeat(weights, sizes)
+        block = self.cell_block[cell]
+        bounds = np.bincount(block, self.cell_most[cell] * weight, self.blocks)
+        order = np.argsort(-bounds, kind="stable")
+        scores, found = np.zeros(0), np.zeros(0, np.int64)
+        at, step = 0, 4
+        while at < self.blocks:
+            part = order[at : at + step]
+            part = part[(bounds[part] > 0) & ((len(found) < k) | (bounds[part] + 1e-12 >= (scores[k - 1] if len(found) >= k else 0)))]
+            if not len(part):
                 break
-            scores = np.zeros(BLOCK)
-            for term, weight in zip(numbers.tolist(), weights.tolist()):
-                found = self.postings.get((term, block))
-                if found is not None:
-                    scores[found[0]] += weight * found[1]
-            best += [(-s, block * BLOCK + i) for i, s in enumerate(scores.tolist()) if s > 0]
-            best = sorted(best)[: max(k, 1)]
-        return [(-s, i) for s, i in best]
-
-    def vote(self, near: list[tuple[float, int]], own: tuple[float, float] | None = None) -> float:
-        """Log odds of the weighted vote; ``own`` (rows, toxic rows) is taken out of the
-        entry with the query's own vector, when the query is an example itself."""
+            inside = np.zeros(self.blocks, bool)
+            inside[part] = True
+            taken = inside[block]
+            posting = _spread(self.cell_start[cell[taken]], self.cell_size[cell[taken]])
+            sums = np.bincount(self.entry[posting], self.weight[posting] * np.repeat(weight[taken], self.cell_size[cell[taken]]), len(self.ids))
+            new = np.flatnonzero(sums)
+            scores, found = np.append(scores, sums[new]), np.append(found, new)
+            best = np.lexsort((found, -scores))[:k]
+            scores, found = scores[best], found[best]
+            at, step = at + step, 2 * step
+        return list(zip(scores.tolist(), found.tolist()))
+
+    def vote(self, near: list[tuple[float, int]], own: tuple[int, float, float] | None = None) -> float:
+        """Log odds of the weighted vote; ``own`` (entry, rows, toxic rows) is taken out, when
+        the query is an example itself."""
         yes = no = 0.0
         for cosine, entry in near:
             rows, toxic = self.rows[entry], self.toxic[entry]
-            if own and cosine > 1 - 1e-9:
-                rows, toxic = rows - own[0], toxic - own[1]
-            weight = min(cosine, 1.0) ** POWER
+            if own and entry == own[0]:
+                rows, toxic = rows - own[1], toxic - own[2]
+            weight = min(cosine, 1.0)
             yes += weight * toxic
             no += weight * (rows - toxic)
         return math.log((yes + self.base) / (no + 1 - self.base))
 
     def calibrate(self, examples: list[tuple[tuple, int, int, list[int]]]) -> None:
         points: list[tuple[float, float, float]] = []
+        entry_of = {counts: i for i, counts in enumerate(self.order)}
         for counts, rows, toxic, _ in examples:
             if counts:
                 near = self.nearest(counts)
                 if toxic:
-                    points.append((self.vote(near, (1, 1)), 1.0, toxic))
+                    points.append((self.vote(near, (entry_of[counts], 1, 1)), 1.0, toxic))
                 if rows > toxic:
-                    points.append((self.vote(near, (1, 0)), 0.0, rows - toxic))
+                    points.append((self.vote(near, (entry_of[counts], 1, 0)), 0.0, rows - toxic))
+        self.order = []
         a, b = 1.0, 0.0
         if points and len({p[1] for p in points}) == 2:
             x, y, w = (np.array(v) for v in zip(*points))
@@ -215,33 +197,37 @@ class Model:
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, toxic texts with it, other texts with it) of a task's examples."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    memory: dict[str, list[str]] = {}
+    """(term, documents with it) of a task's documents; the empty term counts documents with any."""
+    counts: dict[str, int] = {}
 
-    def flush():
-        terms = list({**counts[0], **counts[1]})
-        columns = [pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in (counts[1], counts[0]))]
-        for c in counts:
-            c.clear()
-        return pa.RecordBatch.from_arrays(columns, ["term", "toxic", "other"])
+    def flush() -> pa.RecordBatch:
+        columns = [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
+        counts.clear()
+        return pa.RecordBatch.from_arrays(columns, ["term", "n"])
 
     for batch in batches:
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            terms: set[str] = set()
-            for word in set(WORD.findall(text.lower())):
-                found = memory.get(word)
-                if found is None:
-                    if len(memory) > REMEMBERED // 4:
-                        memory.clear()
-                    found = memory[word] = word_terms(word)
-                terms.update(found)
-            counts[int(toxic)].update(terms)
-            if len(counts[0]) + len(counts[1]) > REMEMBERED:
-                yield flush()
+        for text in batch.column("text"):
+            words = set(WORD.findall((text.as_py() or "").lower()))
+            for word in words:
+                counts["=" + word] = counts.get("=" + word, 0) + 1
+            for start in {w[:PREFIX] for w in words if len(w) > PREFIX}:
+                counts["^" + start] = counts.get("^" + start, 0) + 1
+            if words:
+                counts[""] = counts.get("", 0) + 1
+        if len(counts) > REMEMBERED:
+            yield flush()
     yield flush()
 
 
+def vocabulary(docs: DataFrame, terms: int = TERMS) -> tuple[list[str], np.ndarray]:
+    """The terms and their idf, from all documents and without any label."""
+    counted = settled(docs.select("text").mapInArrow(_count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")))
+    total = counted.where("term = ''").agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
+    kept = counted.where((F.col("term") != "") & (F.col("n") <= F.lit(max(1.0, SHARE * total))))
+    best = kept.orderBy(F.desc("n"), "term").limit(terms).collect()
+    return [r["term"] for r in best], np.array([math.log(1 + total / r["n"]) for r in best])
+
+
 def train(docs: DataFrame, labels: DataFrame, seed: str = "toxicity", examples: int = EXAMPLES, terms: int = TERMS) -> Model | None:
     """A model of the documents with a label; None if there are none."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -251,20 +237,11 @@ def train(docs: DataFrame, labels: DataFrame, seed: str = "toxicity", examples:
     share = 1.0 if total <= 64 else examples / total
     chosen = settled(marks.withColumn("key", hash_key(seed, F.col("doc_id"))).where(unit(F.col("key")) < share).select("doc_id", "toxic"))
     # At most about ``examples`` narrow rows, so that the texts are not shuffled.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
-    rows = settled(rows)
-    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    n, positive = sum(sizes.values()), sum(v for k, v in sizes.items() if k)
-    if not n:
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = settled(rows.groupBy("doc_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"), F.max("toxic").alias("toxic")))
+    if rows.isEmpty():
         return None
-    counted = rows.mapInArrow(_count_terms, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    rate = positive / n
-    expected = (F.col("toxic") + F.col("other")) * F.lit(rate)
-    # Chi-square of presence against the label, both cells of the texts with the term.
-    chi = (F.col("toxic") - expected) ** 2 / (expected * (1 - rate) * (1 - (F.col("toxic") + F.col("other")) / n) + 1e-9)
-    best = counted.withColumn("chi", chi).where((F.col("chi") >= LEAST_CHI) & (F.col("toxic") >= LEAST_LIFT * expected))
-    best = best.orderBy(F.desc("chi"), "term").limit(terms).collect()
-    model = Model([r.term for r in best], np.ones(len(best)))
+    model = Model(*vocabulary(docs, terms))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work():
@@ -276,17 +253,14 @@ def train(docs: DataFrame, labels: DataFrame, seed: str = "toxicity", examples:
 
     vectors = arrow_pass(rows, "terms array<int>, times array<int>", work, keep=["doc_id", "toxic"]).toArrow()
     toxic = (vectors["toxic"].to_numpy() > 0).astype(np.int64)
-    chosen = covering(vectors["terms"].to_pylist(), toxic, model.terms)
-    place = {t: i for i, t in enumerate(chosen)}
-    model = Model([model.terms[t] for t in chosen], np.array([math.log(1 + n / (best[t].toxic + best[t].other)) for t in chosen]))
     groups: dict[tuple, list] = {}
     for doc, y, numbers, times in zip(vectors["doc_id"].to_pylist(), toxic.tolist(), vectors["terms"].to_pylist(), vectors["times"].to_pylist()):
-        entry = groups.setdefault(tuple(sorted((place[t], c) for t, c in zip(numbers, times) if t in place)), [0, 0, []])
+        entry = groups.setdefault(tuple(zip(numbers, times)), [0, 0, []])
         entry[0] += 1
         entry[1] += y
         entry[2].append(doc)
     entries = [(k, v[0], v[1], sorted(v[2])[:1]) for k, v in sorted(groups.items())]
-    model.base = min(max(rate, 1e-3), 1 - 1e-3)
+    model.base = min(max(float(toxic.mean()), 1e-3), 1 - 1e-3)
     model.build(entries)
     model.calibrate(entries)
     bare = groups.get((), [0, 0])
