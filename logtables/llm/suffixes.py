@@ -7,10 +7,11 @@ windows are sorted the deep-shallow way: multikey quicksort up to ``SHALLOW`` by
 tries for the groups that still agree. A group of equal windows belongs to the smallest
 document in it; in every other document the bytes under the window go.
 
-What is not alone is found first: a bucket with windows of one document only repeats nothing.
-Its hash and document are all that is shuffled for that. Documents with repeats are then joined
-to their buckets and cut into fragments. Equal fragments of a task travel once, with their
-places. A bucket met by more than ``CELL`` rows is hot: its fragments are dealt by their content,
+Equal texts count as one: the smallest of their documents owns the text, the others lose all of
+it if it has a window. What is not alone is found first: a bucket with windows of one text only
+repeats nothing. Its hash and the text's key are all that is shuffled for that. Texts with
+repeats are then joined to their buckets and cut into fragments, copies once. Equal fragments of
+a task travel once, with their places. A bucket met by more than ``CELL`` rows is hot: its fragments are dealt by their content,
 and where they differ window by window, each window with its smallest document, combined
 before the shuffle. So neither a passage in a third of all documents nor a common beginning
 with many continuations comes together in one task.
@@ -29,15 +30,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import free_name
 
-WINDOW, GRAM = 50, 20
-#: Bytes sorted character by character before blind tries take over, and how many make a character.
-SHALLOW, CHARACTER = 16, 4
+WINDOW, GRAM = 50, 16
+#: Bytes sorted by multikey quicksort, eight to a character, before blind tries take over.
+SHALLOW = 16
 #: Rows of a bucket beyond which it is split by content.
 CELL = 4096
 #: Windows of a fragment; bytes looked at together; fragments kept in a task to find equal ones.
@@ -110,11 +112,16 @@ def fragments(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return part[at], at, size, found[at]
 
 
-def _rows(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, bytes]]:
-    for number, value in enumerate(batch.column(text)):
-        value = value.as_py()
-        if value is not None and len(value) >= WINDOW:
-            yield number, value
+def _packed(docs: DataFrame) -> DataFrame:
+    """The same rows with their texts compressed, for the way to other tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, "text", pa.array([pack(t.as_py()) for t in batch.column(at)], pa.binary()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _hashes(docs: DataFrame) -> DataFrame:
@@ -123,7 +130,7 @@ def _hashes(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("row").to_numpy()
-            for data, numbers, starts, _ in slabs(_rows(batch, "text")):
+            for data, numbers, starts, _ in slabs((n, t.as_py()) for n, t in enumerate(batch.column("text"))):
                 part, _, _, bucket = fragments(data, starts)
                 row = keys[numbers[part]]
                 order = np.lexsort((row, bucket))
@@ -142,52 +149,56 @@ def _hashes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "bucket long, row long, more binary")
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, bucket) of buckets with several rows, from rows in order of the bucket; odd numbers are hot buckets."""
-    last, held, count, hot = None, [], 0, False
-    out: list[tuple[np.ndarray, int]] = []
-
-    def take(rows: np.ndarray) -> None:
-        nonlocal held, count, hot
-        held.append(rows)
-        count += len(rows)
-        if hot or count > CELL:
-            hot = True
-            out.append((np.unique(np.concatenate(held)), last | 1))
-            held = []
-
-    def close() -> None:
-        if held and count > 1:
-            rows = np.unique(np.concatenate(held))
-            if len(rows) > 1:
-                out.append((rows, last))
+def _shared(ordered: DataFrame, cell: int) -> DataFrame:
+    """``row, mark``: buckets with several rows, from rows in order of the bucket; odd numbers are hot buckets."""
 
-    def batch_of() -> pa.RecordBatch:
-        rows = np.concatenate([r for r, _ in out]) if out else np.zeros(0, np.int64)
-        marks = np.repeat(np.array([m for _, m in out], np.int64), [len(r) for r, _ in out]) if out else np.zeros(0, np.int64)
-        out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(marks, pa.int64())], ["row", "mark"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, count, hot = None, [], 0, False
+        out: list[tuple[np.ndarray, int]] = []
+
+        def take(rows: np.ndarray) -> None:
+            nonlocal held, count, hot
+            held.append(rows)
+            count += len(rows)
+            if hot or count > cell:
+                hot = True
+                out.append((np.unique(np.concatenate(held)), last | 1))
+                held = []
+
+        def close() -> None:
+            if held and count > 1:
+                rows = np.unique(np.concatenate(held))
+                if len(rows) > 1:
+                    out.append((rows, last))
+
+        def batch_of() -> pa.RecordBatch:
+            rows = np.concatenate([r for r, _ in out]) if out else np.zeros(0, np.int64)
+            marks = np.repeat(np.array([m for _, m in out], np.int64), [len(r) for r, _ in out]) if out else np.zeros(0, np.int64)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(marks, pa.int64())], ["row", "mark"])
 
-    for batch in batches:
-        bucket, row, more = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-        if not len(bucket):
-            continue
-        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        ends = np.append(starts[1:], len(bucket))
-        packed = ~np.asarray(more.is_null())
-        several = (ends - starts > 1) | np.logical_or.reduceat(packed, starts)
-        several[[0, -1]] = True
-        for i in np.flatnonzero(several).tolist():
-            start, end = int(starts[i]), int(ends[i])
-            if bucket[start] != last:
-                close()
-                last, held, count, hot = int(bucket[start]), [], 0, False
-            take(row[start:end])
-            for at in (start + np.flatnonzero(packed[start:end])).tolist():
-                take(np.frombuffer(more[at].as_py(), np.int64))
+        for batch in batches:
+            bucket, row, more = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            if not len(bucket):
+                continue
+            starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            ends = np.append(starts[1:], len(bucket))
+            packed = ~np.asarray(more.is_null())
+            several = (ends - starts > 1) | np.logical_or.reduceat(packed, starts)
+            several[[0, -1]] = True
+            for i in np.flatnonzero(several).tolist():
+                start, end = int(starts[i]), int(ends[i])
+                if bucket[start] != last:
+                    close()
+                    last, held, count, hot = int(bucket[start]), [], 0, False
+                take(row[start:end])
+                for at in (start + np.flatnonzero(packed[start:end])).tolist():
+                    take(np.frombuffer(more[at].as_py(), np.int64))
+            yield batch_of()
+        close()
         yield batch_of()
-    close()
-    yield batch_of()
+
+    return ordered.mapInArrow(run, "row long, mark long")
 
 
 def _fragments(joined: DataFrame) -> DataFrame:
@@ -195,6 +206,7 @@ def _fragments(joined: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[tuple[int, bytes], list[bytes]] = {}
+        last, unpack = None, zstandard.ZstdDecompressor().decompress
 
         def flush() -> pa.RecordBatch:
             routes = [xxhash.xxh3_64_intdigest(f) | 1 if m & 1 else m for m, f in memory]
@@ -203,13 +215,20 @@ def _fragments(joined: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, ["route", "fragment", "places"])
 
         for batch in batches:
-            rows, docs = batch.column("row").to_numpy(), batch.column("doc").to_numpy()
+            rows = batch.column("row").to_numpy()
+            docs, own = [], []
+            for row, twin, owners in zip(rows.tolist(), batch.column("twin").to_pylist(), batch.column("owners").to_pylist()):
+                own.append((row, twin) != last)  # copies follow each other
+                last = (row, twin)
+                docs.append(next((o["doc"] for o in owners or () if o["twin"] == twin), NO_ID))
+            docs = np.array(docs, np.int64)
             lists = batch.column("marks")
             marks = np.unique(lists.flatten().to_numpy(zero_copy_only=False)).astype(np.int64).view(np.uint64)
             known = np.unique(marks & np.uint64(0xFFFFFFFFFFFFFFFE))
             hot = marks[(marks & np.uint64(1)) == 1] - np.uint64(1)
-            valid = np.asarray(lists.is_valid())
-            for data, numbers, starts, places in slabs((n, t) for n, t in _rows(batch, "text") if valid[n]):
+            valid = np.asarray(lists.is_valid()) & np.array(own, bool)
+            texts = batch.column("text")
+            for data, numbers, starts, places in slabs((n, unpack(texts[n].as_py())) for n in np.flatnonzero(valid).tolist()):
                 part, at, size, bucket = fragments(data, starts)
                 keep = np.isin(bucket, known)
                 part, at, size, bucket = part[keep], at[keep], size[keep], bucket[keep]
@@ -269,40 +288,67 @@ class BlindTrie:
                 todo.extend(node[1][c] for c in sorted(node[1], reverse=True))
 
 
-def sorted_groups(texts: list[bytes]) -> Iterator[list[tuple[int, int]]]:
-    """The windows of some texts in order, (text, place) of equal ones together."""
-    places = [(i, at) for i, text in enumerate(texts) for at in range(len(text) - WINDOW + 1)]
-    todo = [(places, 0)]
-    while todo:
-        places, depth = todo.pop()
-        if len(places) == 1:
-            yield places
-        elif depth >= SHALLOW:
-            windows = [texts[i][at : at + WINDOW] for i, at in places]
-            trie = BlindTrie(windows[0], places[0])
-            for window, place in zip(windows[1:], places[1:]):
-                trie.add(window, place)
-            yield from trie.groups()
-        else:
-            letters = [texts[i][at + depth : at + depth + CHARACTER] for i, at in places]
-            pivot = letters[len(letters) // 2]
-            less, same, more = [], [], []
-            for letter, place in zip(letters, places):
-                (same if letter == pivot else less if letter < pivot else more).append(place)
-            todo += [(p, d) for p, d in ((more, depth), (same, depth + CHARACTER), (less, depth)) if p]
-
-
-def lowest(cell: dict[bytes, list[np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per distinct fragment of a bucket: its places, and the smallest document of each of its windows."""
-    texts = list(cell)
-    places = [np.concatenate(p) if len(p) > 1 else p[0] for p in cell.values()]
+def shallow(cells: np.ndarray, characters: list[np.ndarray]) -> np.ndarray:
+    """The order of windows by cell and characters, and where groups of equal ones begin in it.
+
+    Multikey quicksort, all groups of a depth at once: each character sorts only the windows
+    that have agreed so far, inside their groups.
+    """
+    order = np.argsort(cells, kind="stable")
+    first = np.append(True, cells[order][1:] != cells[order][:-1]) if len(order) else np.zeros(0, bool)
+    for letters in characters:
+        group = np.cumsum(first)
+        tied = ~first
+        tied[:-1] |= ~first[1:]
+        at = np.flatnonzero(tied)
+        rows = order[at]
+        by_letter = np.argsort(letters[rows], kind="quicksort")
+        by_group = np.argsort(group[at][by_letter], kind="stable")
+        moved = by_letter[by_group]
+        order[at] = rows[moved]
+        letter = letters[order[at]]
+        new = np.ones(len(at), bool)
+        new[1:] = (letter[1:] != letter[:-1]) | (group[at][1:] != group[at][:-1])
+        first[at] = new
+    return order, first
+
+
+def sorted_groups(texts: list[bytes], cells: list[int]) -> Iterator[list[tuple[int, int]]]:
+    """Groups of windows of one cell that agree in their first ``SHALLOW`` bytes, each sorted to
+    the end: (text, place) of equal windows together. Windows alone or of one text are left out."""
+    sizes = np.array([len(t) - WINDOW + 1 for t in texts], np.int64)
+    text = np.repeat(np.arange(len(texts)), sizes)
+    starts = np.cumsum([0, *map(len, texts)])[:-1]
+    place = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    data = b"".join(texts)
+    words = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
+    at = starts[text] + place
+    letters = [words[at + depth].astype(np.uint64) for depth in range(0, SHALLOW, 8)]
+    order, first = shallow(np.array(cells)[text], letters)
+    begins = np.flatnonzero(first)
+    low, high = np.minimum.reduceat(text[order], begins), np.maximum.reduceat(text[order], begins)
+    ends = np.append(begins[1:], len(order))
+    for begin, end in zip(begins[low != high].tolist(), ends[low != high].tolist()):
+        rows = order[begin:end]
+        trie = None
+        for i, where in zip(text[rows].tolist(), place[rows].tolist()):
+            window = texts[i][where : where + WINDOW]
+            if trie is None:
+                trie = BlindTrie(window, (i, where))
+            else:
+                trie.add(window, (i, where))
+        yield from trie.groups()
+
+
+def lowest(cells: list[dict[bytes, list[np.ndarray]]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per distinct fragment of some buckets: its places, and the smallest document of each of its windows."""
+    texts = [t for cell in cells for t in cell]
+    number = [n for n, cell in enumerate(cells) for _ in cell]
+    places = [np.concatenate(p) if len(p) > 1 else p[0] for cell in cells for p in cell.values()]
     low = [int(p[:, 1].min()) for p in places]
-    if len(texts) == 1:
-        yield places[0], np.full(len(texts[0]) - WINDOW + 1, low[0])
-        return
-    lows = [np.full(len(t) - WINDOW + 1, l) for t, l in zip(texts, low)]
-    for group in sorted_groups(texts):
-        if len(group) > 1:
+    lows = [np.full(len(t) - WINDOW + 1, smallest) for t, smallest in zip(texts, low)]
+    if len(texts) > len(cells):
+        for group in sorted_groups(texts, number):
             smallest = min(low[i] for i, _ in group)
             for i, at in group:
                 lows[i][at] = smallest
@@ -337,14 +383,16 @@ def _span_batch(found: list[np.ndarray]) -> pa.RecordBatch:
 
 def _cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of the buckets that are not hot, from rows in order of the route."""
-    last, cell, found, held = None, {}, [], 0
+    last, cell, cells, held = None, {}, [], 0
 
     def close() -> None:
         nonlocal held
         if len(cell) > 1 or sum(len(p) for places in cell.values() for p in places) > 1:
-            for places, lows in lowest(cell):
-                found.extend(spans(places, lows))
-        held += len(cell)
+            cells.append(cell)
+            held += len(cell)
+
+    def solved() -> pa.RecordBatch:
+        return _span_batch([s for places, lows in lowest(cells) for s in spans(places, lows)])
 
     for batch in batches:
         for route, fragment, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -355,12 +403,12 @@ def _cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     close()
                 last, cell = route, {}
                 if held > MEMORY:
-                    yield _span_batch(found)
-                    found, held = [], 0
+                    yield solved()
+                    cells, held = [], 0
             cell.setdefault(fragment, []).append(np.frombuffer(places, "<i8").reshape(-1, 3))
     if cell:
         close()
-    yield _span_batch(found)
+    yield solved()
 
 
 def _hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,11 +427,13 @@ def _hot_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _span_batch(found)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``row, doc, span`` of documents (row, doc, text): runs of windows that start in a smaller doc too."""
-    ordered = _hashes(docs).repartition("bucket").sortWithinPartitions("bucket")
-    marks = ordered.mapInArrow(_shared, "row long, mark long").groupBy("row").agg(F.collect_set("mark").alias("marks"))
-    dealt = _fragments(docs.join(marks, "row", "left")).repartition("route").sortWithinPartitions("route")
+def repeated_spans(docs: DataFrame, packed: DataFrame, owners: DataFrame, cell: int = CELL) -> DataFrame:
+    """``row, doc, span`` of texts (see ``keyed``): runs of windows that start in a smaller doc too."""
+    ordered = _hashes(docs.select("row", "text")).repartition("bucket").sortWithinPartitions("bucket")
+    marks = _shared(ordered, cell).groupBy("row").agg(F.collect_set("mark").alias("marks"))
+    # All columns stay, so that this shuffle of the texts serves the last join as well.
+    joined = packed.join(marks.join(owners, "row"), "row", "left")
+    dealt = _fragments(joined).repartition("route").sortWithinPartitions("route")
     cold = dealt.mapInArrow(_cold, SPAN_DDL)
     hot = dealt.mapInArrow(_hot, "route long, fragment binary, places binary, low long")
     # Window by window: the smallest document of each, then back to the fragments it is in.
@@ -397,27 +447,43 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame, text: Column) -> DataFrame:
-    """The columns of ``docs`` in one, and row (hash of id and text), doc and text of each."""
+    """The columns of ``docs`` in one, doc and text, and two hashes of the text: row, which rows
+    are joined by, and twin, which tells texts of one row apart."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("kept"), doc.alias("doc"), text.cast("binary").alias("text"))
-    return rows.select("kept", F.xxhash64("doc", "text").alias("row"), "doc", "text")
+    text = F.coalesce(text.cast("binary"), F.lit(b""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("kept"), doc.alias("doc"), text.alias("text"))
+    return rows.select("kept", F.xxhash64("text").alias("row"), F.unhex(F.md5("text")).alias("twin"), "doc", "text")
+
+
+def owned(rows: DataFrame) -> DataFrame:
+    """``row, owners``: the smallest doc of each text of a row, (twin, doc)."""
+    least = rows.groupBy("row", "twin").agg(F.min("doc").alias("doc"))
+    return least.groupBy("row").agg(F.collect_list(F.struct("twin", "doc")).alias("owners"))
 
 
-def without_repeats(docs: DataFrame, contents: bool = True) -> DataFrame:
+def without_repeats(docs: DataFrame, contents: bool = True, cell: int = CELL) -> DataFrame:
     """Adds ``n_bytes, n_removed, n_spans, kept_sha256`` and, with ``contents``, ``kept`` (bytes)
     and ``removed`` (first byte and end of each removed run); the text itself is left out."""
     rows = keyed(docs, F.col("text"))
-    found = repeated_spans(rows).groupBy("row").agg(F.collect_set(F.struct("doc", "span")).alias("spans"))
-    joined = rows.join(found, "row", "left")
+    owners, packed = owned(rows), _packed(rows)
+    found = repeated_spans(rows, packed, owners, cell).groupBy("row").agg(F.collect_set(F.struct("doc", "span")).alias("spans"))
+    # Every row has an owner; the join keeps the shape of the one before, so that the texts are shuffled once.
+    joined = packed.join(owners.join(found, "row", "left"), "row", "left")
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "removed"] if contents else [])]
     added = T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, removed array<array<bigint>>" if contents else ""))
     schema = T.StructType([T.StructField("row", rows.schema["kept"].dataType), *added.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out: list[tuple] = []
-            for doc, text, spans in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("spans")):
-                text, removed = text.as_py() or b"", []
+            columns = (batch.column(c) for c in ("doc", "twin", "text", "owners", "spans"))
+            for doc, twin, text, owners, spans in zip(*columns):
+                doc, twin, text, removed = doc.as_py(), twin.as_py(), unpack(text.as_py()), []
+                owner = next((o["doc"] for o in owners.as_py() or () if o["twin"] == twin), doc)
+                if owner < doc and len(text) >= WINDOW:
+                    removed = [[0, len(text)]]
+                    spans = pa.scalar(None)
                 for start, end in sorted((s["span"] // (2 * LONGEST), s["span"] // (2 * LONGEST) + s["span"] % (2 * LONGEST) + WINDOW - 1) for s in spans.as_py() or () if s["doc"] == doc):
                     if removed and start <= removed[-1][1]:
                         removed[-1][1] = max(removed[-1][1], end)
