@@ -3,6 +3,14 @@
 ``STAGES`` are (name, function); a function takes the session, the documents so far and the
 folder of the tables, and returns the documents it keeps, with their columns. The last
 stage returns the encoded documents.
+
+Defined results, stage by stage. Null and empty texts and texts without a letter end in the
+first. A null id or source passes every stage: no label and no language is learned from a row
+without an id, near_dedup keeps every row without an id, mixing takes null as a source of its
+own. Repeated rows get the same decisions; near_dedup keeps one row of an id and text. Further
+columns pass all but the last stage, which returns doc_id, source, lang, n_tokens, ids and the
+two checks. Ties go as the operators state. An empty table gives an empty one in every stage,
+and without labels or languages to learn from nothing is toxic and every text is ``und``.
 """
 
 from __future__ import annotations
@@ -23,12 +31,14 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts in no language: null or without letters. Texts in several languages have
-    low scores and stay. A missing language is filled in with the one found."""
+    """Drops texts in no language: null, without letters, or made of letters and sequences that no
+    learned language has. Texts in several languages have low scores and stay. A missing
+    language is filled in with the one found."""
     model = langid.train(table(configure(spark), sf_dir, "documents"))
-    found, score = free_name(docs, "found_lang"), free_name(docs, "found_score")
-    rows = langid.identify(docs, model, (found, score))
-    rows = rows.where(F.col(found) != langid.UNKNOWN)
+    names = tuple(free_name(docs, n) for n in ("found_lang", "found_score", "found_known"))
+    found, _, known = names
+    rows = langid.identify(docs, model, names)
+    rows = rows.where((F.col(found) != langid.UNKNOWN) & (F.col(known) >= F.lit(model.floor if model else 0.0)))
     return rows.withColumn("lang", F.coalesce("lang", found)).select(*docs.columns)
 
 
