@@ -21,9 +21,8 @@ from .operators.state import advance_state, classify_changes, load_state, save_s
 from .session import checkpoint_dir
 from .sinks import Sink, sink_metrics, write_events
 from .sources.catalogue import LogPattern, pattern_index, route_files, search_log_patterns, usable
-from .sources.files import drop_overlong_lines
 from .sources.listing import list_files
-from .sources.ranges import read_ranges, with_complete_end
+from .sources.ranges import OPEN_END, TOO_LONG, is_line, read_ranges, refused_lines, with_complete_end
 
 
 def _by_pattern(patterns: Sequence[LogPattern], value) -> Column:
@@ -76,12 +75,6 @@ def rejected_events(events: DataFrame, patterns: Sequence[LogPattern]) -> DataFr
     return bad.select("path", "offset", "bytes", F.lit("no JSON object").alias("reason"), "content")
 
 
-def overlong_lines(lines: DataFrame, max_bytes: int) -> DataFrame:
-    """Lines that ``drop_overlong_lines`` leaves out, without their text."""
-    over = lines.filter(F.octet_length("line") > max_bytes)
-    return over.select("path", "offset", "bytes", F.lit("line too long").alias("reason"), F.lit(None).cast("string").alias("content"))
-
-
 def shape_events(
     events: DataFrame,
     patterns: Sequence[LogPattern],
@@ -129,8 +122,10 @@ def collect_logs(
 ) -> DataFrame:
     """One bounded pass over changed files; returns the changes it handled.
 
-    Nothing vanishes: lines over four times ``max_bytes`` and JSON events that do
-    not parse go to ``pass=N`` of ``rejects`` (by default next to the output).
+    Nothing vanishes: lines over four times ``max_bytes``, JSON events that do
+    not parse and files that are gone or replaced when they are to be read go to
+    ``pass=N`` of ``rejects`` (by default next to the output). Such a file does not stop
+    the others; its state stays, so that a later pass takes it up.
 
     The changed files and their new lines are written once to the shared folder:
     later steps then see one state of files that keep growing, and a lost
@@ -145,16 +140,23 @@ def collect_logs(
     changes = spark.read.parquet(f"{staging}/changes")
     if changes.isEmpty():
         return changes
-    read_ranges(changes.withColumnRenamed("complete_end", "end_offset"), carry=["pattern_index", "root"]).write.parquet(f"{staging}/lines")
-    lines = spark.read.parquet(f"{staging}/lines")
-    taken = number_lines(drop_overlong_lines(lines, 4 * max_bytes), ["offset"])
+    plan = changes.withColumnRenamed("complete_end", "end_offset")
+    read_ranges(plan, carry=["pattern_index", "root", "inode"], limit=4 * max_bytes, reasons=True).write.parquet(f"{staging}/lines")
+    rows = spark.read.parquet(f"{staging}/lines")
+    # A file with a range that could not be read is left to the next pass as a whole.
+    failed = rows.filter(~is_line(rows) & ~F.col("reason").isin(TOO_LONG, OPEN_END)).select("path").unionAll(
+        changes.filter(F.col("complete_end").isNull()).select("path")
+    ).distinct()
+    changes = changes.join(failed, "path", "left_anti")
+    taken = number_lines(rows.filter(is_line(rows)).join(failed, "path", "left_anti").drop("reason", "inode"), ["offset"])
     assemble_logs(taken, patterns, max_bytes).write.parquet(f"{staging}/events")
     assembled = spark.read.parquet(f"{staging}/events")
     events = shape_events(assembled, patterns, now, collector, job_metadata)
     done = changes.withColumn("resume_offset", F.greatest("start_offset", "complete_end"))
     version = _next_version(spark, state_folder)
     rejects = rejects or f"{output.rstrip('/')}-rejects"
-    refused = rejected_events(assembled, patterns).unionByName(overlong_lines(lines, 4 * max_bytes))
+    unread = F.lit(None).cast("string").alias("content")
+    refused = rejected_events(assembled, patterns).unionByName(refused_lines(rows).select("*", unread))
     refused.write.mode("overwrite").parquet(f"{rejects}/pass={version}")
     write_events(events, f"{output}/pass={version}")
     save_state(advance_state(state, done), state_folder)

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.match import matches
 from ..functions.once import once
-from .ordered import last_line_where, walk, with_chunk
+from .ordered import UNIT, by_chunk, walk, with_chunk
 
 MAX_LINES = 500
 MAX_BYTES = 10 * 1024 * 1024
@@ -107,20 +107,58 @@ def _flush_starts(lines: DataFrame, joins: Column, match: str, flush: Column) ->
     A closing line right after a closed event opens the next one instead, so in
     a run of flush lines every second one closes. Which one the run begins with
     depends on whether an event is open, that is on the run's distance from the
-    last ordinary line.
+    last ordinary line. Inside a chunk this is known from its first ordinary line
+    on. The flush lines before that are a function of what the chunk is entered
+    with, and so are the chunk's last start and its last closing line: one summary
+    row a chunk holds what that needs, the rows of a file are composed in order,
+    and every line then knows the state it was entered with.
     """
-    lines = lines.withColumns({"_flush": flush, "_joins": joins})
-    runs = last_line_where(lines, {"_plain": ~F.col("_flush")}, before={"_stop": ~F.col("_joins")})
-    in_run = F.col("line_no") - F.col("_plain")
-    closes = F.col("_flush") & F.when(F.col("_plain") == 0, in_run % 2 == 0).otherwise(in_run % 2 == 1)
-    if match == "after":
-        opens = ~F.col("_flush") & ~F.col("_joins")
-    else:
-        # The preceding line decides: it was the last one not to join its successor.
-        opens = ~F.col("_flush") & (F.col("_stop") == F.col("line_no") - 1) & (F.col("line_no") > 1)
-    runs = runs.withColumn("_closes", closes)
-    opened = last_line_where(runs, {"_open": opens}, before={"_closed": F.col("_closes")})
-    return opened.withColumn("first", F.greatest("_open", F.col("_closed") + 1, F.lit(1)))
+    shared, zero = by_chunk(lines.withColumns({"_flush": flush, "_joins": joins}))
+    inside = Window.partitionBy(*UNIT).orderBy("line_no")
+    earlier = Window.partitionBy("path").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.col("line_no")
+    plain = F.max(F.when(~F.col("_flush"), number)).over(inside)
+    previous = F.lag("_joins").over(inside)
+    rows = shared.select("*", plain.alias("_plain"), previous.alias("_before"))
+
+    def starts(joined: Column) -> Column:
+        """An ordinary line that begins an event; ``joined``: does the line before join it?"""
+        return ~F.col("_flush") & ~(F.col("_joins") if match == "after" else F.coalesce(joined, F.lit(True)))
+
+    # What a chunk's own lines tell: closings and starts from its first ordinary line on.
+    closes = F.col("_flush") & ((number - F.col("_plain")) % 2 == 1)
+    chunks = rows.groupBy(*UNIT).agg(
+        F.min("line_no").alias("_low"), F.sum(zero + 1).alias("_n"), F.min(F.when(~F.col("_flush"), number)).alias("_first"),
+        F.max(F.col("_plain") + zero).alias("_last"), F.max(F.when(closes, number)).alias("_shut"), F.max(F.when(starts(F.col("_before")), number)).alias("_start"),
+        F.max_by("_joins", "line_no").alias("_leaves"),
+    )
+    # What it is entered with: the last ordinary line so far, and whether the last line joins the next.
+    chunks = chunks.select("*", F.coalesce(F.max("_last").over(earlier), F.lit(0)).alias("_in"), F.last("_leaves").over(earlier).alias("_enters"))
+    lead_end = F.coalesce(F.col("_first") - 1, F.col("_low") + F.col("_n") - 1)
+    odd = F.when(F.col("_in") == 0, F.lit(0)).otherwise(F.lit(1))
+    lead_shut = lead_end - F.when((lead_end - F.col("_in")) % 2 == odd, F.lit(0)).otherwise(F.lit(1))
+    shut = F.coalesce("_shut", F.when(lead_shut >= F.col("_low"), lead_shut))
+    at_once = (F.col("_first") == F.col("_low")) & ~F.coalesce("_enters", F.lit(True)) & F.lit(match == "before")
+    start = F.coalesce("_start", F.when(at_once, F.col("_low")))
+    chunks = chunks.select(*UNIT, "_in", "_enters", shut.alias("_shut"), start.alias("_start"))
+    chunks = chunks.select(
+        *UNIT, "_in", "_enters", F.max("_shut").over(earlier).alias("_shut_in"), F.max("_start").over(earlier).alias("_start_in")
+    )
+    rows = shared.join(chunks, list(UNIT)).select("*", plain.alias("_plain"), previous.alias("_before"))
+    in_run = number - F.coalesce("_plain", "_in")
+    none_yet = F.coalesce("_plain", "_in") == 0
+    rows = rows.withColumns(
+        {
+            "_closes": F.col("_flush") & F.when(none_yet, in_run % 2 == 0).otherwise(in_run % 2 == 1),
+            "_opens": starts(F.coalesce("_before", "_enters")) & ((number > 1) | F.lit(match == "after")),
+        }
+    )
+    opened = F.max(F.when(F.col("_opens"), number)).over(inside)
+    closed = F.max(F.when(F.col("_closes"), number)).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"_open": F.greatest(opened, "_start_in"), "_closed": F.greatest(closed, "_shut_in")})
+    first = F.greatest(F.coalesce("_open", F.lit(1)), F.coalesce("_closed", F.lit(0)) + 1, F.lit(1))
+    kept = [*lines.columns, "_flush", "_joins", "_closes"]
+    return rows.withColumn("first", first.cast("bigint")).select(*kept, "first")
 
 
 def assemble_count(

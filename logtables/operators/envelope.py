@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import OBJECT, put, update
 
-AGENT = "struct<queue:string,id:string,hostname:string,major_ip:string,ip:array<string>,tags:array<string>,labels:map<string,string>>"
+COLLECTOR = "struct<queue:string,id:string,hostname:string,major_ip:string,ip:array<string>,tags:array<string>,labels:map<string,string>>"
 
 
 def object_literal(values: Mapping[str, object] | None) -> Column:
@@ -54,7 +54,7 @@ def collector_literal(
 ) -> Column:
     value = {"queue": queue, "id": id, "hostname": hostname, "major_ip": major_ip,
              "ip": list(ip), "tags": list(tags), "labels": dict(labels or {})}
-    return F.from_json(F.lit(json.dumps(value)), AGENT)
+    return F.from_json(F.lit(json.dumps(value)), COLLECTOR)
 
 
 def wrap_log_event(

@@ -4,7 +4,8 @@ A lines table has ``path``, a dense 1-based ``line_no`` and a ``chunk`` that
 grows with it. Every running value is built in two steps: a window inside each
 ``(path, chunk)``, and a carry made from one summary row per chunk. A file that
 holds a third of all lines is therefore spread over as many tasks as it has
-chunks; only the summary rows of a file meet in one window.
+chunks; only the summary rows of a file meet in one window. Summaries and windows read
+the same shuffle of the lines, so the input is evaluated once.
 """
 
 from __future__ import annotations
@@ -35,14 +36,32 @@ def _earlier_chunks():
     return Window.partitionBy("path").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
 
 
+#: Types that have no hash.
+_UNHASHED = ("map", "variant")
+
+
+def by_chunk(lines: DataFrame) -> tuple[DataFrame, Column]:
+    """The lines dealt to their chunks, and a zero that looks at every column of a line.
+
+    A summary that adds the zero to its values needs the same columns of the shuffle as the
+    windows do, so the optimizer takes one shuffle for both instead of a narrower second one.
+    Lines without path or chunk, which no window could place, are left out here for the same
+    reason: a join would leave them out on one side only.
+    """
+    seen = [F.col(f"`{f.name}`") for f in lines.schema.fields if not any(t in f.dataType.simpleString() for t in _UNHASHED)]
+    zero = F.xxhash64(*seen).bitwiseAND(F.lit(0).cast("bigint"))
+    return lines.filter(F.col("path").isNotNull() & F.col("chunk").isNotNull()).repartition(*UNIT), zero
+
+
 def number_lines(df: DataFrame, order: Sequence[str | Column], name: str = "line_no") -> DataFrame:
     """1-based position of each row per path; ``chunk`` must grow with ``order``."""
+    shared, zero = by_chunk(df)
     carry = (
-        df.groupBy(*UNIT)
-        .agg(F.count(F.lit(1)).alias("_n"))
+        shared.groupBy(*UNIT)
+        .agg(F.sum(zero + 1).alias("_n"))
         .select(*UNIT, F.coalesce(F.sum("_n").over(_earlier_chunks()), F.lit(0)).alias("_base"))
     )
-    local = df.select("*", F.row_number().over(_inside(order)).alias("_local"))
+    local = shared.select("*", F.row_number().over(_inside(order)).alias("_local"))
     number = (F.col("_base") + F.col("_local")).cast("bigint").alias(name)
     return local.join(carry, list(UNIT)).select(*[c for c in df.columns if c != name], number)
 
@@ -63,18 +82,23 @@ def walk(
     file). ``upto`` and ``before`` give the last line number at which a
     condition held, the current line included or not, and 0 before that.
 
-    The summary of a chunk is a plain aggregate without any sorting, so the
-    lines are shuffled once, for the window that joins it.
+    The summary of a chunk is a plain aggregate without any sorting over the shuffle that
+    the window reads as well.
     """
     sums, upto, before = sums or {}, upto or {}, before or {}
-    marks = {k: F.when(v, F.col(order)) for k, v in {**upto, **before}.items()}
+    columns = lines.columns
+    # Conditions and values are worked out before the shuffle, once.
+    lines = lines.withColumns({f"_v_{k}": v for k, v in [*sums.items(), *upto.items(), *before.items()]}) if sums or upto or before else lines
+    sums = {k: F.col(f"_v_{k}") for k in sums}
+    marks = {k: F.when(F.col(f"_v_{k}"), F.col(order)) for k in [*upto, *before]}
+    lines, zero = by_chunk(lines)
     numbered = order == "line_no"
     earlier, file = _earlier_chunks(), Window.partitionBy("path")
     carry = lines.groupBy(*UNIT).agg(
         F.min(order).alias("_low"),
-        F.count(F.lit(1)).alias("_n"),
-        *[F.sum(v).alias(f"_s_{k}") for k, v in sums.items()],
-        *[F.max(v).alias(f"_m_{k}") for k, v in marks.items()],
+        F.sum(zero + 1).alias("_n"),
+        *[F.sum(v + zero).alias(f"_s_{k}") for k, v in sums.items()],
+        *[F.max(v + zero).alias(f"_m_{k}") for k, v in marks.items()],
     )
     shift = F.lit(0) if numbered else F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_low") + 1
     carry = carry.select(
@@ -102,7 +126,7 @@ def walk(
         made[k] = F.coalesce(F.greatest(here, F.col(f"_m_{k}")), F.lit(0)).cast("bigint")
     if not numbered:
         made["line_no"] = (F.col(order) + F.col("_shift")).cast("bigint")
-    kept = [c for c in lines.columns if c not in made]
+    kept = [c for c in columns if c not in made]
     extra = [f"{k}_total" for k in sums] if totals else []
     return joined.select(*kept, *extra, *[v.alias(k) for k, v in made.items()])
 

@@ -67,7 +67,8 @@ def scan_lines(
     are fixed in the scan, before any shuffle. Columns: path, name, file_size,
     mtime, chunk, mid, line, bytes. ``bytes`` counts the separator too. Names
     that Spark's reader takes for hidden (a leading dot or underscore) are read
-    as well, by byte ranges, where lines end in a line feed and are not decoded.
+    as well, by byte ranges, where lines end in a line feed and are not decoded; the
+    listing for them is walked while the lines are read, not before.
     """
     reader = spark.read.option("recursiveFileLookup", True).option("lineSep", line_sep)
     width = len(line_sep.encode())
@@ -96,7 +97,7 @@ def scan_lines(
     if line_sep != "\n" or encoding:
         return rows
     hidden = _hidden_files(spark, [roots] if isinstance(roots, str) else list(roots))
-    return rows if hidden is None or hidden.isEmpty() else rows.unionByName(_range_lines(hidden))
+    return rows if hidden is None else rows.unionByName(_range_lines(hidden))
 
 
 def _hidden_files(spark: SparkSession, roots: Sequence[str]) -> DataFrame | None:
@@ -111,7 +112,7 @@ def _hidden_files(spark: SparkSession, roots: Sequence[str]) -> DataFrame | None
         F.filter(F.split(below, "/"), lambda part: part != ""),
         lambda part: part.startswith(".") | (part.startswith("_") & ~part.contains("=") & ~part.rlike("^_(common_)?metadata")),
     )
-    return list_files(spark, folders).filter(skipped & ~F.col("path").endswith(".gz")).drop("inode", "root", "walked")
+    return list_files(spark, folders).filter(skipped).drop("inode", "root", "walked")
 
 
 def _range_lines(files: DataFrame) -> DataFrame:
@@ -119,7 +120,8 @@ def _range_lines(files: DataFrame) -> DataFrame:
     from .ranges import read_ranges
 
     whole = files.select("path", "name", F.col("size").alias("file_size"), "mtime", F.lit(0).cast("bigint").alias("start_offset"), F.col("size").alias("end_offset"))
-    lines = read_ranges(whole, carry=["name", "file_size", "mtime"], unfinished=True)
+    tasks = files.sparkSession.sparkContext.defaultParallelism
+    lines = read_ranges(whole, carry=["name", "file_size", "mtime"], unfinished=True, tasks=tasks)
     chunk = F.struct(F.col("chunk").alias("block"), F.lit(0).cast("bigint").alias("part")).alias("chunk")
     order = F.row_number().over(Window.partitionBy("path", "chunk").orderBy("offset")).cast("bigint")
     return lines.select("path", "name", "file_size", "mtime", chunk, order.alias("mid"), "line", F.col("bytes"))

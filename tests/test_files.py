@@ -13,7 +13,7 @@ from logtables.operators.state import load_state
 from logtables.sources import files as src
 from logtables.sources.catalogue import LogPattern, search_log_patterns
 from logtables.sources.listing import list_files
-from logtables.sources.ranges import read_range
+from logtables.sources.ranges import OPEN_END, TOO_LONG, read_lines, read_range
 from logtables.streaming.events import assemble_batch, assemble_stream
 from logtables.streaming.tail import tail_stream
 
@@ -114,6 +114,117 @@ def test_range_reader_splits_anywhere(tmp_path):
             assert data[g["offset"] : g["end_offset"]] == g["line"] + b"\n"
 
 
+def test_bounded_reader(tmp_path):
+    """Lines over the limit are dropped by block, wherever ranges cut them, and told of with their place."""
+    import random
+
+    rng = random.Random(2)
+    for _ in range(60):
+        lines = [b"x" * rng.choice([0, 1, 5, 20, 60, 200, 900]) for _ in range(rng.randint(1, 12))]
+        data = b"\n".join(lines) + rng.choice([b"", b"\n"])
+        path, step, limit = put(tmp_path, "r.log", data), rng.choice([7, 50, 300, 5000]), rng.choice([10, 100, 250])
+        rows = [
+            (r["start"], r["offset"], r["end_offset"], r["line"], r["reason"])
+            for start in range(0, len(data), step)
+            for batch in read_lines(path, start, min(start + step, len(data)), start + step >= len(data), limit)
+            for r in batch.to_pylist()
+        ]
+        at, want = 0, []
+        for line in data.split(b"\n")[: None if data[-1:] != b"\n" else -1]:
+            end = min(at + len(line) + 1, len(data))
+            if at < len(data):
+                want.append((at, end, line if len(line) <= limit else None))
+            at = end
+        got, opened = [], {}
+        for start, offset, end, line, reason in rows:
+            if reason == OPEN_END:
+                opened[start] = offset
+                continue
+            if offset is None:
+                offset = opened[max(s for s in opened if s < start)]
+            got.append((offset, end, line))
+        assert got == want, (data, step, limit)
+
+
+def test_reader_holds_little_of_a_long_line(tmp_path, monkeypatch):
+    """Each byte of a line of many ranges is read once, and no more than the limit is held."""
+    import tracemalloc
+
+    from logtables.sources import ranges
+
+    path, size, step = str(tmp_path / "long.log"), 48 << 20, 4 << 20
+    with open(path, "wb") as f:
+        f.write(b"first\n")
+        f.seek(size)
+        f.write(b"\nlast\n")
+    size, read, real = os.path.getsize(path), [0], ranges.open_file
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *rest):
+            self.inner.close()
+
+        def seek(self, at):
+            self.inner.seek(at)
+
+        def read(self, n):
+            read[0] += n
+            return self.inner.read(n)
+
+    monkeypatch.setattr(ranges, "open_file", lambda p: Counted(real(p)))
+    tracemalloc.start()
+    rows = [r for at in range(0, size, step) for b in read_lines(path, at, min(at + step, size), False, 1 << 20) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(r["line"], r["reason"]) for r in rows] == [(b"first", None), (None, OPEN_END), (None, TOO_LONG), (b"last", None)]
+    assert (rows[1]["offset"], rows[2]["offset"], rows[2]["end_offset"]) == (6, None, (48 << 20) + 1)
+    assert read[0] < 1.05 * size and peak < 16 << 20
+
+
+def test_passes_go_on_without_lost_files(spark, tmp_path, monkeypatch):
+    """A file gone or replaced between plan and read is told of and taken up later; gzip is unpacked."""
+    from logtables.sources import ranges
+
+    logs, state, out = tmp_path / "logs", str(tmp_path / "state"), tmp_path / "out"
+    for name in ("a.log", "b.log", "c.log"):
+        put(logs, name, f"{name} 1\n{name} 2\n".encode())
+    put(logs, "d.log.gz", gzip.compress(b"z 1\nz 2\n"))
+    listed = jobs.with_complete_end
+
+    def meddle(df):
+        planned = listed(df)
+        found = spark.createDataFrame(planned.collect(), planned.schema)
+        os.remove(logs / "a.log")
+        os.rename(logs / "b.log", tmp_path / "b.old")
+        put(logs, "b.log", b"new b\n")
+        return found
+
+    patterns = [LogPattern(r"\.log", "text")]
+    monkeypatch.setattr(jobs, "with_complete_end", meddle)
+    done = {r["name"] for r in jobs.collect_logs(spark, str(logs), patterns, state, str(out), "now").collect()}
+    assert done == {"c.log", "d.log.gz"}
+    assert sorted(e["payload"]["message"] for e in events_of(out / "pass=1")) == ["c.log 1", "c.log 2", "z 1", "z 2"]
+    refused = {os.path.basename(r["path"]): r["reason"] for r in spark.read.parquet(f"{out}-rejects/pass=1").collect()}
+    assert refused == {"a.log": "cannot be read: FileNotFoundError", "b.log": ranges.REPLACED}
+    monkeypatch.setattr(jobs, "with_complete_end", listed)
+    assert {r["name"] for r in jobs.collect_logs(spark, str(logs), patterns, state, str(out), "now").collect()} == {"b.log"}
+    assert [e["payload"]["message"] for e in events_of(out / "pass=2")] == ["new b"]
+
+
+def test_hidden_files_are_scanned_packed_or_not(spark, tmp_path):
+    put(tmp_path, ".h.log", b"a\nb")
+    put(tmp_path, "_x/y.log", b"c\n")
+    put(tmp_path, ".z.log.gz", gzip.compress(b"d\ne\n"))
+    put(tmp_path, "plain.log", b"f\n")
+    got = sorted((r["name"], r["line_no"], r["line"]) for r in src.with_line_numbers(src.scan_lines(spark, str(tmp_path))).collect())
+    assert got == [(".h.log", 1, "a"), (".h.log", 2, "b"), (".z.log.gz", 1, "d"), (".z.log.gz", 2, "e"), ("plain.log", 1, "f"), ("y.log", 1, "c")]
+
+
 def events_of(folder):
     out = []
     for root, _, names in os.walk(folder):
