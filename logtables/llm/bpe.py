@@ -16,8 +16,6 @@ letters, single digits, runs of other signs and a few English endings; a word's
 symbol carries an end mark. Decoding puts the tokens' own texts in a row with blanks, as
 the file names no decoder.
 
-Letters newer than the Unicode version of the ``regex`` module count as signs.
-
 Defined results: null is encoded as the empty text, which has no ids and decodes to the
 empty text; any other columns of the input are kept; an empty table gives no rows.
 """
@@ -34,10 +32,38 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import arrow_pass
+from .common import arrow_pass, free_name
 
 #: Fixed values of the tokenizer: its word pattern, and white space that ``str.split`` adds to the pattern's.
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Fixed values of the library: letters of later Unicode versions, which are signs to it (checked by a test
+#: over every code point).
+LATER_LETTERS = (
+    "558 58B-58C 88F C5C CDC 1C89 208F 209D-209F A7CB-A7CC A7CE-A7CF A7D2 A7D4 A7DA A7DC-A7DD A7E2 A7F1 "
+    "AB6C-AB6D 107BB-107BF 10940-10959 10D50-10D65 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DF1 "
+    "16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 "
+    "191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE "
+    "1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD "
+    "323B0-33479 3D000-3FC3F "
+)
+#: Fixed values of the library: lower-case letters of later versions, as (first, last, distance).
+LATER_LOWER = (
+    (0x1C89, 0x1C89, 0x1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 0x1), (0xA7CE, 0xA7CE, 0x1),
+    (0xA7D2, 0xA7D2, 0x1), (0xA7D4, 0xA7D4, 0x1), (0xA7DA, 0xA7DA, 0x1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC),
+    (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+)
+_LOWER = {c: c + distance for first, last, distance in LATER_LOWER for c in range(first, last + 1)}
+#: Fixed values of the library: numbers of later versions, which are signs to it.
+LATER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+
+
+def _set(ranges: str) -> str:
+    """Code points in hexadecimal, as they stand in a character class."""
+    return "".join("-".join(rf"\U{int(c, 16):08x}" for c in part.split("-")) for part in ranges.split())
+
+
+_LETTERS = rf"[\p{{L}}--[{_set(''.join(LATER_LETTERS))}]]"
+_NUMBERS = rf"[\p{{N}}--[{_set(LATER_NUMBERS)}]]"
+WORD = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{_LETTERS}+|{_NUMBERS}|[^\s{_LETTERS}{_NUMBERS}]+")
 END = "</w>"
 SPACE = regex.compile(r"[\t\n\v\f\r\x20\x85\xa0  -     　]+")
 SPLIT_ONLY = regex.compile(r"[\x1c-\x1f]")
@@ -170,8 +196,11 @@ class Codec:
         """The ids of a text without white space, as little-endian 32-bit numbers."""
         text = unicodedata.normalize("NFC", chunk)
         text = text.lower() if "Σ" not in text else "".join([c.lower() for c in text])
-        if text.isascii() and text.isalpha():
-            return self.encode_word(text)
+        if text.isascii():
+            if text.isalpha():
+                return self.encode_word(text)
+        else:
+            text = text.translate(_LOWER)
         return b"".join([self.encode_word(word) for word in WORD.findall(text)])
 
     def _plain(self, text: str) -> bytes:
@@ -214,7 +243,8 @@ def codec(path: str) -> Codec:
 
 def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """Adds n_tokens, ids_sha256 and decoded_sha256 to every row, and ids (array of int) if
-    asked for."""
+    asked for; a name that is taken gets an underscore."""
+    names = [free_name(docs, n) for n in ("n_tokens", "ids_sha256", "decoded_sha256", "ids")]
 
     def work():
         tokenizer = codec(path)
@@ -233,4 +263,5 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
 
         return step
 
-    return arrow_pass(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, work)
+    kinds = ("long", "string", "string", "array<int>")[: 3 + with_ids]
+    return arrow_pass(docs, ", ".join(f"`{n}` {kind}" for n, kind in zip(names, kinds)), work)
