@@ -92,7 +92,8 @@ def plan_tables(vectors: np.ndarray, points: int, threshold: float, recall: floa
     the share ``recall`` of every kind of pairs shares a cell. Length 0, one cell for all
     points, is exact; it is taken where tables would be more work than that.
     """
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = scaled(vectors)
+    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
     mean = unit.mean(0)
     centred = unit - mean
     bits = min(62, unit.shape[1])
@@ -101,7 +102,10 @@ def plan_tables(vectors: np.ndarray, points: int, threshold: float, recall: floa
     rotations = [learn_rotation(centred, axes, seed) for seed in range(FIRST)]
     kinds = threshold_pairs(unit, threshold)
     rng = np.random.default_rng(8)
-    unlike = unit[rng.integers(0, len(unit), PAIRS)], unit[rng.integers(0, len(unit), PAIRS)]
+    # Two different vectors each: one paired with itself would agree in every bit.
+    one = rng.integers(0, len(unit), PAIRS)
+    other = (one + rng.integers(1, max(2, len(unit)), PAIRS)) % len(unit)
+    unlike = unit[one], unit[other]
 
     def agreeing(pair: tuple[np.ndarray, np.ndarray], rotation: np.ndarray) -> np.ndarray:
         return _signs(pair[0], mean, rotation) == _signs(pair[1], mean, rotation)
@@ -139,7 +143,14 @@ def plan_tables(vectors: np.ndarray, points: int, threshold: float, recall: floa
     return mean, rotations[: -(-tables // each)], length, tables, min(bits, int(apart))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by the power of two that brings their largest component near 1: no digit changes, and
+    no square overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    x, y = scaled(x), scaled(y)
     return np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
 
 
@@ -165,6 +176,7 @@ def _cells(points: DataFrame, threshold: float, recall: float, total: int) -> tu
         def step(part: pa.RecordBatch) -> list[pa.Array]:
             mean, rotations = shared.value
             x = matrix(part.column("vector"))
+            x = scaled(x)
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
             keys, first = [], None
             for n, rotation in enumerate(rotations):
