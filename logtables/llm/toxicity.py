@@ -22,6 +22,7 @@ alone. Repeated rows are scored alike, other columns are kept, an empty table gi
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -34,26 +35,18 @@ from pyspark.sql import functions as F
 
 from .common import arrow_pass, hash_key, settled, unit
 
-EXAMPLES = 8192
+EXAMPLES = 4096
 TERMS = 16384
 #: Documents a term may be in, of all with a term.
 SHARE = 0.05
 NEIGHBOURS = 32
-BLOCK = 64
+BLOCK = 256
+#: Blocks looked into before the bounds of the others are tried.
+FIRST = 4
 PREFIX = 5
 WORD = re.compile(r"[^\W_]+")
 #: Words whose terms a counting task remembers.
-REMEMBERED = 300_000
-
-
-def text_terms(text: str | None) -> Counter:
-    """Occurrences of a text's words (with ``=``) and of their beginnings (with ``^``)."""
-    found: Counter = Counter()
-    for word, n in Counter(WORD.findall(text.lower())).items() if text else ():
-        found["=" + word] += n
-        if len(word) > PREFIX:
-            found["^" + word[:PREFIX]] += n
-    return found
+REMEMBERED, SEEN = 200_000, 20_000
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -72,14 +65,24 @@ class Model:
         self.base = 0.0
         self.empty_score = 0.0
         self.seen: dict = {}
+        self.words: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"seen": {}}
+        return self.__dict__ | {"seen": {}, "words": {}}
 
     def counts(self, text: str | None) -> tuple[tuple[int, int], ...]:
         """(term, occurrences) of a text, in order of the term."""
-        number = self.numbers.get
-        return tuple(sorted((t, n) for term, n in text_terms(text).items() if (t := number(term)) is not None))
+        found: dict[int, int] = {}
+        for word, n in Counter(WORD.findall(text.lower())).items() if text else ():
+            numbers = self.words.get(word)
+            if numbers is None:
+                if len(self.words) > REMEMBERED:
+                    self.words.clear()
+                asked = ["=" + word, "^" + word[:PREFIX]] if len(word) > PREFIX else ["=" + word]
+                numbers = self.words[word] = tuple(self.numbers[t] for t in asked if t in self.numbers)
+            for t in numbers:
+                found[t] = found.get(t, 0) + n
+        return tuple(sorted(found.items()))
 
     def vector(self, counts) -> tuple[np.ndarray, np.ndarray]:
         numbers = np.array([c[0] for c in counts], np.int64)
@@ -123,7 +126,7 @@ class Model:
         bounds = np.bincount(block, self.cell_most[cell] * weight, self.blocks)
         order = np.argsort(-bounds, kind="stable")
         scores, found = np.zeros(0), np.zeros(0, np.int64)
-        at, step = 0, 4
+        at, step = 0, FIRST
         while at < self.blocks:
             part = order[at : at + step]
             part = part[(bounds[part] > 0) & ((len(found) < k) | (bounds[part] + 1e-12 >= (scores[k - 1] if len(found) >= k else 0)))]
@@ -136,9 +139,12 @@ class Model:
             sums = np.bincount(self.entry[posting], self.weight[posting] * np.repeat(weight[taken], self.cell_size[cell[taken]]), len(self.ids))
             new = np.flatnonzero(sums)
             scores, found = np.append(scores, sums[new]), np.append(found, new)
+            if len(scores) > k:
+                best = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+                scores, found = scores[best], found[best]
             best = np.lexsort((found, -scores))[:k]
             scores, found = scores[best], found[best]
-            at, step = at + step, 2 * step
+            at, step = at + step, self.blocks
         return list(zip(scores.tolist(), found.tolist()))
 
     def vote(self, near: list[tuple[float, int]], own: tuple[int, float, float] | None = None) -> float:
@@ -181,41 +187,47 @@ class Model:
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
         """Score and the ids of the nearest examples, nearest first."""
-        counts = self.counts(text)
-        if not counts or not self.blocks:
-            return self.empty_score, []
-        known = self.seen.get(counts)
+        # Copies are scored once; the memory holds digests, not texts or their terms.
+        key = hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        known = self.seen.get(key)
         if known is None:
+            counts = self.counts(text)
+            if not counts or not self.blocks:
+                return self.empty_score, []
             near = self.nearest(counts)
             raw = self.platt[0] * self.vote(near) + self.platt[1]
             evidence = [self.ids[i][0] for _, i in near[:3] if self.ids[i]]
             known = (1 / (1 + math.exp(-max(-30.0, min(30.0, raw)))), evidence)
-            if len(self.seen) > 20_000:
+            if len(self.seen) > SEEN:
                 self.seen.clear()
-            self.seen[counts] = known
+            self.seen[key] = known
         return known
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, documents with it) of a task's documents; the empty term counts documents with any."""
-    counts: dict[str, int] = {}
+    words_in: dict[str, int] = {}
+    starts_in: dict[str, int] = {}
+    documents = 0
 
     def flush() -> pa.RecordBatch:
-        columns = [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
-        counts.clear()
+        terms = ["", *("=" + w for w in words_in), *("^" + w for w in starts_in)]
+        columns = [pa.array(terms, pa.string()), pa.array([documents, *words_in.values(), *starts_in.values()], pa.int64())]
+        words_in.clear()
+        starts_in.clear()
         return pa.RecordBatch.from_arrays(columns, ["term", "n"])
 
     for batch in batches:
         for text in batch.column("text"):
             words = set(WORD.findall((text.as_py() or "").lower()))
             for word in words:
-                counts["=" + word] = counts.get("=" + word, 0) + 1
+                words_in[word] = words_in.get(word, 0) + 1
             for start in {w[:PREFIX] for w in words if len(w) > PREFIX}:
-                counts["^" + start] = counts.get("^" + start, 0) + 1
-            if words:
-                counts[""] = counts.get("", 0) + 1
-        if len(counts) > REMEMBERED:
+                starts_in[start] = starts_in.get(start, 0) + 1
+            documents += bool(words)
+        if len(words_in) + len(starts_in) > REMEMBERED:
             yield flush()
+            documents = 0
     yield flush()
 
 
