@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from logtables.llm import dualtree, spelling, suffixes
@@ -227,10 +228,31 @@ def test_repeats_of_long_texts(spark):
 
 def test_deep_shallow_order():
     rng = random.Random(5)
-    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(50, 120))).encode() for _ in range(12)] + [b"ab" * 60, b"ab" * 40 + b"c" * 30]
-    groups = list(suffixes.sorted_groups(texts))
-    windows = [{texts[i][at : at + 50] for i, at in group} for group in groups]
-    assert all(len(w) == 1 for w in windows)
-    order = [w.pop() for w in windows]
-    assert order == sorted({t[i : i + 50] for t in texts for i in range(len(t) - 49)})
-    assert sum(map(len, groups)) == sum(len(t) - 49 for t in texts)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(50, 120))).encode() for _ in range(12)] + [b"ab" * 60, b"ab" * 40 + b"c" * 30] * 2
+    texts += [t[:30] + b"z" + t[30:] for t in texts]
+    cells = np.array([0] * 7 + [1] * (len(texts) - 7))
+    low = np.array(rng.sample(range(100), len(texts)))
+    first = np.cumsum([0, *(len(t) - 49 for t in texts)])[:-1]
+    windows = [(i, at) for i, t in enumerate(texts) for at in range(len(t) - 49)]
+    want = {}
+    for i, at in windows:
+        key = (cells[i], texts[i][at : at + 50])
+        want[key] = min(want.get(key, 1000), low[i])
+    lows = np.array([low[i] for i, _ in windows])
+    suffixes.lower(texts, cells, low, lows, first)
+    assert lows.tolist() == [want[cells[i], texts[i][at : at + 50]] for i, at in windows]
+    letters = np.array([rng.randrange(3) for _ in range(500)], np.uint64), np.array([rng.randrange(3) for _ in range(500)], np.uint64)
+    cell = np.array([rng.randrange(4) for _ in range(500)])
+    order, new = suffixes.shallow(cell, list(letters))
+    keys = list(zip(cell[order].tolist(), letters[0][order].tolist(), letters[1][order].tolist()))
+    assert keys == sorted(keys) and new.tolist() == [i == 0 or k != keys[i - 1] for i, k in enumerate(keys)]
+
+
+def test_blind_trie_sorts():
+    rng = random.Random(6)
+    windows = [("".join(rng.choice("ab") for _ in range(12)) * 5)[:50].encode() for _ in range(300)]
+    trie = suffixes.BlindTrie(windows[0], 0)
+    for i, window in enumerate(windows[1:], 1):
+        trie.add(window, i)
+    groups = [[windows[i] for i in g] for g in trie.groups()]
+    assert [g[0] for g in groups] == sorted(set(windows)) and all(len(set(g)) == 1 for g in groups) and sum(map(len, groups)) == 300

@@ -188,3 +188,18 @@ def test_archive_round_trip(spark, tmp_path, monkeypatch):
     assert keys == sorted(keys) and len({r.part for r in found}) > 1
     empty = warc.round_trip(pages.limit(0), str(tmp_path / "empty"))
     assert empty.count() == 0
+
+
+def test_itq_plan_grows_with_the_points():
+    """No vector is its own unlike partner, so tables for more points have longer substrings."""
+    vectors = np.random.default_rng(4).standard_normal((2000, 64))
+    lengths = [itq.plan_tables(vectors, points, 0.93, 0.98)[2] for points in (50_000, 5_000_000)]
+    assert lengths[1] > lengths[0] > 0
+
+
+def test_itq_links_vectors_of_any_size(spark):
+    rng = random.Random(8)
+    base = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(6)]
+    rows = [(i, "a", [x * size for x in v]) for i, (v, size) in enumerate((v, s) for v in base for s in (1.0, 1e-200, 1e200, 1e-300))]
+    found = itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()
+    assert {r.vec_id: r.component_id for r in found} == {i: i - i % 4 for i in range(24)} and all(r.n_links == 3 for r in found)
