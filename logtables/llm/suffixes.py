@@ -43,7 +43,9 @@ SHALLOW = 16
 #: Rows of a bucket beyond which it is split by content.
 CELL = 4096
 #: Windows of a fragment; bytes looked at together; fragments kept in a task to find equal ones.
-LONGEST, SLAB, MEMORY = 64, 1 << 20, 30_000
+LONGEST, SLAB, MEMORY = 64, 1 << 20, 150_000
+#: Fragments whose buckets are sorted together.
+TOGETHER = 30_000
 NO_ID = (1 << 63) - 1
 
 # Odd multipliers with well spread bits: the golden ratio and two primes of a common hash.
@@ -253,10 +255,10 @@ class BlindTrie:
     bytes alone, is compared once with the window it ends at, and branches off where they part.
     """
 
-    def __init__(self, window: bytes, place: tuple[int, int]):
+    def __init__(self, window: bytes, place: int):
         self.root: list = [None, window, [place]]  # a leaf: (no branch, window, places)
 
-    def add(self, window: bytes, place: tuple[int, int]) -> None:
+    def add(self, window: bytes, place: int) -> None:
         node, path = self.root, []
         while node[0] is not None:
             path.append(node)
@@ -277,7 +279,7 @@ class BlindTrie:
         else:
             self.root = branch
 
-    def groups(self) -> Iterator[list[tuple[int, int]]]:
+    def groups(self) -> Iterator[list[int]]:
         """Places of equal windows, the windows in order."""
         todo = [self.root]
         while todo:
@@ -313,9 +315,9 @@ def shallow(cells: np.ndarray, characters: list[np.ndarray]) -> np.ndarray:
     return order, first
 
 
-def sorted_groups(texts: list[bytes], cells: list[int]) -> Iterator[list[tuple[int, int]]]:
-    """Groups of windows of one cell that agree in their first ``SHALLOW`` bytes, each sorted to
-    the end: (text, place) of equal windows together. Windows alone or of one text are left out."""
+def lower(texts: list[bytes], cells: np.ndarray, low: np.ndarray, lows: np.ndarray, first: np.ndarray) -> None:
+    """Sorts the windows of texts inside their cells; each gets the smallest ``low`` of the texts
+    with an equal one, in ``lows``, where the windows of a text begin at ``first``."""
     sizes = np.array([len(t) - WINDOW + 1 for t in texts], np.int64)
     text = np.repeat(np.arange(len(texts)), sizes)
     starts = np.cumsum([0, *map(len, texts)])[:-1]
@@ -323,36 +325,32 @@ def sorted_groups(texts: list[bytes], cells: list[int]) -> Iterator[list[tuple[i
     data = b"".join(texts)
     words = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
     at = starts[text] + place
-    letters = [words[at + depth].astype(np.uint64) for depth in range(0, SHALLOW, 8)]
-    order, first = shallow(np.array(cells)[text], letters)
-    begins = np.flatnonzero(first)
-    low, high = np.minimum.reduceat(text[order], begins), np.maximum.reduceat(text[order], begins)
-    ends = np.append(begins[1:], len(order))
-    for begin, end in zip(begins[low != high].tolist(), ends[low != high].tolist()):
-        rows = order[begin:end]
+    order, new = shallow(cells[text], [words[at + depth].astype(np.uint64) for depth in range(0, SHALLOW, 8)])
+    begins = np.flatnonzero(new)
+    holder = text[order]
+    several = np.minimum.reduceat(holder, begins) != np.maximum.reduceat(holder, begins)
+    # Groups that agree to the end are one leaf; the rest of the groups goes to blind tries.
+    agree = np.ones(len(order), bool)
+    for depth in (*range(SHALLOW, WINDOW - 8, 8), WINDOW - 8):
+        letters = words[at[order] + depth]
+        agree[1:] &= letters[1:] == letters[:-1]
+    equal = np.logical_and.reduceat(agree | new, begins)
+    smallest = np.minimum.reduceat(low[holder], begins)
+    counts = np.diff(np.append(begins, len(order)))
+    done = np.repeat(several & equal, counts)
+    target = first[holder] + place[order]
+    lows[target[done]] = np.repeat(smallest, counts)[done]
+    for begin, count in zip(begins[several & ~equal].tolist(), counts[several & ~equal].tolist()):
         trie = None
-        for i, where in zip(text[rows].tolist(), place[rows].tolist()):
-            window = texts[i][where : where + WINDOW]
+        for i in range(begin, begin + count):
+            window = data[at[order[i]] : at[order[i]] + WINDOW]
             if trie is None:
-                trie = BlindTrie(window, (i, where))
+                trie = BlindTrie(window, i)
             else:
-                trie.add(window, (i, where))
-        yield from trie.groups()
-
-
-def lowest(cells: list[dict[bytes, list[np.ndarray]]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per distinct fragment of some buckets: its places, and the smallest document of each of its windows."""
-    texts = [t for cell in cells for t in cell]
-    number = [n for n, cell in enumerate(cells) for _ in cell]
-    places = [np.concatenate(p) if len(p) > 1 else p[0] for cell in cells for p in cell.values()]
-    low = [int(p[:, 1].min()) for p in places]
-    lows = [np.full(len(t) - WINDOW + 1, smallest) for t, smallest in zip(texts, low)]
-    if len(texts) > len(cells):
-        for group in sorted_groups(texts, number):
-            smallest = min(low[i] for i, _ in group)
-            for i, at in group:
-                lows[i][at] = smallest
-    yield from zip(places, lows)
+                trie.add(window, i)
+        for group in trie.groups():
+            if len(group) > 1:
+                lows[target[group]] = low[holder[group]].min()
 
 
 def spans(places: np.ndarray, lows: np.ndarray) -> Iterator[np.ndarray]:
@@ -381,34 +379,49 @@ def _span_batch(found: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), pa.int64()) for c in columns], ["row", "doc", "span"])
 
 
-def _cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of the buckets that are not hot, from rows in order of the route."""
-    last, cell, cells, held = None, {}, [], 0
-
-    def close() -> None:
-        nonlocal held
-        if len(cell) > 1 or sum(len(p) for places in cell.values() for p in places) > 1:
-            cells.append(cell)
-            held += len(cell)
+def solved(texts: list[bytes], cells: list[int], owners: list[int], places: list[bytes]) -> list[np.ndarray]:
+    """Spans of the distinct fragments of some buckets; ``owners``: the fragment of each of ``places``."""
+    if not texts:
+        return []
+    owner = np.repeat(np.array(owners), [len(p) // 24 for p in places])
+    where = np.frombuffer(b"".join(places), "<i8").reshape(-1, 3)
+    low = np.full(len(texts), NO_ID)
+    np.minimum.at(low, owner, where[:, 1])
+    sizes = np.array([len(t) - WINDOW + 1 for t in texts], np.int64)
+    first = np.cumsum(sizes) - sizes
+    lows = np.repeat(low, sizes)
+    cell = np.array(cells)
+    mixed = np.flatnonzero(np.bincount(cell)[cell] > 1)
+    if len(mixed):
+        lower([texts[i] for i in mixed.tolist()], cell[mixed], low[mixed], lows, first[mixed])
+    least, most = np.minimum.reduceat(lows, first), np.maximum.reduceat(lows, first)
+    whole = where[:, 1] > most[owner]
+    found = [np.column_stack([where[whole], sizes[owner[whole]]])]
+    for i in np.flatnonzero((where[:, 1] > least[owner]) & ~whole).tolist():
+        o = owner[i]
+        found.extend(spans(where[i : i + 1], lows[first[o] : first[o] + sizes[o]]))
+    return found
 
-    def solved() -> pa.RecordBatch:
-        return _span_batch([s for places, lows in lowest(cells) for s in spans(places, lows)])
 
+def _cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of the buckets that are not hot, from rows in order of the route."""
+    last, cell, number = None, {}, -1
+    texts, cells, owners, blobs = [], [], [], []
     for batch in batches:
+        batch = batch.filter(pa.array((batch.column(0).to_numpy() & 1) == 0))
         for route, fragment, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if route & 1:
-                continue
             if route != last:
-                if cell:
-                    close()
-                last, cell = route, {}
-                if held > MEMORY:
-                    yield solved()
-                    cells, held = [], 0
-            cell.setdefault(fragment, []).append(np.frombuffer(places, "<i8").reshape(-1, 3))
-    if cell:
-        close()
-    yield solved()
+                if len(texts) > TOGETHER:
+                    yield _span_batch(solved(texts, cells, owners, blobs))
+                    texts, cells, owners, blobs, number = [], [], [], [], -1
+                last, cell, number = route, {}, number + 1
+            i = cell.setdefault(fragment, len(texts))
+            if i == len(texts):
+                texts.append(fragment)
+                cells.append(number)
+            owners.append(i)
+            blobs.append(places)
+    yield _span_batch(solved(texts, cells, owners, blobs))
 
 
 def _hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
