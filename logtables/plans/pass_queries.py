@@ -94,7 +94,8 @@ def _until(query, found, wanted: int, seconds: float = 600.0) -> None:
 
 @query("assemble_events", cte("fx_text_lines") + _EVENTS + "select path, content, lines from e")
 def _(i: Inputs):
-    """Every file in two halves, so that events are carried over; its last event comes by the timer."""
+    """Every file in two batches, so that events are carried over; its last event comes by the timer,
+    which is longer than a batch takes."""
     logs, out = staging(i, "halves"), staging(i, "events-out")
     size = (F.octet_length("line") + 1).cast("bigint")
     lines = i.text_lines.withColumn("bytes", size)
@@ -104,8 +105,10 @@ def _(i: Inputs):
     halves = i.spark.read.parquet(f"{logs}/all")
     total = halves.count()
     halves.filter("not late").write.parquet(f"{logs}/in")
-    stream = i.spark.readStream.schema(halves.schema).parquet(f"{logs}/in")
-    events = assemble_events(stream, pattern=r"^\[", idle=3.0)
+    first = len(i.spark.read.parquet(f"{logs}/in").inputFiles())
+    halves.filter("late").write.mode("append").parquet(f"{logs}/in")
+    stream = i.spark.readStream.schema(halves.schema).option("maxFilesPerTrigger", first).parquet(f"{logs}/in")
+    events = assemble_events(stream, pattern=r"^\[", idle=25.0)
     writer = events.writeStream.format("parquet").option("path", f"{out}/events").option("checkpointLocation", f"{out}/cp")
     query = writer.trigger(processingTime="500 milliseconds").start()
 
@@ -115,8 +118,6 @@ def _(i: Inputs):
         return i.spark.read.schema("lines bigint").parquet(f"{out}/events").agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0]
 
     try:
-        _until(query, lambda: sum(p.numInputRows for p in query.recentProgress), halves.filter("not late").count())
-        halves.filter("late").write.mode("append").parquet(f"{logs}/in")
         _until(query, delivered, total)
     finally:
         query.stop()

@@ -142,8 +142,12 @@ def _folded(rules: Rules) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
 
     def segments(lines: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for path, group in lines.sort_values("offset", kind="stable").groupby("path", sort=False):
-            own = int(group["offset"].iloc[0])  # a key costs more than a row, so complete events share one
+        lines = lines.sort_values(["path", "offset"], kind="stable")
+        # Only lines that follow each other are folded, however they were dealt.
+        piece = (lines["path"].ne(lines["path"].shift()) | lines["offset"].ne(lines["end_offset"].shift())).cumsum()
+        for _, group in lines.groupby(piece, sort=False):
+            path, own = group["path"].iloc[0], int(group["offset"].iloc[0])
+            # A key costs more than a row, so the complete events of a piece share one.
             for seq, (kind, event, joins) in enumerate(rules.fold(group)):
                 rows.append((path, *event.row(), own if kind == DONE else -1, seq, kind, joins))
         return pd.DataFrame(rows, columns=names)
