@@ -87,9 +87,27 @@ def load_state(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(STATE).parquet(f"{folder}/v={versions[-1]}")
 
 
-def save_state(state: DataFrame, folder: str) -> int:
-    """Write the next version; an interrupted write is never read."""
-    versions = _versions(state.sparkSession, folder)
+def save_state(state: DataFrame, folder: str, keep: int = 8) -> int:
+    """Write the next version; an interrupted write is never read.
+
+    The newest ``keep`` complete versions stay. At least two do, since the table just written may
+    still be read through its predecessor. Older ones are removed only after the new one is whole.
+    """
+    if keep < 2:
+        raise ValueError("keep at least two versions")
+    spark = state.sparkSession
+    versions = _versions(spark, folder)
     version = (versions[-1] if versions else 0) + 1
     state.write.mode("overwrite").parquet(f"{folder}/v={version}")
+    _drop_versions(spark, folder, [*versions, version][:-keep])
     return version
+
+
+def _drop_versions(spark: SparkSession, folder: str, versions: list[int]) -> None:
+    """Remove versions, the mark of completeness first, so that a half removed one is never read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for v in versions:
+        target = path(f"{folder}/v={v}")
+        fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(path(f"{folder}/v={v}/_SUCCESS"), False)
+        fs.delete(target, True)

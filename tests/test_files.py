@@ -9,7 +9,7 @@ import os
 import pytest
 
 from logtables import jobs
-from logtables.operators.state import load_state
+from logtables.operators.state import STATE, load_state, save_state
 from logtables.sources import files as src
 from logtables.sources.catalogue import LogPattern, search_log_patterns
 from logtables.sources.listing import list_files
@@ -465,3 +465,21 @@ def test_rejects_are_written(spark, tmp_path):
     jobs.collect_logs(spark, str(logs), [pattern], str(tmp_path / "state"), out, "now", max_bytes=200)
     rows = spark.read.parquet(f"{out}-rejects").collect()
     assert sorted(r.reason for r in rows) == ["line too long", "no JSON object"]
+
+
+def test_old_state_versions_are_removed(spark, tmp_path):
+    folder = str(tmp_path / "state")
+    for n in range(1, 6):
+        state = load_state(spark, folder).unionByName(
+            spark.createDataFrame([(f"/{n}", "x", n, None, "1-1", n)], STATE)
+        )
+        assert save_state(state, folder, keep=3) == n
+    assert sorted(os.listdir(folder)) == ["v=3", "v=4", "v=5"]
+    assert {r["path"] for r in load_state(spark, folder).collect()} == {"/1", "/2", "/3", "/4", "/5"}
+    # An interrupted write is neither read nor counted; its number is written over.
+    os.mkdir(os.path.join(folder, "v=6"))
+    assert load_state(spark, folder).count() == 5
+    assert save_state(load_state(spark, folder), folder, keep=3) == 6
+    assert sorted(os.listdir(folder)) == ["v=4", "v=5", "v=6"]
+    with pytest.raises(ValueError):
+        save_state(load_state(spark, folder), folder, keep=1)
