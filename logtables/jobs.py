@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping, Sequence
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from .functions.fields import parse_object, pick_text, remove_fields
 from .functions.match import matches
@@ -22,7 +24,8 @@ from .session import checkpoint_dir
 from .sinks import Sink, sink_metrics, write_events
 from .sources.catalogue import LogPattern, pattern_index, route_files, search_log_patterns, usable
 from .sources.listing import list_files
-from .sources.ranges import OPEN_END, TOO_LONG, is_line, read_ranges, refused_lines, with_complete_end
+from .sources.ranges import OPEN_END, TOO_LONG, is_line, read_ranges, refused_lines, with_complete_end, with_identity
+from .streaming.stateful import IDLE_SECONDS
 
 
 def _by_pattern(patterns: Sequence[LogPattern], value) -> Column:
@@ -42,6 +45,11 @@ def _joins(pattern: LogPattern) -> Column:
     return F.lit(False)
 
 
+def _may_join(pattern: LogPattern) -> Column:
+    """Can a line that is still to come belong to the file's last event?"""
+    return F.lit(pattern.type == "json" or (pattern.type == "multiline" and bool(pattern.line_pattern)))
+
+
 def log_events(
     lines: DataFrame,
     patterns: Sequence[LogPattern],
@@ -119,6 +127,8 @@ def collect_logs(
     job_metadata: Mapping[str, object] | DataFrame | None = None,
     max_bytes: int = MAX_BYTES,
     rejects: str | None = None,
+    idle: float | None = None,
+    pass_number: int | None = None,
 ) -> DataFrame:
     """One bounded pass over changed files; returns the changes it handled.
 
@@ -130,12 +140,24 @@ def collect_logs(
     The changed files and their new lines are written once to the shared folder:
     later steps then see one state of files that keep growing, and a lost
     executor costs a re-read of that table only. Events go to ``pass=N`` before
-    the state moves on; a pass that died is repeated into the same folder.
+    the state moves on; a pass that died is repeated into the same folder. A ``pass_number``
+    says which pass this is, also where that one has been completed before: it starts from the
+    state before it, and its events and state replace those it left.
+
+    The last event of a file is taken as it stands. With ``idle`` it is left to a later pass, which
+    reads it again, as long as the file was written to less than that many seconds before it was
+    listed; an event over ``max_bytes`` is not waited for.
     """
+    wanted = usable(patterns)
     staging = f"{checkpoint_dir(spark)}/pass-{uuid.uuid4().hex}"
-    state = load_state(spark, state_folder)
+    state = load_state(spark, state_folder, pass_number)
     listing = route_files(list_files(spark, roots), patterns, "name").select("path", "name", "size", "mtime", "inode", "root")
-    changes = with_complete_end(classify_changes(listing, state).withColumn("pattern_index", pattern_index("name", usable(patterns))))
+    if any("://" in root for root in ([roots] if isinstance(roots, str) else roots)):
+        listing = with_identity(listing, state)
+    changes = with_complete_end(classify_changes(listing, state).withColumn("pattern_index", pattern_index("name", wanted)))
+    if idle is not None:
+        fresh = F.col("mtime") > F.current_timestamp() - F.make_dt_interval(secs=F.lit(float(idle)))
+        changes = changes.withColumn("fresh", fresh & _by_pattern(wanted, _may_join) & ~F.col("path").endswith(".gz"))
     changes.write.parquet(f"{staging}/changes")
     changes = spark.read.parquet(f"{staging}/changes")
     if changes.isEmpty():
@@ -151,18 +173,64 @@ def collect_logs(
     taken = number_lines(rows.filter(is_line(rows)).join(failed, "path", "left_anti").drop("reason", "inode"), ["offset"])
     assemble_logs(taken, patterns, max_bytes).write.parquet(f"{staging}/events")
     assembled = spark.read.parquet(f"{staging}/events")
+    if idle is not None:
+        last = assembled.groupBy("path").agg(F.max_by(F.struct("offset", "bytes"), "offset").alias("_last"))
+        held = changes.filter("fresh").join(last, "path").filter(F.col("_last.bytes") <= max_bytes)
+        held = held.select("path", F.col("_last.offset").alias("offset"))
+        assembled = assembled.join(held, ["path", "offset"], "left_anti")
     events = shape_events(assembled, patterns, now, collector, job_metadata)
     done = changes.withColumn("resume_offset", F.greatest("start_offset", "complete_end"))
-    version = _next_version(spark, state_folder)
+    if "head" in done.columns:
+        done = done.withColumn("inode", F.coalesce("head", "inode"))
+    if idle is not None:
+        # To the state such a file is one that ended, long ago, where the event begins.
+        done = done.join(held.withColumnRenamed("offset", "_held"), "path", "left").withColumns(
+            {
+                "resume_offset": F.coalesce("_held", "resume_offset"),
+                "size": F.coalesce("_held", "size"),
+                "mtime": F.when(F.col("_held").isNull(), F.col("mtime")).otherwise(F.timestamp_micros(F.lit(0))),
+            }
+        )
+    version = pass_number or _next_version(spark, state_folder)
     rejects = rejects or f"{output.rstrip('/')}-rejects"
     unread = F.lit(None).cast("string").alias("content")
     refused = rejected_events(assembled, patterns).unionByName(refused_lines(rows).select("*", unread))
     refused.write.mode("overwrite").parquet(f"{rejects}/pass={version}")
     write_events(events, f"{output}/pass={version}")
-    save_state(advance_state(state, done), state_folder)
+    save_state(advance_state(state, done), state_folder, version=version)
     return changes
 
 
+def collect_stream(
+    spark: SparkSession,
+    roots: str | Sequence[str],
+    patterns: Sequence[LogPattern],
+    state_folder: str,
+    output: str,
+    collector: Column | None = None,
+    job_metadata: Mapping[str, object] | DataFrame | None = None,
+    max_bytes: int = MAX_BYTES,
+    rejects: str | None = None,
+    idle: float = IDLE_SECONDS,
+) -> DataStreamWriter:
+    """``collect_logs`` again and again, as a stream to be given a trigger, a checkpoint and a start.
+
+    Batch N is pass N + 1: files are listed and compared with the state in tasks, each is read
+    from where it was left, and its last event waits until the file has been quiet for ``idle``
+    seconds. A batch that is repeated replaces its events and its state, so each event is there
+    once. The state folder is the stream's own; it goes with its checkpoint.
+    """
+    clock = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
+
+    def run(_: DataFrame, batch_id: int) -> None:
+        now = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+        collect_logs(
+            spark, roots, patterns, state_folder, output, now, collector, job_metadata, max_bytes, rejects, idle, batch_id + 1
+        )
+
+    return clock.writeStream.foreachBatch(run)
+
+
 def _next_version(spark: SparkSession, folder: str) -> int:
     from .operators.state import _versions
 

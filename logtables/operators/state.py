@@ -79,16 +79,16 @@ def _versions(spark: SparkSession, folder: str) -> list[int]:
     return sorted(v for v in done if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/v={v}/_SUCCESS")))
 
 
-def load_state(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest complete version, or an empty table."""
-    versions = _versions(spark, folder)
+def load_state(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """The newest complete version, of those before a number if one is given, or an empty table."""
+    versions = [v for v in _versions(spark, folder) if before is None or v < before]
     if not versions:
         return spark.createDataFrame([], STATE)
     return spark.read.schema(STATE).parquet(f"{folder}/v={versions[-1]}")
 
 
-def save_state(state: DataFrame, folder: str, keep: int = 8) -> int:
-    """Write the next version; an interrupted write is never read.
+def save_state(state: DataFrame, folder: str, keep: int = 8, version: int | None = None) -> int:
+    """Write the next version, or the given one again; an interrupted write is never read.
 
     The newest ``keep`` complete versions stay. At least two do, since the table just written may
     still be read through its predecessor. Older ones are removed only after the new one is whole.
@@ -97,9 +97,9 @@ def save_state(state: DataFrame, folder: str, keep: int = 8) -> int:
         raise ValueError("keep at least two versions")
     spark = state.sparkSession
     versions = _versions(spark, folder)
-    version = (versions[-1] if versions else 0) + 1
+    version = version or (versions[-1] if versions else 0) + 1
     state.write.mode("overwrite").parquet(f"{folder}/v={version}")
-    _drop_versions(spark, folder, [*versions, version][:-keep])
+    _drop_versions(spark, folder, [*[v for v in versions if v < version], version][:-keep])
     return version
 
 

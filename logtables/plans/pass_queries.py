@@ -13,10 +13,12 @@ from ..functions.timestamps import SEARCH_LOG_TIMESTAMPS
 from ..operators import metrics as m
 from ..operators.assemble import assemble
 from ..operators.envelope import collector_literal, text_payload, wrap_log_event
+from ..operators.pages import index_lines, pages_by_index
 from ..operators.serving import export_csv
 from ..sinks import sink_metrics, write_events
 from ..sources.catalogue import LogPattern
 from ..sources.files import with_offsets
+from ..sources.listing import list_files
 from ..sources.snapshots import read_snapshots
 from ..streaming.events import assemble_stream
 from ..streaming.stateful import assemble_events
@@ -54,6 +56,68 @@ def _(i: Inputs):
     )
 
 
+_INGESTED = "metadata map<string,variant>, payload map<string,variant>, timestamp string"
+
+
+@query(
+    "collect_stream",
+    cte("fx_text_lines") + _EVENTS + f"select 'multiline' as log_type, 'staged' as name, content as message, {_STAMP} as timestamp from e",
+)
+def _(i: Inputs):
+    """The files of ``ingest_pass`` by a stream: a batch that leaves every file's last event open, one
+    that finds the files quiet, and this one again from a checkpoint that does not know it was done."""
+    logs, out = staging(i, "collected"), staging(i, "collect-out")
+    write_logs(i, i.text_lines, logs, "line")
+    pattern = LogPattern(
+        r"^part-.*\.txt$", "multiline", metadata={"name": "staged"}, line_pattern=r"^\[", timestamp_patterns=SEARCH_LOG_TIMESTAMPS
+    )
+
+    def batch(idle: float, checkpoint: str) -> None:
+        stream = jobs.collect_stream(i.spark, logs, [pattern], f"{out}/state", f"{out}/events", idle=idle)
+        stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+    batch(1e6, f"{out}/cp")
+    batch(0.0, f"{out}/cp")
+    forget_commit(i.spark, f"{out}/cp", 1)
+    batch(0.0, f"{out}/cp")
+    rows = i.spark.read.text(f"{out}/events").select(F.from_json("value", _INGESTED).alias("e"))
+    return rows.select(
+        as_text(F.col("e.metadata")["log_type"]).alias("log_type"),
+        as_text(F.col("e.metadata")["name"]).alias("name"),
+        as_text(F.col("e.payload")["message"]).alias("message"),
+        "e.timestamp",
+    )
+
+
+def forget_commit(spark, checkpoint: str, batch: int) -> None:
+    """As if the driver had died after a batch's work and before the note that it was done."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits/{batch}")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False):
+        raise FileNotFoundError(str(path))
+
+
+@query("read_page_index", cte("fx_text_lines") + "select path, line_no, line, false as eof from fx_text_lines")
+def _(i: Inputs):
+    """All files in pages of 1,000 lines, each read through the index; the last page of a file is
+    asked for as long as it is, so none is over the end."""
+    logs = staging(i, "paged")
+    write_logs(i, i.text_lines, logs, _TAGGED)
+    listing = list_files(i.spark, logs).filter(F.col("name").rlike(r"^part-.*\.txt$"))
+    index_lines(listing, range_bytes=256 * 1024).write.parquet(f"{logs}-index")
+    index = i.spark.read.parquet(f"{logs}-index")
+    total = index.groupBy("path").agg(F.sum("lines").alias("total"))
+    start = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("total"), F.lit(1000).cast("bigint")))
+    requests = total.filter("total > 0").select("path", "total", start.alias("start_line"))
+    requests = requests.select(
+        F.concat_ws(":", "path", "start_line").alias("request_id"), "path", "start_line",
+        F.least(F.lit(1000), F.col("total") - F.col("start_line") + 1).cast("int").alias("lines"),
+    )
+    part = F.split("content", "\t", 3)
+    return pages_by_index(index, requests).select(
+        part[0].alias("path"), part[1].cast("bigint").alias("line_no"), part[2].alias("line"), "eof"
+    )
+
+
 @query("tail_stream", cte("fx_text_lines") + "select path, line_no, line from fx_text_lines")
 def _(i: Inputs):
     logs, out = staging(i, "tailed"), staging(i, "tail-out")

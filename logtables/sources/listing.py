@@ -22,6 +22,10 @@ _FIELDS = pa.schema(
     ]
 )
 
+#: Folder levels below a root that are walked by tasks of their own.
+_DEPTH = 2
+_PARTS = pa.schema([("root", pa.string()), ("folder", pa.string()), ("recursive", pa.bool_()), ("turn", pa.int32())])
+
 
 def without_checksums(names: Sequence[str]) -> list[str]:
     """Names of a folder less the checksum files Hadoop keeps beside its own: ``.name.crc``."""
@@ -29,9 +33,43 @@ def without_checksums(names: Sequence[str]) -> list[str]:
     return [n for n in names if not (n.startswith(".") and n.endswith(".crc") and n[1:-4] in there)]
 
 
-def _local(root: str, recursive: bool) -> Iterator[tuple]:
+def _below(root: str, folder: str) -> list[str]:
+    """The folders right below one; links to folders are not followed."""
+    if "://" not in root:
+        try:
+            with os.scandir(folder) as entries:
+                return sorted(e.path for e in entries if e.is_dir(follow_symlinks=False))
+        except OSError:
+            return []
+    system, _ = pafs.FileSystem.from_uri(root)
+    found = system.get_file_info(pafs.FileSelector(folder))
+    return sorted(info.path for info in found if info.type == pafs.FileType.Directory)
+
+
+def _parts(root: str, folder: str, depth: int) -> Iterator[tuple[str, bool]]:
+    """Folders to be walked side by side; only the deepest with all that is below them."""
+    if depth == 0:
+        yield folder, True
+        return
+    yield folder, False
+    for child in _below(root, folder):
+        yield from _parts(root, child, depth - 1)
+
+
+def _divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            root = row["root"]
+            top = pafs.FileSystem.from_uri(root)[1] if "://" in root else root
+            parts = list(_parts(root, top, _DEPTH)) if row["recursive"] else [(top, False)]
+            yield pa.RecordBatch.from_pylist(
+                [{"root": root, "folder": f, "recursive": deep, "turn": row["turn"]} for f, deep in parts], _PARTS
+            )
+
+
+def _local(folder: str, recursive: bool) -> Iterator[tuple]:
     """Regular files below a mounted folder; a link stands for its target."""
-    for folder, folders, names in os.walk(root):
+    for folder, folders, names in os.walk(folder):
         if not recursive:
             folders.clear()
         for name in without_checksums(names):
@@ -45,10 +83,10 @@ def _local(root: str, recursive: bool) -> Iterator[tuple]:
                 yield path, s.st_size, s.st_mtime_ns // 1000, f"{s.st_dev}-{s.st_ino}", walked
 
 
-def _remote(root: str, recursive: bool) -> Iterator[tuple]:
+def _remote(root: str, part: str, recursive: bool) -> Iterator[tuple]:
     system, inner = pafs.FileSystem.from_uri(root)
     prefix = root[: len(root) - len(inner.rstrip("/"))] if root.rstrip("/").endswith(inner.rstrip("/")) else ""
-    for info in system.get_file_info(pafs.FileSelector(inner, recursive=recursive)):
+    for info in system.get_file_info(pafs.FileSelector(part, recursive=recursive)):
         if info.type == pafs.FileType.File:
             path = prefix + info.path
             yield path, info.size, (info.mtime_ns or 0) // 1000, "", path
@@ -57,7 +95,8 @@ def _remote(root: str, recursive: bool) -> Iterator[tuple]:
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            found = (_remote if "://" in row["root"] else _local)(row["root"], row["recursive"])
+            root, folder, recursive = row["root"], row["folder"], row["recursive"]
+            found = _remote(root, folder, recursive) if "://" in root else _local(folder, recursive)
             rows = []
             for entry in found:
                 rows.append((*entry, row["root"], row["turn"]))
@@ -76,7 +115,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def list_files(spark: SparkSession, roots: str | Sequence[str], recursive: bool = True) -> DataFrame:
     """``path, name, size, mtime, inode, root, walked`` of every file below the roots, each once.
 
-    One task walks one root, so several roots are walked side by side. A file
+    The folders of a root's first two levels are walked side by side. A file
     reached more than once, by links or by nested roots, counts for the first
     root and under its real path.
     """
@@ -84,7 +123,10 @@ def list_files(spark: SparkSession, roots: str | Sequence[str], recursive: bool
     asked = spark.createDataFrame(
         [(r, recursive, n) for n, r in enumerate(names)], "root string, recursive boolean, turn int"
     )
-    walked = asked.repartition(len(names), "root").mapInArrow(_list, _DDL)
+    parts = asked.repartition(len(names), "root").mapInArrow(_divide, "root string, folder string, recursive boolean, turn int")
+    # The number is given: adaptive plans would merge folders for being small rows.
+    tasks = max(len(names), spark.sparkContext.defaultParallelism)
+    walked = parts.repartition(tasks, "root", "folder").mapInArrow(_list, _DDL)
     first = F.struct("turn", "walked")
     found = walked.groupBy("path").agg(
         F.min_by(F.struct("walked", "size", "mtime", "inode", "root"), first).alias("_f")

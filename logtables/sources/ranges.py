@@ -11,6 +11,7 @@ while it is read.
 from __future__ import annotations
 
 import gzip
+import hashlib
 import os
 from collections.abc import Iterator, Sequence
 
@@ -26,6 +27,9 @@ _LOOK_BACK = 64 * 1024
 #: Bytes read at once, and bytes of lines passed on together.
 _BLOCK, _BATCH = 1 << 20, 8 << 20
 
+#: First bytes that name a file where the file system has no identity for it.
+HEAD_BYTES = 1024
+
 #: Why a row is no line.
 TOO_LONG, OPEN_END, REPLACED = "line too long", "open end", "replaced since it was listed"
 
@@ -69,6 +73,21 @@ def identity_of(path: str) -> str:
     return f"{s.st_dev}-{s.st_ino}"
 
 
+def head_identity(f, count: int = HEAD_BYTES) -> str:
+    """What names a file by its content: how many first bytes, and their hash."""
+    f.seek(0)
+    head = f.read(count)
+    f.seek(0)
+    return f"head:{len(head)}:{hashlib.sha256(head).hexdigest()}"
+
+
+def is_same(f, path: str, identity: str) -> bool:
+    """Is the open file the one that has the identity? A file named by its head may have grown."""
+    if identity.startswith("head:"):
+        return head_identity(f, int(identity.split(":")[1])) == identity
+    return "://" in path or identity_of(path) == identity
+
+
 def _batch(path: str, start: int, rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [()] * 4
     arrays = [pa.array([path] * len(rows), pa.string()), pa.array([start] * len(rows), pa.int64())]
@@ -87,7 +106,7 @@ def read_lines(
     that of the file the range was planned for: another file under its name is not read.
     """
     with open_file(path) as f:
-        if identity and "://" not in path and identity_of(path) != identity:
+        if identity and not is_same(f, path, identity):
             yield _batch(path, start, [(start, end, None, REPLACED)])
             return
         packed = path.endswith(".gz")
@@ -262,6 +281,22 @@ def count_lines(listing: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
     return pieces.mapInArrow(run, "path string, total_rows bigint").groupBy("path").agg(F.sum("total_rows").alias("total_rows"))
 
 
+def count_terminators(path: str, start: int, end: int) -> int:
+    """Line ends in a range of a plain file, or in a whole gzip file."""
+    with open_file(path) as f:
+        source = gzip.GzipFile(fileobj=f) if path.endswith(".gz") else f
+        if source is f:
+            f.seek(start)
+        found, left = 0, end - start
+        while left > 0 or source is not f:
+            block = source.read(_BLOCK if source is not f else min(_BLOCK, left))
+            if not block:
+                break
+            found += block.count(b"\n")
+            left -= len(block)
+    return found
+
+
 def _per_file(listing: DataFrame, name: str, sql_type: DataType, value, kind: pa.DataType) -> DataFrame:
     """Add a column computed from each file itself, in the tasks."""
 
@@ -295,6 +330,42 @@ def with_complete_end(listing: DataFrame) -> DataFrame:
     return _per_file(listing, "complete_end", LongType(), _complete, pa.int64())
 
 
+def with_identity(listing: DataFrame, state: DataFrame) -> DataFrame:
+    """``inode`` also for files whose file system has none: a hash of their first KiB.
+
+    A file that still begins as its state says keeps the identity of the state, so a file that
+    was shorter than a KiB may grow; ``head`` is the identity by what it begins with now, for the
+    next state (null for other files and for such as were not opened). Files that have not
+    changed since, by size and time, are not opened. Two files with the same first KiB are one.
+    """
+    kept = listing.columns
+    old = state.select("path", F.col("inode").alias("_known"), F.col("size").alias("_size"), F.col("mtime").alias("_mtime"))
+    bare = F.coalesce(F.col("inode"), F.lit("")) == ""
+    still = F.coalesce((F.col("_size") == F.col("size")) & (F.col("_mtime") == F.col("mtime")), F.lit(False))
+    rows = listing.join(old, "path", "left").select(*kept, "_known", (bare & ~still).alias("_open"), bare.alias("_bare"))
+    rows = rows.repartition(4 * listing.sparkSession.sparkContext.defaultParallelism, "path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, heads = [], []
+            for row in batch.select(["path", "inode", "_known", "_open", "_bare"]).to_pylist():
+                name, head = row["_known"] if row["_bare"] else row["inode"], None
+                if row["_open"]:
+                    try:
+                        with open_file(row["path"]) as f:
+                            head = head_identity(f)
+                            name = name if name and is_same(f, row["path"], name) else head
+                    except OSError:  # gone since it was listed: the reader says so
+                        name = name or ""
+                names.append(name)
+                heads.append(head)
+            columns = {n: batch.column(n) for n in kept}
+            columns |= {"inode": pa.array(names, pa.string()), "head": pa.array(heads, pa.string())}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return rows.mapInArrow(run, StructType([*listing.schema.fields]).add("head", StringType()))
+
+
 def with_head(listing: DataFrame, count: int) -> DataFrame:
     """Add ``head``: the first bytes of each file."""
 

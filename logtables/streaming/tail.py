@@ -12,12 +12,14 @@ import os
 import re
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from ..sources.listing import without_checksums
-from ..sources.ranges import LINE_DDL, RANGE_BYTES, complete_end, open_file, read_range
+from ..sources.ranges import LINE_DDL, LINE_SCHEMA, RANGE_BYTES, complete_end, open_file, read_lines
 
 
 @dataclass
@@ -25,6 +27,7 @@ class FileRange(InputPartition):
     path: str
     start: int
     end: int
+    identity: str
 
 
 class TailReader(DataSourceStreamReader):
@@ -45,9 +48,12 @@ class TailReader(DataSourceStreamReader):
                     path = os.path.join(folder, name)
                     if not self.pattern.search(name) or not os.path.isfile(path):
                         continue
-                    stat = os.stat(path)
-                    with open_file(path) as f:
-                        found[path] = [f"{stat.st_dev}-{stat.st_ino}", complete_end(f, stat.st_size)]
+                    try:
+                        stat = os.stat(path)
+                        with open_file(path) as f:
+                            found[path] = [f"{stat.st_dev}-{stat.st_ino}", complete_end(f, stat.st_size)]
+                    except OSError:  # gone since its folder was listed
+                        continue
         return found
 
     def partitions(self, start: dict, end: dict) -> list[FileRange]:
@@ -57,12 +63,18 @@ class TailReader(DataSourceStreamReader):
             # Another file under the name, or one that shrank, is read from the beginning.
             low = known[1] if known and known[0] == identity and known[1] <= size else 0
             for at in range(low, size, self.range_bytes):
-                out.append(FileRange(path, at, min(at + self.range_bytes, size)))
+                out.append(FileRange(path, at, min(at + self.range_bytes, size), identity))
         return out
 
     def read(self, partition: FileRange):
-        if partition.end > partition.start:
-            yield from read_range(partition.path, partition.start, partition.end)
+        """A file that is gone or replaced since the batch was planned gives no lines: the range was
+        another file's, and the next batch reads the new one from its beginning."""
+        try:
+            for batch in read_lines(partition.path, partition.start, partition.end, identity=partition.identity):
+                lines = batch.filter(pa.compute.is_null(batch.column("reason")))
+                yield pa.RecordBatch.from_arrays(lines.columns[:5], schema=LINE_SCHEMA)
+        except FileNotFoundError:
+            return
 
 
 class TailSource(DataSource):
