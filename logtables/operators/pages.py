@@ -76,7 +76,8 @@ def ranges_of_pages(index: DataFrame, requests: DataFrame) -> DataFrame:
     ranges = index.withColumn("final", final).filter(F.col("final") >= F.col("first_line"))
     bins = F.explode(F.sequence(F.expr(f"first_line div {_BIN}"), F.expr(f"final div {_BIN}")))
     ranges = ranges.select("path", "inode", "start", "end", "last", "first_line", "final", bins.alias("bin"))
-    met = ranges.join(wanted, ["path", "bin"]).filter("low <= final and high >= first_line")
+    # Both sides are larger than estimates say, which do not see the bins; neither is broadcast.
+    met = ranges.join(wanted.hint("merge"), ["path", "bin"]).filter("low <= final and high >= first_line")
     return met.groupBy("path", "inode", "start", "end", "last", "first_line").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 

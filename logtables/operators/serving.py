@@ -55,14 +55,16 @@ def read_pages(lines: DataFrame, requests: DataFrame) -> DataFrame:
     """A page per request (``request_id, path, start_line, lines``) in one join.
 
     A request is spelled out as the line numbers it wants, so that the join is on
-    single lines and a file asked for many times is not paired with itself.
+    single lines and a file asked for many times is not paired with itself. An
+    estimate counts requests, not their lines, so a merge is asked for: a broadcast
+    would hold every line number on the driver.
     """
     first = F.greatest(F.col("start_line"), F.lit(1)).cast("bigint")
     wanted = requests.filter(F.col("lines") > 0).select(
         "request_id", "path", F.col("lines").alias("_asked"),
         F.explode(F.sequence(first, first + F.col("lines").cast("bigint") - 1)).alias("line_no"),
     )
-    page = lines.join(wanted, ["path", "line_no"])
+    page = lines.join(wanted.hint("merge"), ["path", "line_no"])
     # A page's rows meet here, never more than were asked for.
     left = F.count(F.lit(1)).over(Window.partitionBy("request_id"))
     return page.select(

@@ -197,6 +197,19 @@ def test_a_page_opens_only_its_ranges(spark, tmp_path):
     assert lines == [300, 301, 302, 303, 304]
 
 
+def test_lines_of_pages_are_not_broadcast(spark, tmp_path):
+    """A request is a small row that becomes as many as it asks for lines; estimates see the row."""
+    _files(tmp_path / "logs")
+    index_lines(list_files(spark, str(tmp_path / "logs")), range_bytes=512).write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    requests = index.groupBy("path").agg(F.sum("lines").cast("int").alias("lines")).select(
+        F.col("path").alias("request_id"), "path", F.lit(1).alias("start_line"), "lines"
+    )
+    pages = pages_by_index(index, requests)
+    assert len(pages.collect()) == 500 + 300 + 11 + 200
+    assert "Broadcast" not in pages._jdf.queryExecution().executedPlan().toString()
+
+
 def test_index_grows_with_the_file(spark, tmp_path):
     folder = tmp_path / "logs"
     _files(folder)
