@@ -89,7 +89,7 @@ def _without_paths(obj: Column, paths: Sequence[Sequence[str]], level: int) -> C
             out = v
             for name, tails in deeper.items():
                 inner = _without_paths(v.try_cast(OBJECT), tails, level + 1)
-                out = F.when((k == name) & v.try_cast(OBJECT).isNotNull(), F.to_variant_object(inner)).otherwise(out)
+                out = F.when(k == name, F.coalesce(F.to_variant_object(inner), out)).otherwise(out)
             return out
 
         obj = F.transform_values(obj, edit)

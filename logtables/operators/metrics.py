@@ -12,13 +12,22 @@ from .envelope import labels, merge_labels, metric_event
 
 Labels = Mapping[str, str] | None
 UNSAFE_ID = "max_unsafe_auto_id_timestamp"
-LISTS = "array<variant>"
+#: Shard copies by index; what is no list or no object is null.
+COPIES = f"map<string,array<{OBJECT}>>"
+#: Types that tell and count objects. Every variant taken out of another is built anew, a
+#: member that is no boolean is just null.
+KEYS = "map<string,boolean>"
+COPY_KEYS = f"map<string,array<{KEYS}>>"
 
 
 def _object(value: Column) -> Column:
     return value.try_cast(OBJECT)
 
 
+def _is_object(value: Column) -> Column:
+    return value.try_cast(KEYS).isNotNull()
+
+
 def _count(obj: Column) -> Column:
     return F.when(obj.isNotNull(), F.size(obj))
 
@@ -33,9 +42,9 @@ SNAPSHOT = ("snapshot", "cluster_id", "cluster_uuid", "timestamp")
 
 def explode_nodes(docs: DataFrame, doc: str = "doc") -> DataFrame:
     """One row per node of each document; nodes that are no objects are rejected."""
-    nodes = _object(F.try_variant_get(doc, "$.nodes", "variant"))
-    rows = docs.select(*_keys(docs, SNAPSHOT), F.explode(nodes).alias("node_id", "_node"))
-    return rows.withColumn("node", _object(F.col("_node"))).filter(F.col("node").isNotNull()).drop("_node")
+    nodes = F.try_variant_get(doc, "$.nodes", f"map<string,{OBJECT}>")
+    rows = docs.select(*_keys(docs, SNAPSHOT), F.explode(nodes).alias("node_id", "node"))
+    return rows.filter(F.col("node").isNotNull())
 
 
 def explode_indices(docs: DataFrame, doc: str = "doc") -> DataFrame:
@@ -74,8 +83,8 @@ def explode_index_list(docs: DataFrame, doc: str = "doc") -> DataFrame:
     return _explode_listing(docs, doc, fields)
 
 
-def _shard_lists(node: Column) -> Column:
-    return _object(_object(node["indices"])["shards"])
+def _shard_lists(node: Column, as_type: str) -> Column:
+    return F.try_variant_get(node["indices"], "$.shards", as_type)
 
 
 def explode_shards(nodes: DataFrame) -> DataFrame:
@@ -83,17 +92,18 @@ def explode_shards(nodes: DataFrame) -> DataFrame:
     keep = [*_keys(nodes, SNAPSHOT), "node_id", "host"]
     rows = nodes.withColumn("host", as_text(F.col("node")["host"]))
     # Only the shards subtree goes through the explosions, not the whole node.
-    rows = rows.select(*keep, F.explode(_shard_lists(F.col("node"))).alias("index_name", "_list"))
-    rows = rows.select(*keep, "index_name", F.explode(F.col("_list").try_cast(LISTS)).alias("_copy"))
-    return rows.select(*keep, "index_name", F.explode(_object(F.col("_copy"))).alias("shard", "stats"))
+    rows = rows.select(*keep, F.explode(_shard_lists(F.col("node"), COPIES)).alias("index_name", "_list"))
+    rows = rows.select(*keep, "index_name", F.explode("_list").alias("_copy"))
+    return rows.select(*keep, "index_name", F.explode("_copy").alias("shard", "stats"))
 
 
 def shard_event(shards: DataFrame, custom: Labels = None) -> DataFrame:
     """Shard copies as events; the unsafe id of their segments is emptied."""
     stats = _object(F.col("stats"))
-    segments = _object(stats["segments"])
-    cleared = put(stats, "segments", F.to_variant_object(put(segments, UNSAFE_ID, F.parse_json(F.lit("null")))))
-    body = F.when(segments.isNotNull(), cleared).otherwise(stats)
+    segments = F.try_variant_get("stats", "$.segments", OBJECT)
+    cleared = F.to_variant_object(put(segments, UNSAFE_ID, F.parse_json(F.lit("null"))))
+    has_segments = F.try_variant_get("stats", "$.segments", KEYS).isNotNull()
+    body = F.when(has_segments, put(stats, "segments", cleared)).otherwise(stats)
     index_id = F.when(F.col("index_name") == "_all", F.lit("_all")).otherwise(
         F.concat_ws(":", F.coalesce("cluster_uuid", F.lit("")), "index_name")
     )
@@ -109,7 +119,7 @@ def shard_event(shards: DataFrame, custom: Labels = None) -> DataFrame:
         },
         {"cluster_uuid": F.col("cluster_uuid")},
     )
-    good = shards.filter(stats.isNotNull())
+    good = shards.filter(_is_object(F.col("stats")))
     return metric_event(good, "shard_stats", body, merge_labels(computed, custom), _time(good))
 
 
@@ -124,16 +134,12 @@ def node_shard_summary(nodes: DataFrame) -> DataFrame:
     has no shards, null when ``indices`` is missing.
     """
     node = F.col("node")
-    lists = _shard_lists(node)
+    lists = _shard_lists(node, COPY_KEYS)
     per_index = F.transform(
         F.map_values(lists),
-        lambda v: F.aggregate(
-            F.coalesce(v.try_cast(LISTS), F.array().cast(LISTS)),
-            F.lit(0),
-            lambda a, copy: a + F.coalesce(_count(_object(copy)), F.lit(0)),
-        ),
+        lambda v: F.coalesce(F.aggregate(v, F.lit(0), lambda a, copy: a + F.coalesce(_count(copy), F.lit(0))), F.lit(0)),
     )
-    has_indices = _object(node["indices"]).isNotNull()
+    has_indices = _is_object(node["indices"])
     indices = F.coalesce(_count(lists), F.lit(0))
     shards = F.coalesce(F.aggregate(per_index, F.lit(0), lambda a, n: a + n), F.lit(0))
     return nodes.withColumns(

@@ -35,37 +35,45 @@ def node_docs(i: Inputs) -> DataFrame:
     Every eleventh node has ``indices`` without shards, every thirteenth has no
     ``indices`` at all.
     """
-    copy = F.expr(
-        """'{"' || shard || '":{"routing":{"state":"' || state || '","primary":' || cast(shard_type = 'p' as string)
- || '},"docs":{"count":' || cast(docs as string) || '},"store":{"size_in_bytes":' || cast(size_in_bytes as string)
- || '},"segments":{"count":1,"max_unsafe_auto_id_timestamp":-1}}}'"""
-    )
-    # One shuffle: both groupings fit the partitioning by document.
-    rows = _snapshot_shards(i).select("snapshot", "node_id", "index_name", copy.alias("copy"))
-    per_index = rows.repartition("snapshot", "node_id").groupBy("snapshot", "node_id", "index_name").agg(
-        F.concat(F.lit('"'), "index_name", F.lit('":['), F.array_join(F.collect_list("copy"), ","), F.lit("]")).alias("copies")
-    )
-    per_node = per_index.groupBy("snapshot", "node_id").agg(
-        F.concat(F.lit("{"), F.array_join(F.collect_list("copies"), ","), F.lit("}")).alias("shards")
-    )
+    row = F.struct("index_name", "shard", "shard_type", "state", "docs", "size_in_bytes")
+    # Plain rows are shuffled and grouped, and meet their node; documents, many times larger, are built last.
+    rows = _snapshot_shards(i).select("snapshot", "node_id", row.alias("row")).repartition("snapshot", "node_id")
+    per_node = rows.groupBy("snapshot", "node_id").agg(F.collect_list("row").alias("rows"))
+
+    def copy(r: Column) -> Column:
+        stats = F.struct(
+            F.struct(r["state"].alias("state"), (r["shard_type"] == "p").alias("primary")).alias("routing"),
+            F.struct(r["docs"].alias("count")).alias("docs"),
+            F.struct(r["size_in_bytes"].alias("size_in_bytes")).alias("store"),
+            F.struct(F.lit(1).alias("count"), F.lit(-1).alias(m.UNSAFE_ID)).alias("segments"),
+        )
+        return F.create_map(r["shard"], stats)
+
+    whole = lambda r: reduce(lambda a, b: a & b, [r[c].isNotNull() for c in ("shard", "shard_type", "state", "docs", "size_in_bytes")])
+    names = F.array_distinct(F.filter(F.transform("rows", lambda r: r["index_name"]), lambda name: name.isNotNull()))
+    copies = lambda name: F.transform(F.filter("rows", lambda r: (r["index_name"] == name) & whole(r)), copy)
+    shards = F.map_from_entries(F.transform(names, lambda name: F.struct(name.alias("key"), copies(name).alias("value"))))
+    docs = F.struct(F.lit(5).alias("count")).alias("docs")
+    segments = F.struct(F.lit(2).alias("count"), F.lit(9).alias(m.UNSAFE_ID)).alias("segments")
+
+    def body(*parts: Column) -> Column:
+        node = F.struct(
+            F.col("node_name").alias("name"), "host", F.col("host").alias("ip"),
+            F.concat("host", F.lit(":9300")).alias("transport_address"),
+            F.struct(F.lit(1).alias("x")).alias("adaptive_selection"), F.struct(F.lit(2).alias("y")).alias("ingest"),
+            F.struct(F.lit(3).alias("mem")).alias("jvm"), *parts,
+        )
+        return F.to_variant_object(F.struct(F.create_map("node_id", node).alias("nodes")))
+
     no = F.expr(_NODE_NO)
-    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    shards = F.when(no % 11 == 0, F.lit("")).otherwise(F.concat(F.lit(',"shards":'), "shards"))
-    indices = F.when(no % 13 == 0, F.lit("")).otherwise(
-        F.concat(F.lit(',"indices":{"docs":{"count":5},"segments":{"count":2,"max_unsafe_auto_id_timestamp":9}'), shards, F.lit("}"))
-    )
-    body = F.concat(
-        F.lit('{"nodes":{'), quoted(F.col("node_id")), F.lit(':{"name":'), quoted(F.col("node_name")),
-        F.lit(',"host":'), quoted(F.col("host")), F.lit(',"ip":'), quoted(F.col("host")),
-        F.lit(',"transport_address":'), quoted(F.concat("host", F.lit(":9300"))),
-        F.lit(',"adaptive_selection":{"x":1},"ingest":{"y":2},"jvm":{"mem":3}'), indices, F.lit("}}}"),
-    )
+    doc = F.when(F.col("node_name").isNull() | F.col("host").isNull(), F.lit(None))
+    doc = doc.when(no % 13 == 0, body()).when(no % 11 == 0, body(F.struct(docs, segments).alias("indices")))
     return per_node.join(i.nodes, "node_id").select(
         "snapshot",
         F.lit("cid").alias("cluster_id"),
         "cluster_uuid",
         F.lit("2025-01-01T00:00:00Z").alias("timestamp"),
-        F.parse_json(body).alias("doc"),
+        doc.otherwise(body(F.struct(docs, segments, shards.alias("shards")).alias("indices"))).alias("doc"),
     )
 
 
