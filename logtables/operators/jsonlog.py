@@ -147,7 +147,9 @@ def merge_json(
     kept = F.map_filter(root, lambda k, v: ~k.isin("json", "@timestamp"))
     event_time = F.try_to_timestamp(as_text(F.col(column)["@timestamp"]))
     decoded = F.map_filter(decoded, lambda k, v: k != "@timestamp")
-    merged = update(kept, decoded) if overwrite_keys else update(decoded, kept)
+    base, over = (kept, decoded) if overwrite_keys else (decoded, kept)
+    # A lambda argument is evaluated once; within the merge it would be, for every key.
+    merged = F.get(F.transform(F.array(over), lambda o: update(base, o)), F.lit(0))
     return df.withColumns({"event_time": event_time, root: merged}).drop(column)
 
 
@@ -168,9 +170,13 @@ def expand_dotted(obj: Column) -> Column:
             F.filter(F.map_entries(obj), lambda e: e["key"].startswith(F.concat(h, F.lit(".")))),
             lambda e: F.struct(F.substr(e["key"], F.length(h) + 2).alias("key"), e["value"].alias("value")),
         )
-        own = obj[h].try_cast(OBJECT)
-        own = F.coalesce(own, F.create_map().cast(OBJECT))
-        nested = F.to_variant_object(update(own, F.map_from_entries(dotted)))
-        return F.struct(h.alias("key"), F.when(F.size(dotted) > 0, nested).otherwise(obj[h]).alias("value"))
+
+        def nested(entries: Column) -> Column:
+            own = F.coalesce(obj[h].try_cast(OBJECT), F.create_map().cast(OBJECT))
+            return F.when(F.size(entries) > 0, F.to_variant_object(update(own, F.map_from_entries(entries)))).otherwise(obj[h])
+
+        # The argument of a lambda is evaluated once.
+        value = F.get(F.transform(F.array(dotted), nested), F.lit(0))
+        return F.struct(h.alias("key"), value.alias("value"))
 
     return F.map_from_entries(F.transform(heads, build))

@@ -358,9 +358,9 @@ def _(i: Inputs):
 def _(i: Inputs):
     df = accepted(read_json_events(i.json_lines.select("path", "chunk", "line_no", "line")))
     root = F.expr("map('type', cast('root' as variant), '@timestamp', cast('x' as variant), 'host', cast('h' as variant))")
-    df = df.withColumn("fields", root)
-    kept = merge_json(df, overwrite_keys=False).withColumnRenamed("fields", "k").select("path", "line_from", "k")
-    both = merge_json(df, overwrite_keys=True, expand_keys=True).join(kept, ["path", "line_from"])
+    # Both merges of one row; a line without a path is in no file, and left out.
+    df = df.filter(F.col("path").isNotNull()).withColumns({"fields": root, "k": root, "same": F.col("json")})
+    both = merge_json(merge_json(df, "k", "same"), overwrite_keys=True, expand_keys=True)
     return both.select(
         "path", F.col("line_from").cast("bigint"),
         as_text(F.col("k")["type"]).alias("kept"),
