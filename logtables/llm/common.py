@@ -15,6 +15,8 @@ from ..session import checkpoint_dir
 
 #: Rows an Arrow pass handles at a time, so that long texts stay within a worker's memory.
 SLICE = 64
+#: Spark's switch for removing the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +24,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint()
+    """``df`` computed once and kept in the shared checkpoint folder; its shuffle files, which
+    nothing reads again, go at once and not when the driver happens to collect its garbage."""
+    session = df.sparkSession
+    if session.sparkContext.getCheckpointDir() is None:
+        session.sparkContext.setCheckpointDir(checkpoint_dir(session))
+    before = session.conf.get(CLEANUP, None)
+    session.conf.set(CLEANUP, "true")
+    try:
+        # The switch is read where a plan is made, so this takes a plan of its own.
+        return df.select("*").checkpoint()
+    finally:
+        if before is None:
+            session.conf.unset(CLEANUP)
+        else:
+            session.conf.set(CLEANUP, before)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import time
+from pathlib import Path
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
+from logtables.llm import common
 
 from .data import DOC_SCHEMA, messy_documents
 
@@ -47,3 +52,17 @@ def test_run(spark):
     for name, stage in pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert {r.doc_id: r.n_tokens for r in docs.select("doc_id", "n_tokens").collect()} == found and found
+
+
+def test_settled_leaves_no_shuffle_files(spark):
+    """Rounds of checkpoints do not pile up the shuffles of the rounds before."""
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*")}
+    before = files()
+    rows = common.settled(spark.range(0, 1000, 1, 8).groupBy((F.col("id") % 100).alias("k")).count())
+    for _ in range(100):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert rows.count() == 100 and spark.conf.get(common.CLEANUP, None) != "true"
