@@ -27,6 +27,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +44,13 @@ NEIGHBOURS = 32
 BLOCK = 256
 #: Blocks looked into before the bounds of the others are tried.
 FIRST = 4
+#: Where the bounds leave most blocks to nearly every text, one text in so many tries them.
+TRIED = 16
 PREFIX = 5
 WORD = re.compile(r"[^\W_]+")
-#: Words whose terms a counting task remembers.
+#: The bytes, with a blank for what ``WORD`` leaves out of ASCII.
+BLANKS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+#: Terms a counting task holds; texts a scoring task remembers.
 REMEMBERED, SEEN = 200_000, 20_000
 
 
@@ -55,38 +60,50 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
+def words_of(text: str) -> list[str]:
+    """The matches of ``WORD`` in the text in lower case, in any order; the pattern itself is needed
+    only where a letter of no ASCII is beside a character that is neither letter nor digit."""
+    words = text.lower().encode("utf-8", "surrogatepass").translate(BLANKS).decode("utf-8", "surrogatepass").split()
+    good = [w for w in words if w.isalnum()]
+    if len(good) < len(words):
+        good += WORD.findall(" ".join([w for w in words if not w.isalnum()]))
+    return good
+
+
 class Model:
     """The index over example vectors, built once on the driver and broadcast."""
 
     def __init__(self, terms: list[str], idf: np.ndarray):
         self.terms, self.idf = terms, idf
-        self.numbers = {t: i for i, t in enumerate(terms)}
+        self.whole = {t[1:]: i for i, t in enumerate(terms) if t[0] == "="}
+        self.starts = {t[1:]: i for i, t in enumerate(terms) if t[0] == "^"}
         self.platt = (0.0, 0.0)
         self.base = 0.0
         self.empty_score = 0.0
         self.seen: dict = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.lists: list[np.ndarray] | None = None
+        self.wide, self.turn = 0.0, 0
 
     def __getstate__(self):
-        return self.__dict__ | {"seen": {}, "words": {}}
+        return self.__dict__ | {"seen": {}, "lists": None}
 
     def counts(self, text: str | None) -> tuple[tuple[int, int], ...]:
         """(term, occurrences) of a text, in order of the term."""
         found: dict[int, int] = {}
-        for word, n in Counter(WORD.findall(text.lower())).items() if text else ():
-            numbers = self.words.get(word)
-            if numbers is None:
-                if len(self.words) > REMEMBERED:
-                    self.words.clear()
-                asked = ["=" + word, "^" + word[:PREFIX]] if len(word) > PREFIX else ["=" + word]
-                numbers = self.words[word] = tuple(self.numbers[t] for t in asked if t in self.numbers)
-            for t in numbers:
-                found[t] = found.get(t, 0) + n
+        times = Counter(words_of(text)) if text else {}
+        for word, number in zip(times, map(self.whole.get, times)):
+            if number is not None:
+                found[number] = times[word]
+        long = [w for w in times if len(w) > PREFIX]
+        for word, number in zip(long, map(self.starts.get, [w[:PREFIX] for w in long])):
+            if number is not None:
+                found[number] = found.get(number, 0) + times[word]
         return tuple(sorted(found.items()))
 
     def vector(self, counts) -> tuple[np.ndarray, np.ndarray]:
-        numbers = np.array([c[0] for c in counts], np.int64)
-        weights = np.array([c[1] for c in counts], np.float64) * self.idf[numbers]
+        flat = np.fromiter(chain.from_iterable(counts), np.int64, 2 * len(counts))
+        numbers = flat[::2]
+        weights = flat[1::2] * self.idf[numbers]
         return numbers, weights / np.sqrt((weights**2).sum())
 
     def build(self, examples: list[tuple[tuple, int, int, list[int]]]) -> None:
@@ -110,43 +127,70 @@ class Model:
         # A cell is a term's postings within a block of examples.
         key = term * max(self.blocks, 1) + entry // BLOCK
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        self.entry, self.weight = entry.astype(np.int32), weight
-        self.cell_start = first
-        self.cell_size = np.diff(np.append(first, len(key)))
-        self.cell_block = (entry[first] // BLOCK).astype(np.int32)
-        self.cell_most = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
-        self.cells = np.searchsorted(term[first], np.arange(len(self.terms) + 1))
+        # A posting is one small number, times and entry, as they are read from all over the memory.
+        times = np.array([c[1] for e in examples for c in e[0]], np.int64)[by_term]
+        self.bits = len(vectors).bit_length()
+        packed = (times << self.bits) | entry
+        self.postings = packed.astype(np.min_scalar_type(int(packed.max(initial=0))))
+        self.factor = np.array([w[0] / (e[0][0][1] * self.idf[e[0][0][0]]) for (_, w), e in zip(vectors, examples)])
+        # The cells' first postings, sizes and largest weights, a line a term, a column a block.
+        self.lists, self.cuts = None, np.searchsorted(term, np.arange(len(self.terms) + 1))
+        shape = (len(self.terms), self.blocks)
+        self.cell_start, self.cell_size, self.cell_most = np.zeros(shape, np.int32), np.zeros(shape, np.int32), np.zeros(shape)
+        at = term[first], entry[first] // BLOCK
+        self.cell_start[at] = first
+        self.cell_size[at] = np.diff(np.append(first, len(key)))
+        self.cell_most[at] = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
 
     def nearest(self, counts, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """The k entries of largest cosine, (cosine, entry), ties to the earlier entry."""
         numbers, weights = self.vector(counts)
-        low, sizes = self.cells[numbers], self.cells[numbers + 1] - self.cells[numbers]
-        cell, weight = _spread(low, sizes), np.repeat(weights, sizes)
-        block = self.cell_block[cell]
-        bounds = np.bincount(block, self.cell_most[cell] * weight, self.blocks)
+        # Of the cosine the entries' factors are left to the end.
+        parts = weights * self.idf[numbers]
+        self.turn += 1
+        if self.wide > 0.9 and self.turn % TRIED:
+            return self._whole(numbers, parts, k, 0.0)
+        starts, sizes = self.cell_start[numbers], self.cell_size[numbers]
+        bounds = weights @ self.cell_most[numbers]
         order = np.argsort(-bounds, kind="stable")
-        scores, found = np.zeros(0), np.zeros(0, np.int64)
-        at, step = 0, FIRST
-        while at < self.blocks:
-            part = order[at : at + step]
-            part = part[(bounds[part] > 0) & ((len(found) < k) | (bounds[part] + 1e-12 >= (scores[k - 1] if len(found) >= k else 0)))]
-            if not len(part):
-                break
-            inside = np.zeros(self.blocks, bool)
-            inside[part] = True
-            taken = inside[block]
-            posting = _spread(self.cell_start[cell[taken]], self.cell_size[cell[taken]])
-            sums = np.bincount(self.entry[posting], self.weight[posting] * np.repeat(weight[taken], self.cell_size[cell[taken]]), len(self.ids))
-            new = np.flatnonzero(sums)
-            scores, found = np.append(scores, sums[new]), np.append(found, new)
-            if len(scores) > k:
-                best = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
-                scores, found = scores[best], found[best]
+        order = order[bounds[order] > 0]
+        scores, found = self._cells(starts[:, order[:FIRST]], sizes[:, order[:FIRST]], parts, k, 0.0)
+        rest, least = order[FIRST:], scores[-1] if len(scores) == k else 0.0
+        rest = rest[bounds[rest] + 1e-12 >= least]
+        self.wide += 0.1 * ((2 * len(rest) > self.blocks) - self.wide)
+        if 2 * len(rest) > self.blocks:
+            return self._whole(numbers, parts, k, least)
+        if len(rest):
+            more, new = self._cells(starts[:, rest], sizes[:, rest], parts, k, least)
+            scores, found = np.append(scores, more), np.append(found, new)
             best = np.lexsort((found, -scores))[:k]
             scores, found = scores[best], found[best]
-            at, step = at + step, self.blocks
         return list(zip(scores.tolist(), found.tolist()))
 
+    def _cells(self, starts: np.ndarray, sizes: np.ndarray, parts: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """The best entries of some blocks."""
+        posting = self.postings[_spread(starts.ravel(), sizes.ravel())]
+        return self._best(posting, np.repeat(parts, sizes.sum(axis=1)), k, least)
+
+    def _whole(self, numbers: np.ndarray, parts: np.ndarray, k: int, least: float) -> list[tuple[float, int]]:
+        """The best entries of all blocks, from the whole lists of the terms."""
+        if self.lists is None:
+            self.lists = np.split(self.postings, self.cuts[1:-1])
+        posting = np.concatenate([self.lists[t] for t in numbers.tolist()])
+        scores, found = self._best(posting, np.repeat(parts, self.cuts[numbers + 1] - self.cuts[numbers]), k, least)
+        return list(zip(scores.tolist(), found.tolist()))
+
+    def _best(self, posting: np.ndarray, weights: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """The k entries with the best sums over postings, best first, none below ``least``."""
+        sums = np.bincount(posting & ((1 << self.bits) - 1), (posting >> self.bits) * weights, len(self.ids)) * self.factor
+        found = np.flatnonzero(sums >= least if least > 0 else sums)
+        scores = sums[found]
+        if len(found) > k:
+            best = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+            scores, found = scores[best], found[best]
+        best = np.lexsort((found, -scores))[:k]
+        return scores[best], found[best]
+
     def vote(self, near: list[tuple[float, int]], own: tuple[int, float, float] | None = None) -> float:
         """Log odds of the weighted vote; ``own`` (entry, rows, toxic rows) is taken out, when
         the query is an example itself."""
@@ -206,8 +250,8 @@ class Model:
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, documents with it) of a task's documents; the empty term counts documents with any."""
-    words_in: dict[str, int] = {}
-    starts_in: dict[str, int] = {}
+    words_in: Counter[str] = Counter()
+    starts_in: Counter[str] = Counter()
     documents = 0
 
     def flush() -> pa.RecordBatch:
@@ -219,11 +263,9 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in batch.column("text"):
-            words = set(WORD.findall((text.as_py() or "").lower()))
-            for word in words:
-                words_in[word] = words_in.get(word, 0) + 1
-            for start in {w[:PREFIX] for w in words if len(w) > PREFIX}:
-                starts_in[start] = starts_in.get(start, 0) + 1
+            words = set(words_of(text.as_py() or ""))
+            words_in.update(words)
+            starts_in.update({w[:PREFIX] for w in words if len(w) > PREFIX})
             documents += bool(words)
         if len(words_in) + len(starts_in) > REMEMBERED:
             yield flush()

@@ -344,3 +344,25 @@ def test_licences(spark, empty, messy):
     found = licence.scan(messy[0].select("doc_id", "text"), model)
     assert {r.family for r in found.collect()} == {"unknown"} and licence.scan(empty, model).count() == 0
     assert set(CLASHING) <= set(messy[0].columns)
+
+
+def test_toxicity_words_and_whole_lists():
+    """Words without the pattern are its matches; texts whose bounds leave all blocks get the same
+    neighbours from whole lists, and a text is searched once, not block by block."""
+    every = "".join(map(chr, [*range(0x250), *range(0x2000, 0x2100), 0x130, 0x212A, 0x4E2D, 0xD800, 0x1F642]))
+    texts = [every, "Plain text, under_score 12x\x1cy", "Émile—don’t «naïve» ½x²", "a\u00a0b\u2028c ١٢", ""]
+    for text in texts:
+        assert sorted(toxicity.words_of(text)) == sorted(toxicity.WORD.findall(text.lower()))
+    rng = random.Random(8)
+    model = toxicity.Model([f"={i}" for i in range(40)], np.array([1 + rng.random() for _ in range(40)]))
+    draw = lambda: tuple((i, rng.randint(1, 3)) for i in sorted(rng.sample(range(40), 20)))
+    model.build([(c, 1, 0, [i]) for i, c in enumerate({draw() for _ in range(16 * toxicity.BLOCK)})])
+    queries = [draw() for _ in range(60)]
+    first = [toxicity.Model.nearest(model, q) for q in queries]
+    looked = []
+    model._cells = lambda *a, real=model._cells: looked.append(1) or real(*a)
+    again = [model.nearest(q) for q in queries]
+    assert [[e for _, e in a] for a in first] == [[e for _, e in a] for a in again]
+    assert model.wide > 0.9 and len(looked) < 10
+    model.wide, model.turn = 0.0, 0
+    assert np.allclose([[s for s, _ in model.nearest(q)] for q in queries], [[s for s, _ in a] for a in first])
