@@ -8,10 +8,12 @@ tries for the groups that still agree. A group of equal windows belongs to the s
 document in it; in every other document the bytes under the window go.
 
 Equal texts count as one: the smallest of their documents owns the text, the others lose all of
-it if it has a window. What is not alone is found first: a bucket with windows of one text only
-repeats nothing. Its hash and the text's key are all that is shuffled for that. Texts with
-repeats are then joined to their buckets and cut into fragments, copies once. Equal fragments of
-a task travel once, with their places. A bucket met by more than ``CELL`` rows is hot: its fragments are dealt by their content,
+it if it has a window. What is not alone is found first. A fragment's key is its bucket and two
+short hashes of the bytes beside the bucket's string: equal windows hold all of one of its sides,
+so a key that agrees with none of another text on a side repeats nothing. Only the keys of
+different texts are shuffled for that, in sorted chunks, as steps and numbers within the chunk.
+Texts with repeats are then joined to their keys and cut into fragments, copies once. Equal
+fragments of a task travel once, with their places. A bucket met by more than ``CELL`` keys is hot: its fragments are dealt by their content,
 and where they differ window by window, each window with its smallest document, combined
 before the shuffle. So neither a passage in a third of all documents nor a common beginning
 with many continuations comes together in one task.
@@ -47,30 +49,49 @@ LONGEST, SLAB, MEMORY = 64, 1 << 20, 150_000
 #: Fragments whose buckets are sorted together.
 TOGETHER = 30_000
 NO_ID = (1 << 63) - 1
+#: Strings of a window; bytes beside its smallest that decide; bits of a key below the bucket.
+SPAN, SIDE, BELOW = WINDOW - GRAM + 1, (WINDOW - GRAM) // 2, 24
+#: The sides that agree with all others.
+ANY_LEFT, ANY_RIGHT = (1 << 12) - 1, (1 << 11) - 1
+#: Keys of a chunk; keys looked through for shared buckets together, if a cell has so many.
+CHUNK, LOOKED = 1 << 20, 1 << 21
+#: Cells of buckets for each shuffle partition.
+CELLS = 4
 
 # Odd multipliers with well spread bits: the golden ratio and two primes of a common hash.
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
-def buckets(data: bytes) -> np.ndarray:
-    """The bucket of every window of ``data``, even numbers; empty if it is shorter than one."""
+def grams(data: bytes) -> np.ndarray:
+    """The hash of every ``GRAM`` bytes of ``data``, even numbers; empty if it has no window."""
     n = len(data) - GRAM + 1
     if len(data) < WINDOW:
         return np.zeros(0, np.uint64)
     words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     with np.errstate(over="ignore"):
-        grams = words[:n] * _A
-        grams ^= (words[8 : 8 + n] * _B) >> np.uint64(7)
-        grams += words[GRAM - 8 : GRAM - 8 + n] * _C
-        grams ^= grams >> np.uint64(32)
-        grams *= _D
-    grams ^= grams >> np.uint64(29)
-    grams &= np.uint64(0xFFFFFFFFFFFFFFFE)
-    span, width = WINDOW - GRAM + 1, 1
+        found = words[:n] * _A
+        found ^= (words[8 : 8 + n] * _B) >> np.uint64(7)
+        found += words[GRAM - 8 : GRAM - 8 + n] * _C
+        found ^= found >> np.uint64(32)
+        found *= _D
+    found ^= found >> np.uint64(29)
+    found &= np.uint64(0xFFFFFFFFFFFFFFFE)
+    return found
+
+
+def buckets(data: bytes) -> np.ndarray:
+    """The bucket of every window of ``data``, even numbers; empty if it is shorter than one."""
+    return _least(grams(data))
+
+
+def _least(found: np.ndarray) -> np.ndarray:
+    if not len(found):
+        return found
+    span, width = SPAN, 1
     while 2 * width <= span:
-        grams = np.minimum(grams[:-width], grams[width:])
+        found = np.minimum(found[:-width], found[width:])
         width *= 2
-    return np.minimum(grams[: len(grams) - (span - width)], grams[span - width :])
+    return np.minimum(found[: len(found) - (span - width)], found[span - width :])
 
 
 def slabs(rows: Iterator[tuple[int, bytes]]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
@@ -95,7 +116,10 @@ def _slab(parts: list[tuple[int, int, bytes]]):
 
 def fragments(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one bucket: (part, first byte, windows, bucket); none crosses parts."""
-    found = buckets(data)
+    return _runs(buckets(data), starts)
+
+
+def _runs(found: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     if not len(found):
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     part = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[: len(found)]
@@ -114,6 +138,41 @@ def fragments(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return part[at], at, size, found[at]
 
 
+def keyed_fragments(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``fragments`` with a key in place of the bucket: 40 bits of the bucket, 12 of the hash of the
+    ``SIDE`` bytes left of its string, 11 of those right of it, and a bit for later.
+
+    A window holds the string and ``2 * SIDE`` bytes more, so all of one of its sides: equal windows
+    have keys that agree on a side. Where the string is in a fragment twice, both are ``ANY``.
+    A key follows from the part alone.
+    """
+    found = grams(data)
+    part, at, size, bucket = _runs(_least(found), starts)
+    if not len(at):
+        return part, at, size, bucket
+    # Some bits are enough: what only seems to be the string makes its place ambiguous at worst.
+    short = (found >> np.uint64(1)).astype(np.uint16)
+    near = np.lib.stride_tricks.sliding_window_view(short, SPAN)
+    wanted = (bucket >> np.uint64(1)).astype(np.uint16)[:, None]
+    place = at + (near[at] == wanted).argmax(axis=1)
+    last = at + size - 1
+    single = place == last + SPAN - 1 - (near[last][:, ::-1] == wanted).argmax(axis=1)
+    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    sides = []
+    for begin, values in ((place - SIDE, ANY_LEFT), (place + GRAM, ANY_RIGHT)):
+        inside = (begin >= starts[part]) & (begin + SIDE <= starts[part + 1])
+        begin = np.where(inside, begin, 0)
+        with np.errstate(over="ignore"):
+            mixed = words[begin] * _A
+            mixed ^= (words[begin + 8] * _B) >> np.uint64(7)
+            mixed += words[begin + SIDE - 8] * _C
+            mixed ^= mixed >> np.uint64(32)
+            mixed *= _D
+        sides.append(np.where(single, np.where(inside, (mixed >> np.uint64(32)) % np.uint64(values), np.uint64(0)), np.uint64(values)))
+    key = ((bucket >> np.uint64(1)) << np.uint64(BELOW)) | (sides[0] << np.uint64(12)) | (sides[1] << np.uint64(1))
+    return part, at, size, key
+
+
 def _packed(docs: DataFrame) -> DataFrame:
     """The same rows with their texts compressed, for the way to other tasks."""
 
@@ -126,81 +185,196 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def _hashes(docs: DataFrame) -> DataFrame:
-    """``bucket, row, more``: the buckets of a task's documents; several rows with one bucket in ``more``."""
+def _coded(numbers: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, compressed: of small ones the upper bytes cost nothing."""
+    return zstandard.compress(np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes(), 1)
+
+
+def _decoded(blob: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _key_blobs(keys: np.ndarray, owners: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Keys in order, as steps from bucket to bucket and as sides, and their owners."""
+    steps = np.diff(keys >> np.uint64(BELOW), prepend=np.uint64(0))
+    return _coded(steps), _coded((keys & np.uint64((1 << BELOW) - 1)).astype(np.uint32)), _coded(owners.astype(np.uint32))
+
+
+def _blob_keys(steps: bytes, sides: bytes, owners: bytes) -> tuple[np.ndarray, np.ndarray]:
+    keys = (np.cumsum(_decoded(steps, np.uint64), dtype=np.uint64) << np.uint64(BELOW)) | _decoded(sides, np.uint32)
+    return keys, _decoded(owners, np.uint32).astype(np.int64)
+
+
+KEY_NAMES = ["cell", "chunk", "steps", "sides", "owners"]
+KEYS_DDL = "cell long, chunk long, steps binary, sides binary, owners binary"
+
+
+def _key_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], KEY_NAMES)
+
+
+def _hashes(packed: DataFrame, cells: int) -> DataFrame:
+    """The keys of chunks of different texts, from rows in order of the text. A chunk gives a line
+    for each of ``cells`` ranges of buckets, with the owners' numbers in the chunk, and one
+    without keys, the table of its ``row``s. It is named after the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, unpack = None, zstandard.ZstdDecompressor().decompress
+        table: list[int] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        count = 0
+
+        def chunk() -> pa.RecordBatch:
+            nonlocal table, held, count
+            rows = np.array(table, np.int64).tobytes()
+            name = int(np.uint64(xxhash.xxh3_64_intdigest(rows)).view(np.int64))
+            keys = np.concatenate([k for k, _ in held]) if held else np.zeros(0, np.uint64)
+            owners = np.concatenate([o for _, o in held]) if held else np.zeros(0, np.int64)
+            order = np.argsort(keys)
+            keys, owners = keys[order], owners[order]
+            ranges = ((keys >> np.uint64(BELOW)) * np.uint64(cells)) >> np.uint64(64 - BELOW)
+            edges = np.append(np.flatnonzero(np.append(True, ranges[1:] != ranges[:-1])), len(keys)) if len(keys) else [0]
+            out = [(int(ranges[x]), name, *_key_blobs(keys[x:y], owners[x:y])) for x, y in zip(edges, edges[1:])]
+            table, held, count = [], [], 0
+            return _key_batch([*out, (name % cells, name, None, None, rows)])
+
         for batch in batches:
-            keys = batch.column("row").to_numpy()
-            for data, numbers, starts, _ in slabs((n, t.as_py()) for n, t in enumerate(batch.column("text"))):
-                part, _, _, bucket = fragments(data, starts)
-                row = keys[numbers[part]]
-                order = np.lexsort((row, bucket))
-                bucket, row = bucket[order], row[order]
-                first = np.ones(len(bucket), bool)
-                first[1:] = (bucket[1:] != bucket[:-1]) | (row[1:] != row[:-1])
-                bucket, row = bucket[first], row[first]
-                starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-                sizes = np.diff(np.append(starts, len(bucket)))
-                more: list[bytes | None] = [None] * len(starts)
-                for i in np.flatnonzero(sizes > 1).tolist():
-                    more[i] = row[starts[i] + 1 : starts[i] + sizes[i]].tobytes()
-                arrays = [pa.array(bucket[starts].view(np.int64)), pa.array(row[starts]), pa.array(more, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["bucket", "row", "more"])
-
-    return docs.mapInArrow(run, "bucket long, row long, more binary")
+            new = []
+            for n, key in enumerate(zip(batch.column("row").to_pylist(), batch.column("twin").to_pylist())):
+                if key != last:  # copies follow each other
+                    new.append(n)
+                last = key
+            rows, texts = batch.column("row").to_numpy(), batch.column("text")
+            for data, numbers, starts, _ in slabs((n, unpack(texts[n].as_py())) for n in new):
+                part, _, _, key = keyed_fragments(data, starts)
+                own, place = np.unique(numbers, return_inverse=True)
+                held.append((key, place[part] + len(table)))
+                table.extend(rows[own].tolist())
+                count += len(key)
+                if count >= CHUNK:
+                    yield chunk()
+        if table:
+            yield chunk()
+
+    return packed.mapInArrow(run, KEYS_DDL)
+
+
+def _differ(rows: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Which rows are in a group (of equal numbers, side by side) with a row of another value."""
+    begins = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
+    several = np.minimum.reduceat(rows, begins) != np.maximum.reduceat(rows, begins)
+    return np.repeat(several, np.diff(np.append(begins, len(rows))))
+
+
+def partners(keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Which of some whole buckets' keys, in order, agree on a side with one of another row."""
+    bucket = keys >> np.uint64(BELOW)
+    found = np.zeros(len(keys), bool)
+    at = np.flatnonzero(_differ(rows, bucket)) if len(keys) else np.zeros(0, np.int64)
+    if not len(at):
+        return found
+    keys, rows, bucket = keys[at], rows[at], bucket[at]
+    left = keys >> np.uint64(12)
+    good = _differ(rows, left)
+    right = (bucket << np.uint64(12)) | (keys & np.uint64(0xFFE))
+    order = np.argsort(right, kind="stable")
+    good[order] |= _differ(rows[order], right[order])
+    begins = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    loose = np.logical_or.reduceat((left & np.uint64(ANY_LEFT)) == ANY_LEFT, begins)
+    found[at] = good | np.repeat(loose, np.diff(np.append(begins, len(keys))))
+    return found
 
 
 def _shared(ordered: DataFrame, cell: int) -> DataFrame:
-    """``row, mark``: buckets with several rows, from rows in order of the bucket; odd numbers are hot buckets."""
+    """The keys that others may share windows with, in lines like those of ``_hashes``, from lines
+    in order of the cell; odd keys are of hot buckets, which stay whole. Tables go on as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, count, hot = None, [], 0, False
-        out: list[tuple[np.ndarray, int]] = []
-
-        def take(rows: np.ndarray) -> None:
-            nonlocal held, count, hot
-            held.append(rows)
-            count += len(rows)
-            if hot or count > cell:
-                hot = True
-                out.append((np.unique(np.concatenate(held)), last | 1))
-                held = []
-
-        def close() -> None:
-            if held and count > 1:
-                rows = np.unique(np.concatenate(held))
-                if len(rows) > 1:
-                    out.append((rows, last))
-
-        def batch_of() -> pa.RecordBatch:
-            rows = np.concatenate([r for r, _ in out]) if out else np.zeros(0, np.int64)
-            marks = np.repeat(np.array([m for _, m in out], np.int64), [len(r) for r, _ in out]) if out else np.zeros(0, np.int64)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(marks, pa.int64())], ["row", "mark"])
+        at, chunks, held, count, least = None, [], [], 0, LOOKED
+        hot_buckets = np.zeros(0, np.uint64)
+
+        def look(last: bool) -> list[tuple]:
+            nonlocal held, count, least, hot_buckets
+            keys, rows = np.concatenate([k for k, _ in held]), np.concatenate([r for _, r in held])
+            order = np.argsort(keys)
+            keys, rows = keys[order], rows[order]
+            bucket = keys >> np.uint64(BELOW)
+            begins = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            sizes = np.diff(np.append(begins, len(keys)))
+            hot = (sizes > cell) | np.isin(bucket[begins], hot_buckets)
+            alone = np.repeat((sizes == 1) & ~hot, sizes)
+            spread = np.repeat(hot, sizes)
+            out = [(keys[spread] | np.uint64(1), rows[spread])]
+            if last:
+                rest = ~spread & ~alone
+                keys, rows = keys[rest], rows[rest]
+                found = partners(keys, rows)
+                out.append((keys[found], rows[found]))
+                held, count, least, hot_buckets = [], 0, LOOKED, np.zeros(0, np.uint64)
+            else:
+                # Only what is not hot waits for the rest of the cell.
+                hot_buckets = np.union1d(hot_buckets, bucket[begins][hot])
+                held, count = [(keys[~spread], rows[~spread])], int((~spread).sum())
+                least = max(LOOKED, 2 * count)
+            keys, rows = (np.concatenate([o[i] for o in out]) for i in range(2))
+            order = np.lexsort((keys, rows >> 32))
+            keys, rows = keys[order], rows[order]
+            number = rows >> 32
+            edges = np.append(np.flatnonzero(np.append(True, number[1:] != number[:-1])), len(number)) if len(number) else [0]
+            return [(at, chunks[number[x]], *_key_blobs(keys[x:y], rows[x:y] & 0xFFFFFFFF)) for x, y in zip(edges, edges[1:])]
 
         for batch in batches:
-            bucket, row, more = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            if not len(bucket):
-                continue
-            starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            ends = np.append(starts[1:], len(bucket))
-            packed = ~np.asarray(more.is_null())
-            several = (ends - starts > 1) | np.logical_or.reduceat(packed, starts)
-            several[[0, -1]] = True
-            for i in np.flatnonzero(several).tolist():
-                start, end = int(starts[i]), int(ends[i])
-                if bucket[start] != last:
-                    close()
-                    last, held, count, hot = int(bucket[start]), [], 0, False
-                take(row[start:end])
-                for at in (start + np.flatnonzero(packed[start:end])).tolist():
-                    take(np.frombuffer(more[at].as_py(), np.int64))
-            yield batch_of()
-        close()
-        yield batch_of()
-
-    return ordered.mapInArrow(run, "row long, mark long")
+            for line in batch.to_pylist():
+                if line["steps"] is None:
+                    yield _key_batch([tuple(line.values())])
+                    continue
+                if line["cell"] != at:
+                    if held:
+                        yield _key_batch(look(True))
+                    at, chunks = line["cell"], []
+                keys, owners = _blob_keys(line["steps"], line["sides"], line["owners"])
+                held.append((keys, owners | (len(chunks) << 32)))
+                chunks.append(line["chunk"])
+                count += len(keys)
+                if count >= least:
+                    yield _key_batch(look(False))
+        if held:
+            yield _key_batch(look(True))
+
+    return ordered.mapInArrow(run, KEYS_DDL)
+
+
+def _marks(ordered: DataFrame) -> DataFrame:
+    """``row, marks``: the shared keys of each text of a chunk, from lines in order of the chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, table, held = None, None, []
+
+        def close() -> pa.RecordBatch:
+            if held and table is None:
+                raise ValueError("the table of a chunk is missing: its task ran again on other rows")
+            keys = np.concatenate([k for k, _ in held]) if held else np.zeros(0, np.uint64)
+            owners = np.concatenate([o for _, o in held]) if held else np.zeros(0, np.int64)
+            order = np.argsort(owners, kind="stable")
+            keys, owners = keys[order], owners[order]
+            begins = np.flatnonzero(np.append(True, owners[1:] != owners[:-1])) if len(owners) else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(keys)), pa.int32()), pa.array(keys.view(np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array(table[owners[begins]] if held else [], pa.int64()), lists], ["row", "marks"])
+
+        for batch in batches:
+            for line in batch.to_pylist():
+                if line["chunk"] != last:
+                    yield close()
+                    last, table, held = line["chunk"], None, []
+                if line["steps"] is None:
+                    table = np.frombuffer(line["owners"], np.int64)
+                else:
+                    held.append(_blob_keys(line["steps"], line["sides"], line["owners"]))
+        yield close()
+
+    return ordered.mapInArrow(run, "row long, marks array<long>")
 
 
 def _fragments(joined: DataFrame) -> DataFrame:
@@ -228,13 +402,14 @@ def _fragments(joined: DataFrame) -> DataFrame:
             marks = np.unique(lists.flatten().to_numpy(zero_copy_only=False)).astype(np.int64).view(np.uint64)
             known = np.unique(marks & np.uint64(0xFFFFFFFFFFFFFFFE))
             hot = marks[(marks & np.uint64(1)) == 1] - np.uint64(1)
+            whole = ~np.uint64((1 << BELOW) - 1)
             valid = np.asarray(lists.is_valid()) & np.array(own, bool)
             texts = batch.column("text")
             for data, numbers, starts, places in slabs((n, unpack(texts[n].as_py())) for n in np.flatnonzero(valid).tolist()):
-                part, at, size, bucket = fragments(data, starts)
-                keep = np.isin(bucket, known)
-                part, at, size, bucket = part[keep], at[keep], size[keep], bucket[keep]
-                marked = bucket + np.isin(bucket, hot)
+                part, at, size, key = keyed_fragments(data, starts)
+                keep = np.isin(key, known)
+                part, at, size, key = part[keep], at[keep], size[keep], key[keep]
+                marked = (key & whole) + np.isin(key, hot)
                 number = numbers[part]
                 where = np.stack([rows[number], docs[number], places[part] + at - starts[part]], axis=1).astype("<i8")
                 packed = where.tobytes()
@@ -440,11 +615,14 @@ def _hot_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _span_batch(found)
 
 
-def repeated_spans(docs: DataFrame, packed: DataFrame, owners: DataFrame, cell: int = CELL) -> DataFrame:
-    """``row, doc, span`` of texts (see ``keyed``): runs of windows that start in a smaller doc too."""
-    ordered = _hashes(docs.select("row", "text")).repartition("bucket").sortWithinPartitions("bucket")
-    marks = _shared(ordered, cell).groupBy("row").agg(F.collect_set("mark").alias("marks"))
-    # All columns stay, so that this shuffle of the texts serves the last join as well.
+def repeated_spans(packed: DataFrame, owners: DataFrame, cell: int = CELL) -> DataFrame:
+    """``row, doc, span`` of packed texts (see ``keyed``), dealt by row: runs of windows that start in a smaller doc too."""
+    cells = CELLS * int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashes = _hashes(packed.sortWithinPartitions("row", "twin"), cells)
+    shared = _shared(hashes.repartition("cell").sortWithinPartitions("cell"), cell)
+    marks = _marks(shared.repartition("chunk").sortWithinPartitions("chunk"))
+    marks = marks.groupBy("row").agg(F.flatten(F.collect_list("marks")).alias("marks"))
+    # All columns stay, so that one shuffle of the texts serves the hashes and both joins.
     joined = packed.join(marks.join(owners, "row"), "row", "left")
     dealt = _fragments(joined).repartition("route").sortWithinPartitions("route")
     cold = dealt.mapInArrow(_cold, SPAN_DDL)
@@ -478,8 +656,8 @@ def without_repeats(docs: DataFrame, contents: bool = True, cell: int = CELL) ->
     """Adds ``n_bytes, n_removed, n_spans, kept_sha256`` and, with ``contents``, ``kept`` (bytes)
     and ``removed`` (first byte and end of each removed run); the text itself is left out."""
     rows = keyed(docs, F.col("text"))
-    owners, packed = owned(rows), _packed(rows)
-    found = repeated_spans(rows, packed, owners, cell).groupBy("row").agg(F.collect_set(F.struct("doc", "span")).alias("spans"))
+    owners, packed = owned(rows), _packed(rows).repartition("row")
+    found = repeated_spans(packed, owners, cell).groupBy("row").agg(F.collect_set(F.struct("doc", "span")).alias("spans"))
     # Every row has an owner; the join keeps the shape of the one before, so that the texts are shuffled once.
     joined = packed.join(owners.join(found, "row", "left"), "row", "left")
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "removed"] if contents else [])]

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from logtables.llm import dualtree, spelling, suffixes
 
@@ -256,3 +257,49 @@ def test_blind_trie_sorts():
         trie.add(window, i)
     groups = [[windows[i] for i in g] for g in trie.groups()]
     assert [g[0] for g in groups] == sorted(set(windows)) and all(len(set(g)) == 1 for g in groups) and sum(map(len, groups)) == 300
+
+
+def test_partners_lose_no_window():
+    """Fragments with a window of another text are kept, most of those that only share a string are not."""
+    rng = random.Random(1)
+    kept = wanted = 0
+    for trial in range(60):
+        letters = rng.choice([1, 2, 4, 26])
+        draw = lambda n: bytes(97 + rng.randrange(letters) for _ in range(n))
+        texts = [draw(rng.randrange(200)) for _ in range(6)]
+        string = draw(24)  # too short to be repeated
+        for _ in range(4):
+            source, rest = rng.choice(texts), rng.choice([b"", b"ab" * 40, b"a" * 60, draw(20) * 4])
+            at = rng.randrange(max(1, len(source) - 50))
+            texts.append(draw(rng.randrange(60)) + source[at : at + rng.randrange(50, 120)] + rest + draw(40) + string + draw(40))
+        data, _, starts, _ = suffixes._slab([(i, 0, t) for i, t in enumerate(texts)])
+        part, at, size, key = suffixes.keyed_fragments(data, starts)
+        for i, text in enumerate(texts):
+            alone = suffixes.keyed_fragments(text, np.array([0, len(text)]))
+            assert alone[3].tolist() == key[part == i].tolist()  # a key follows from the text alone
+        order = np.argsort(key)
+        found = np.zeros(len(key), bool)
+        found[order] = suffixes.partners(key[order], part[order])
+        holders = defaultdict(set)
+        for f, (a, n) in enumerate(zip(at.tolist(), size.tolist())):
+            for i in range(a, a + n):
+                holders[data[i : i + 50]].add(f)
+        shared = {f for fs in holders.values() if len({part[f] for f in fs}) > 1 for f in fs}
+        assert all(found[f] for f in shared)
+        if letters == 26:
+            kept, wanted = kept + int(found.sum()), wanted + len(shared)
+    assert wanted and kept < 1.3 * wanted
+
+
+def test_keys_of_texts_travel_small(spark):
+    """Keys of texts that share nothing take about half of the 16 bytes of a key and a text, and none is marked."""
+    rng = random.Random(2)
+    rows = [(i, "".join(chr(97 + rng.randrange(26)) for _ in range(2000))) for i in range(200)] + [(900 + i, "the same text, which is long enough to be repeated") for i in range(50)]
+    docs = suffixes.keyed(spark.createDataFrame(rows, "doc_id long, text string"), F.col("text"))
+    hashes = suffixes._hashes(suffixes._packed(docs).coalesce(1).sortWithinPartitions("row", "twin"), 8).cache()
+    lines = hashes.where("steps is not null").collect()
+    keys = sum(len(suffixes._blob_keys(r.steps, r.sides, r.owners)[0]) for r in lines)
+    assert keys > 15_000 and sum(len(r.steps) + len(r.sides) + len(r.owners) for r in lines) < 10 * keys
+    assert suffixes._shared(hashes.coalesce(1).sortWithinPartitions("cell"), 4).where("steps is not null").count() == 0
+    table = hashes.where("steps is null").collect()
+    assert len(table) == 1 and len(table[0].owners) == 8 * 201
