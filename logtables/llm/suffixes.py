@@ -234,6 +234,13 @@ def _hashes(packed: DataFrame, cells: int) -> DataFrame:
             owners = np.concatenate([o for _, o in held]) if held else np.zeros(0, np.int64)
             order = np.argsort(keys)
             keys, owners = keys[order], owners[order]
+            tied = np.zeros(len(keys) + 1, bool)
+            tied[1:-1] = keys[1:] == keys[:-1]
+            at = np.flatnonzero(tied[1:] | tied[:-1])
+            owners[at] = owners[at][np.lexsort((owners[at], keys[at]))]
+            first = np.ones(len(keys), bool)
+            first[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
+            keys, owners = keys[first], owners[first]
             ranges = ((keys >> np.uint64(BELOW)) * np.uint64(cells)) >> np.uint64(64 - BELOW)
             edges = np.append(np.flatnonzero(np.append(True, ranges[1:] != ranges[:-1])), len(keys)) if len(keys) else [0]
             out = [(int(ranges[x]), name, *_key_blobs(keys[x:y], owners[x:y])) for x, y in zip(edges, edges[1:])]

@@ -10,7 +10,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from logtables.llm import dualtree, spelling, suffixes
@@ -303,3 +305,36 @@ def test_keys_of_texts_travel_small(spark):
     assert suffixes._shared(hashes.coalesce(1).sortWithinPartitions("cell"), 4).where("steps is not null").count() == 0
     table = hashes.where("steps is null").collect()
     assert len(table) == 1 and len(table[0].owners) == 8 * 201
+
+
+def test_shared_keys_looked_through_in_parts(monkeypatch):
+    """A cell too large to be held gives the same marks; its hot buckets go on as they come."""
+
+    class Tasks:
+        def __init__(self, *batches):
+            self.batches = batches
+
+        def mapInArrow(self, run, _):
+            return Tasks(*run(iter(self.batches)))
+
+    rng = random.Random(3)
+    passage = "a passage of more than fifty bytes that stands in each of the texts here"
+    texts = [f"{prose(rng, 6)} {passage if i % 2 else ''} {prose(rng, 6)}" + "ab" * 500 * (i == 7) for i in range(60)]
+    pack = lambda t: zstandard.compress(t.encode())
+    parts = [pa.RecordBatch.from_pydict({"row": [i], "twin": [b"x"], "text": [pack(t)]}) for i, t in enumerate(texts)]
+
+    def marks(cell):
+        lines = [r for i in range(0, 60, 10) for b in suffixes._hashes(Tasks(*parts[i : i + 10]), 2).batches for r in b.to_pylist()]
+        lines.sort(key=lambda r: r["cell"])
+        found = suffixes._shared(Tasks(pa.RecordBatch.from_pylist(lines)), cell).batches
+        shared = sorted((r for b in found for r in b.to_pylist()), key=lambda r: r["chunk"])
+        schema = pa.schema([("cell", pa.int64()), ("chunk", pa.int64()), *((n, pa.binary()) for n in suffixes.KEY_NAMES[2:])])
+        rows = suffixes._marks(Tasks(pa.RecordBatch.from_pylist(shared, schema))).batches
+        out = {r["row"]: sorted(r["marks"]) for b in rows for r in b.to_pylist()}
+        assert all(len(set(m)) == len(m) for m in out.values())
+        return out
+
+    whole, hot = marks(1000), marks(10)
+    assert set(range(1, 60, 2)) <= set(whole) and any(m & 1 for m in hot[1]) and not any(m & 1 for m in whole[1])
+    monkeypatch.setattr(suffixes, "LOOKED", 40)
+    assert marks(1000) == whole and marks(10) == hot
