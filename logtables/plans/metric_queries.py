@@ -18,6 +18,8 @@ from .fixtures import Inputs, cte
 from .registry import query
 
 _OWN = {"owner": "test"}
+#: A node's listings are dealt to so many shares, and each meets the node on its own.
+SHARES = 16
 
 
 def _snapshot_shards(i: Inputs) -> DataFrame:
@@ -36,9 +38,12 @@ def node_docs(i: Inputs) -> DataFrame:
     ``indices`` at all.
     """
     row = F.struct("index_name", "shard", "shard_type", "state", "docs", "size_in_bytes")
-    # Plain rows are shuffled and grouped, and meet their node; documents, many times larger, are built last.
-    rows = _snapshot_shards(i).select("snapshot", "node_id", row.alias("row")).repartition("snapshot", "node_id")
-    per_node = rows.groupBy("snapshot", "node_id").agg(F.collect_list("row").alias("rows"))
+    # Plain rows are shuffled once, grouped, and meet their node where they are; documents, many times
+    # larger, are built last. The nodes, a copy for each share, are the side that goes into memory.
+    share = F.pmod(F.hash("snapshot"), F.lit(SHARES)).alias("share")
+    rows = _snapshot_shards(i).select("snapshot", "node_id", share, row.alias("row")).repartition("node_id", "share")
+    per_node = rows.groupBy("snapshot", "node_id", "share").agg(F.collect_list("row").alias("rows"))
+    nodes = i.nodes.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).hint("shuffle_hash")
 
     def copy(r: Column) -> Column:
         stats = F.struct(
@@ -68,7 +73,7 @@ def node_docs(i: Inputs) -> DataFrame:
     no = F.expr(_NODE_NO)
     doc = F.when(F.col("node_name").isNull() | F.col("host").isNull(), F.lit(None))
     doc = doc.when(no % 13 == 0, body()).when(no % 11 == 0, body(F.struct(docs, segments).alias("indices")))
-    return per_node.join(i.nodes, "node_id").select(
+    return per_node.join(nodes, ["node_id", "share"]).select(
         "snapshot",
         F.lit("cid").alias("cluster_id"),
         "cluster_uuid",

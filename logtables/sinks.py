@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import shuffles_removed
+
 Sink = Callable[[DataFrame], None]
 
 
@@ -24,10 +26,14 @@ def write_events(events: DataFrame, folder: str) -> None:
     events_as_json(events).write.mode("overwrite").partitionBy("queue").text(folder)
 
 
-def sink_metrics(events: DataFrame, sink: Sink | str) -> None:
-    """Hand metric events to a sink: a function, or a folder for JSON lines."""
+def sink_metrics(events: DataFrame, sink: Sink | str, compression: str = "none") -> None:
+    """Hand metric events to a sink: a function, or a folder for JSON lines.
+
+    ``compression`` is the codec of a folder's files; Spark reads them by their names.
+    """
     if callable(sink):
         sink(events)
         return
     named = events.select(F.col("metadata.name").alias("name"), F.to_json(F.struct("metadata", "fields", "timestamp")).alias("value"))
-    named.write.mode("overwrite").partitionBy("name").text(sink)
+    with shuffles_removed(events.sparkSession):
+        named.write.mode("overwrite").option("compression", compression).partitionBy("name").text(sink)

@@ -5,8 +5,9 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from logtables.operators import metrics as m
-from logtables.plans import catalog, fixtures
-from logtables.plans.metric_queries import node_docs
+from logtables.plans import catalog, fixtures, pass_queries
+from logtables.plans.metric_queries import SHARES, node_docs
+from logtables.sinks import sink_metrics
 
 
 def _inputs(spark, folder):
@@ -33,6 +34,72 @@ def test_node_documents_are_built_after_their_only_grouping(spark, tmp_path):
     assert "max_unsafe" not in plan[plan.index("Join ") :]
 
 
+def test_node_documents_shuffle_their_rows_once(spark, tmp_path):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many nodes
+    try:
+        docs = node_docs(fixtures.Inputs(spark, _inputs(spark, tmp_path)))
+        plan = docs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # One of the rows and one of the nodes; nothing is sorted or shuffled behind the grouping.
+    assert plan.count("Exchange hashpartitioning") == 2 and "Sort [" not in plan
+    assert plan.index("ShuffledHashJoin") < plan.index("Aggregate(") < plan.index("Exchange hashpartitioning")
+
+
+def test_node_documents_of_many_listings_and_odd_keys(spark, tmp_path):
+    """One node in more listings than it has shares, rows without a listing or a node, a node that is there twice."""
+    lines = [(n * 1000, 1, s, 1, 5.0, 10.0, "N", "F") for n in range(3 * SHARES) for s in (1, 2)]
+    lines += [(None, 1, 1, 1, 5.0, 10.0, "N", "F"), (7, 1, None, 1, 5.0, 10.0, "N", "F"), (7, 1, 3, 1, 5.0, 10.0, "N", "F")]
+    spark.createDataFrame(
+        lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+        "l_returnflag string, l_linestatus string",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "s1", 1), (2, "s2", 2), (2, "s2", 2), (None, "s", 3), (4, "s4", 4)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    inputs = fixtures.Inputs(spark, str(tmp_path))
+    rows = [(r.node_id, r.snapshot) for r in m.explode_nodes(node_docs(inputs)).select("node_id", "snapshot").collect()]
+    want = [(node, n) for n in range(3 * SHARES) for node in ("n1", "n2", "n2")] + [("n1", None)]
+    assert sorted(rows, key=str) == sorted(want, key=str)
+
+
+def _kept(spark, name):
+    """Names of the files that Spark holds in its own folders."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(n).getName() for n in range(files.length()) if files.apply(n).getName().startswith(name)}
+
+
+def _staged_under(monkeypatch, folder):
+    monkeypatch.setattr(pass_queries, "staging", lambda i, what: f"{folder}/{what}")
+
+
+def test_sinks_take_events_made_once_and_leave_no_shuffle(spark, tmp_path, monkeypatch):
+    _staged_under(monkeypatch, tmp_path)
+    before = _kept(spark, "shuffle_")
+    rows = catalog.QUERIES["sink_metrics"](spark, _inputs(spark, tmp_path))
+    assert _kept(spark, "shuffle_") <= before
+    want = [("node_stats", node, sink) for node in ("n0", "n1") for sink in ("folder", "function")]
+    assert sorted((r["name"], r.node_id, r.sink) for r in rows.collect()) == want
+    files = list((tmp_path / "metrics").glob("name=node_stats/part-*"))
+    assert files and all(f.name.endswith(".txt.gz") for f in files)
+
+
+def test_a_folder_sink_keeps_its_text_and_drops_its_shuffle(spark, tmp_path):
+    events = spark.range(40).select((F.col("id") % 2).alias("k"), F.lit("x" * 500).alias("v")).repartition(3, "k").select(
+        F.struct(F.concat(F.lit("m"), "k").alias("name")).alias("metadata"), F.struct("v").alias("fields"), F.lit("t").alias("timestamp")
+    )
+    switch = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(switch, None)
+    for codec, ending in (("none", ".txt"), ("gzip", ".txt.gz")):
+        folder, before = str(tmp_path / codec), _kept(spark, "shuffle_")
+        sink_metrics(events, folder, **({} if codec == "none" else {"compression": codec}))
+        assert _kept(spark, "shuffle_") <= before and spark.conf.get(switch, None) == was
+        rows = spark.read.text(folder).groupBy("name", "value").count().collect()
+        assert {(r["name"], r["value"]): r["count"] for r in rows} == {
+            (f"m{k}", f'{{"metadata":{{"name":"m{k}"}},"fields":{{"v":"{"x" * 500}"}},"timestamp":"t"}}'): 20 for k in range(2)
+        }
+        assert all(f.name.endswith(ending) for f in (tmp_path / codec).glob("name=*/part-*"))
+
+
 def test_node_and_shard_objects_are_taken_out_once(spark, tmp_path):
     docs = node_docs(fixtures.Inputs(spark, _inputs(spark, tmp_path)))
     docs.write.parquet(str(tmp_path / "docs"))
