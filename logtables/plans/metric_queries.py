@@ -7,6 +7,7 @@ size however many rows a node has.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -31,8 +32,8 @@ _SHARDS = ", sh as (select *, cast(split_part(shard, '.', 1) as bigint) // 1000
 _NODE_NO = "cast(substr(node_id, 2) as bigint)"
 
 
-def node_docs(i: Inputs) -> DataFrame:
-    """Node stats documents as variants, one per (node, listing).
+def node_docs(i: Inputs, render: Callable[[Column], Column] = F.to_variant_object) -> DataFrame:
+    """Node stats documents, one per (node, listing), as variants or what ``render`` makes of them.
 
     Every eleventh node has ``indices`` without shards, every thirteenth has no
     ``indices`` at all.
@@ -68,7 +69,7 @@ def node_docs(i: Inputs) -> DataFrame:
             F.struct(F.lit(1).alias("x")).alias("adaptive_selection"), F.struct(F.lit(2).alias("y")).alias("ingest"),
             F.struct(F.lit(3).alias("mem")).alias("jvm"), *parts,
         )
-        return F.to_variant_object(F.struct(F.create_map("node_id", node).alias("nodes")))
+        return render(F.struct(F.create_map("node_id", node).alias("nodes")))
 
     no = F.expr(_NODE_NO)
     doc = F.when(F.col("node_name").isNull() | F.col("host").isNull(), F.lit(None))

@@ -195,7 +195,9 @@ def _(i: Inputs):
 )
 def _(i: Inputs):
     folder = staging(i, "snapshots")
-    node_docs(i).select(F.to_json("doc").alias("value")).write.text(folder)
+    texts = node_docs(i, F.to_json).select(F.col("doc").alias("value"))
+    # A compressed file is read by one task, so none gets long.
+    texts.write.option("compression", "gzip").option("maxRecordsPerFile", 50_000).text(folder)
     docs = read_snapshots(i.spark, folder, "node_stats")
     nodes = m.explode_nodes(docs.withColumn("timestamp", F.col("kind")))
     return nodes.select(

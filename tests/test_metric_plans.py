@@ -1,5 +1,6 @@
 """What the plans of metric documents and merged JSON do once, and odd documents."""
 
+import gzip
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -60,6 +61,10 @@ def test_node_documents_of_many_listings_and_odd_keys(spark, tmp_path):
     rows = [(r.node_id, r.snapshot) for r in m.explode_nodes(node_docs(inputs)).select("node_id", "snapshot").collect()]
     want = [(node, n) for n in range(3 * SHARES) for node in ("n1", "n2", "n2")] + [("n1", None)]
     assert sorted(rows, key=str) == sorted(want, key=str)
+    # The documents written as text say what the variants say.
+    said = lambda docs: sorted((str(r.snapshot), str(r.t)) for r in docs.select("snapshot", "t").collect())
+    texts = node_docs(inputs, F.to_json).withColumn("t", F.to_json(F.parse_json("doc")))
+    assert said(texts) == said(node_docs(inputs).withColumn("t", F.to_json("doc")))
 
 
 def _kept(spark, name):
@@ -72,6 +77,19 @@ def _staged_under(monkeypatch, folder):
     monkeypatch.setattr(pass_queries, "staging", lambda i, what: f"{folder}/{what}")
 
 
+def _text(files):
+    return sum(len(gzip.decompress(f.read_bytes())) for f in files)
+
+
+def test_snapshots_are_staged_compressed(spark, tmp_path, monkeypatch):
+    _staged_under(monkeypatch, tmp_path)
+    rows = catalog.QUERIES["read_snapshots"](spark, _inputs(spark, tmp_path)).collect()
+    assert sorted((r.node_id, r.name, r.host, r.kind) for r in rows) == [("n0", "s0", "10.0.0.0", "node_stats"), ("n1", "s1", "10.0.1.1", "node_stats")]
+    files = list((tmp_path / "snapshots").glob("part-*"))
+    assert files and all(f.name.endswith(".txt.gz") for f in files)
+    assert sum(f.stat().st_size for f in files) * 2 < _text(files)
+
+
 def test_sinks_take_events_made_once_and_leave_no_shuffle(spark, tmp_path, monkeypatch):
     _staged_under(monkeypatch, tmp_path)
     before = _kept(spark, "shuffle_")
