@@ -15,7 +15,7 @@ from ..operators.assemble import assemble
 from ..operators.envelope import collector_literal, text_payload, wrap_log_event
 from ..operators.pages import index_lines, pages_by_index
 from ..operators.serving import export_csv
-from ..session import shuffles_removed
+from ..session import lean_writes
 from ..sinks import sink_metrics, write_events
 from ..sources.catalogue import LogPattern
 from ..sources.files import with_offsets
@@ -230,7 +230,7 @@ def _(i: Inputs):
     events = m.node_event(m.prune_node(m.node_shard_summary(m.explode_nodes(node_docs(i)))))
     folder, table, made = staging(i, "metrics"), staging(i, "metric-table"), staging(i, "metric-events")
     # Two sinks take the events, so they are made once.
-    with shuffles_removed(i.spark):
+    with lean_writes(i.spark):
         events.write.option("compression", "zstd").parquet(made)
     events = i.spark.read.parquet(made)
     sink_metrics(events, folder, compression="gzip")

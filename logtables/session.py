@@ -47,21 +47,22 @@ def configure(spark: SparkSession) -> SparkSession:
 
 #: Spark's switch for removing the shuffle files of a query when it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Files of so many subfolders a task writes side by side; only for more are its rows sorted.
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 @contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+def lean_writes(spark: SparkSession) -> Iterator[None]:
     """What is planned in here removes its shuffle files when it ends, not when the driver happens
-    to collect its garbage."""
-    before = spark.conf.get(CLEANUP, None)
+    to collect its garbage, and does not sort rows for a few subfolders."""
+    before = {key: spark.conf.get(key, None) for key in (CLEANUP, WRITERS)}
     spark.conf.set(CLEANUP, "true")
+    spark.conf.set(WRITERS, "8")
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import shuffles_removed
+from .session import lean_writes
 
 Sink = Callable[[DataFrame], None]
 
@@ -35,5 +35,5 @@ def sink_metrics(events: DataFrame, sink: Sink | str, compression: str = "none")
         sink(events)
         return
     named = events.select(F.col("metadata.name").alias("name"), F.to_json(F.struct("metadata", "fields", "timestamp")).alias("value"))
-    with shuffles_removed(events.sparkSession):
+    with lean_writes(events.sparkSession):
         named.write.mode("overwrite").option("compression", compression).partitionBy("name").text(sink)

@@ -118,6 +118,20 @@ def test_a_folder_sink_keeps_its_text_and_drops_its_shuffle(spark, tmp_path):
         assert all(f.name.endswith(ending) for f in (tmp_path / codec).glob("name=*/part-*"))
 
 
+def test_a_folder_sink_of_few_and_many_names(spark, tmp_path):
+    def names(count):
+        return spark.range(0, 200, 1, 2).select(
+            F.struct(F.concat(F.lit("m"), F.col("id") % count).alias("name")).alias("metadata"), F.struct("id").alias("fields"), F.lit("t").alias("timestamp")
+        )
+
+    for count in (3, 20):
+        folder = str(tmp_path / str(count))
+        sink_metrics(names(count), folder)
+        assert spark.read.text(folder).select("name", "value").distinct().count() == 200
+        # A file for each name and task, whether the rows were sorted or not.
+        assert len(list((tmp_path / str(count)).glob("name=*/part-*"))) == 2 * count
+
+
 def test_node_and_shard_objects_are_taken_out_once(spark, tmp_path):
     docs = node_docs(fixtures.Inputs(spark, _inputs(spark, tmp_path)))
     docs.write.parquet(str(tmp_path / "docs"))
